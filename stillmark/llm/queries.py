@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, token_shards
+from . import chat, lengths, licenses, mixing, token_shards
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -67,9 +67,32 @@ FROM placed
 """
 
 
+def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered once for each participant; mask spans as text."""
+    out = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask_spans", lambda s: F.concat_ws("-", s["from"].cast("string"), s["to"].cast("string"))), ",")
+    return out.withColumn("mask_spans", spans)
+
+
+def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token counts of all documents for every context limit."""
+    return lengths.exact_lengths(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's canonical digest and the licence it equals, if any."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_token_shards": op1_token_shards, "op3_mix_sources": op3_mix_sources}
+    return {
+        "op1_token_shards": op1_token_shards,
+        "op3_mix_sources": op3_mix_sources,
+        "op5_chat_perspectives": op5_chat_perspectives,
+        "op7_length_histogram": op7_length_histogram,
+        "op9_license_scan": op9_license_scan,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL}
+    return {"op3_mix_sources": OP3_SQL, "op5_chat_perspectives": chat.ORACLE_SQL, "op9_license_scan": licenses.oracle_sql()}
