@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lengths, licenses, mixing, token_shards
+from . import chat, lengths, licenses, mixing, simhash, token_shards
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -84,6 +84,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_token_shards": op1_token_shards,
@@ -91,6 +96,7 @@ def queries() -> dict:
         "op5_chat_perspectives": op5_chat_perspectives,
         "op7_length_histogram": op7_length_histogram,
         "op9_license_scan": op9_license_scan,
+        "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
 
