@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lengths, licenses, mixing, simhash, token_shards
+from . import chat, decontaminate, lengths, licenses, mixing, simhash, token_shards
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +67,20 @@ FROM placed
 """
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of benchmark items in every document."""
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["to"] - s["from"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation rendered once for each participant; mask spans as text."""
     out = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
@@ -93,6 +107,7 @@ def queries() -> dict:
     return {
         "op1_token_shards": op1_token_shards,
         "op3_mix_sources": op3_mix_sources,
+        "op4_decontaminate": op4_decontaminate,
         "op5_chat_perspectives": op5_chat_perspectives,
         "op7_length_histogram": op7_length_histogram,
         "op9_license_scan": op9_license_scan,
@@ -101,4 +116,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op5_chat_perspectives": chat.ORACLE_SQL, "op9_license_scan": licenses.oracle_sql()}
+    return {"op3_mix_sources": OP3_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op5_chat_perspectives": chat.ORACLE_SQL, "op9_license_scan": licenses.oracle_sql()}
