@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lengths, licenses, mixing, simhash, token_shards
+from . import chat, decontaminate, language, lengths, licenses, mixing, neighbours, simhash, token_shards
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,13 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_token_shards(manifest, folder)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", language.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted sampling of all documents to word targets for each source."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"), label_weights(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -93,6 +100,11 @@ def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.exact_lengths(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one, found through the tree."""
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's canonical digest and the licence it equals, if any."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -106,10 +118,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_shards": op1_token_shards,
+        "op2_language_id": op2_language_id,
         "op3_mix_sources": op3_mix_sources,
         "op4_decontaminate": op4_decontaminate,
         "op5_chat_perspectives": op5_chat_perspectives,
         "op7_length_histogram": op7_length_histogram,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_license_scan": op9_license_scan,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
