@@ -10,25 +10,33 @@ import os
 
 import numpy as np
 
-SPACES = str.maketrans({c: " " for c in "\t\n\r"})
 LONGEST_CHUNK = 64
 
 
 class ChunkEncoder:
     """Texts to little-endian id bytes, for tokenizers that split at and drop white space.
 
-    ``capacity`` bounds the memory: two generations of at most that many chunks each are kept.
+    For a BPE with word ends (``</w>``) over lower-case text. ``capacity`` bounds the memory: two generations of about
+    that many chunks, and as many words, are kept.
     """
 
     def __init__(self, path: str, capacity: int = 300_000, separator: str = "<|endoftext|>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.joined = Tokenizer.from_file(path)
         self.separator, self.sep_id = separator, self.joined.token_to_id(separator)
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.plain = Tokenizer.from_file(path)  # for words that need no normalising and no splitting
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.whole.get_vocab()
+        self.word_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.word_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._bytes(self.whole.encode(m, add_special_tokens=False).ids) for m in ".,"}
+        self.words: dict[str, bytes] = {}
         self.capacity = capacity
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -48,33 +56,44 @@ class ChunkEncoder:
             out += [ids[a:b].tobytes() for a, b in zip(starts, ends)]
         return out
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Lower-case words of plain letters in one call: each is one piece, and its last id carries the word end."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = (np.flatnonzero(self.word_end[ids]) + 1) * self.dtype.itemsize
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        return out
+
     def _learn(self, chunks: set[str]) -> None:
-        """Remember every chunk; a plain word with a full stop or comma behind it is put together from its parts."""
-        known, pending, plain = self.young, [], []
+        """Remember every chunk. A Latin word, capital or not, with a full stop or comma behind it or none, is put
+        together from its lower-case form and the mark."""
+        known, words, plain, other = self.young, self.words, [], []
         for c in chunks:
             if c in self.old:
                 known[c] = self.old[c]
             elif len(c) > LONGEST_CHUNK or "<|" in c:
                 known[c] = self._bytes(self.whole.encode_batch_fast([c], add_special_tokens=False)[0].ids)
-            elif c[-1] in ".," and max(c) < "ɐ" and c[:-1].isalpha():
-                pending.append(c)
-            else:
+            elif max(c) < "Ā" and (c[:-1] if c[-1] in ".," else c).isalpha():
                 plain.append(c)
-        base = {c[:-1] for c in pending} | {".", ","}
-        need = [c for c in {*plain, *base} if c not in known and c not in self.old]
-        fresh = dict(zip(need, self._encode_joined(need)))
-        known.update(fresh)
-        for c in base:
-            if c not in known:
-                known[c] = self.old[c]
-        for c in pending:
-            known[c] = known[c[:-1]] + known[c[-1]]
+            else:
+                other.append(c)
+        base = [(c[:-1] if c[-1] in ".," else c).lower() for c in plain]
+        need = [w for w in set(base) if w not in words]
+        words.update(zip(need, self._encode_words(need)))
+        for c, w in zip(plain, base):
+            known[c] = words[w] + self.marks[c[-1]] if c[-1] in ".," else words[w]
+        known.update(zip(other, self._encode_joined(other)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The id bytes of each whole text; null counts as empty."""
         if len(self.young) > self.capacity:
             self.old, self.young = self.young, {"": b""}
-        split = [(t or "").translate(SPACES).split(" ") for t in texts]
+        if len(self.words) > self.capacity:
+            self.words = {}
+        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.young
         missing = {c for chunks in split for c in chunks if c not in known}
         if missing:
