@@ -216,6 +216,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> D
     return (_merged(out) if len(found) > 1 else out).select("doc_id", "n_words", "spans", "item_ids")
 
 
+def drop_contaminated(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents without any hit, all columns as they are (rows without doc_id stay, as they can't be named)."""
+    hit = saved(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("hit_doc_id")).distinct(), "contaminated")
+    return docs.join(hit, F.col("doc_id") == F.col("hit_doc_id"), "left_anti")
+
+
 def find_near(index: DataFrame, items: DataFrame, slack: int = 5) -> DataFrame:
     """doc_id, item_id, from, to: the shortest stretch of at most the item's length plus ``slack`` words that holds all of
     the item's different words in any order, for each document that has one (the first, if several are as short)."""

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .encoder import text_slices
 
@@ -146,3 +147,20 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, proportions map<string,double>")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The documents whose language can be told, all columns as they are; no shuffle, rows stay where they are.
+
+    Nothing else is rejected: mixed and noisy documents stay.
+    """
+    shared, mark = docs.sparkSession.sparkContext.broadcast(model), "stillmark_lang_pred"
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            found = [shared.value.proportions(t) for texts in text_slices(batch.column(at)) for t in texts]
+            yield batch.append_column(mark, pa.array([bool(f) for f in found], pa.bool_()))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.BooleanType())])
+    return docs.mapInArrow(run, schema).where(F.col(mark)).drop(mark)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
+WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
 def source_key(col: Column) -> Column:
@@ -15,6 +16,11 @@ def source_key(col: Column) -> Column:
     return F.when(col.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), col))
 
 
+def label_weights(labels: DataFrame, good: float = 2.0, bad: float = 0.5) -> DataFrame:
+    """Sampling weights from quality labels (1 or 0); other documents count 1."""
+    return labels.select("doc_id", F.when(F.col("quality") == 1, good).when(F.col("quality") == 0, bad).alias("weight"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """source_key, source_size, n_docs, target: ``share`` of all sizes dealt by weight, no source above ``cap`` times its size.
 
@@ -96,6 +102,6 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     joined = docs.withColumn("mix_own_size", size).join(plan, F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & (F.col("mix_own_size") == F.col("mix_size")))
     whole, rest = F.floor(F.col("mix_taken") / F.col("mix_size")), F.col("mix_taken") % F.col("mix_size")
     copies = joined.where("mix_taken > 0").withColumn("mix_words", F.explode(F.concat(F.array_repeat(F.col("mix_size"), whole.cast("int")), F.array_repeat(rest, F.when(rest > 0, 1).otherwise(0)))))
-    head = F.expr(r"regexp_substr(text, concat('^([\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){', mix_words, '}'))")
-    cut = F.when(F.col("mix_words") < F.col("mix_size"), head).otherwise(F.col("text"))
+    words = F.split("text", WORD_END)  # each with the white space before it
+    cut = F.when(F.col("mix_words") < F.col("mix_size"), F.array_join(F.slice(words, 1, F.col("mix_words")), "")).otherwise(F.col("text"))
     return copies.select(*[cut.alias(c) if c == "text" else F.col(c) for c in docs.columns])

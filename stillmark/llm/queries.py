@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, lengths, licenses, mixing, neighbours, simhash, token_shards
+from . import chat, decontaminate, language, lengths, licenses, mixing, neighbours, repeats, simhash, token_shards
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
-def label_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampling weights from the labels: good documents 2, bad ones a half; the rest count 1."""
-    return table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).alias("weight"))
-
-
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw token ids in shards with a perfect hash index, read back by key."""
     manifest, folder = token_shards.write_token_shards(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -32,7 +28,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted sampling of all documents to word targets for each source."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents"), label_weights(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.label_weights(table(spark, sf_dir, "labels"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP3_SQL = r"""
@@ -95,6 +91,13 @@ def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mask_spans", spans)
 
 
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that an earlier document has in a string of 50 bytes."""
+    found = repeats.find_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["to"] - s["from"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts of all documents for every context limit."""
     return lengths.exact_lengths(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -115,6 +118,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_token_shards": op1_token_shards,
@@ -122,10 +130,12 @@ def queries() -> dict:
         "op3_mix_sources": op3_mix_sources,
         "op4_decontaminate": op4_decontaminate,
         "op5_chat_perspectives": op5_chat_perspectives,
+        "op6_repeated_substrings": op6_repeated_substrings,
         "op7_length_histogram": op7_length_histogram,
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_license_scan": op9_license_scan,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "pipeline": pipeline,
     }
 
 

@@ -201,8 +201,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of ``docs``: the one whose doc_id names it."""
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    out = docs.join(kept, F.col("doc_id") == F.col("kept_doc_id"), "left_semi")
-    repeated = not classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One document of each component, with the columns of ``docs``: the one whose doc_id names it.
+
+    Of repeated rows with one doc_id one stays; rows without doc_id can't be named and all stay.
+    """
+    gone = saved(classes.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_doc_id")).distinct(), "near-copies")
+    out = docs.join(gone, F.col("doc_id") == F.col("gone_doc_id"), "left_anti")
+    named = classes.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
