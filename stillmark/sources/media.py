@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import fingerprint, paths
 
@@ -124,11 +126,9 @@ def decode_frames(plan: DataFrame, decode: Callable[[str, list[float], bool], It
     """
     schema = f"video_id long, frame_index long, time_ms long, {fingerprint.SIGNATURE}"
 
-    def run(batches):
-        from pyspark.sql import types as T
-        from pyspark.sql.pandas.types import to_arrow_schema
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
-        arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 out = []
