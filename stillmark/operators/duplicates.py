@@ -95,7 +95,7 @@ def all_pairs(identical: DataFrame, near: DataFrame) -> DataFrame:
     return identical.unionByName(keyed(near).join(known, ["low", "high"], "left_anti").drop("low", "high"))
 
 
-def components(pairs: DataFrame, checkpoint_every: int = 1) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, label) over pairs (id_a, id_b); label is the smallest id reachable.
 
     Rounds of smallest neighbour label and pointer jumping; each is cut from its history by a reliable checkpoint in the
@@ -108,10 +108,10 @@ def components(pairs: DataFrame, checkpoint_every: int = 1) -> DataFrame:
     edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"))
     while True:
-        near = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("of")).agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.of).select("node", "label", F.least("label", "near").alias("lower"))
-        to = step.select(F.col("node").alias("to"), F.col("lower").alias("to_lower"))
-        jumped = step.join(to, step.lower == to.to, "left").select("node", "label", F.least("lower", "to_lower").alias("next")).checkpoint()
+        near = edges.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("of")).agg(F.min("label").alias("near"))
+        step = labels.join(near, F.col("node") == F.col("of")).select("node", "label", F.least("label", "near").alias("lower"))
+        target = step.select(F.col("node").alias("to_node"), F.col("lower").alias("to_lower"))
+        jumped = step.join(target, F.col("lower") == F.col("to_node"), "left").select("node", "label", F.least("lower", "to_lower").alias("next")).checkpoint()
         if jumped.where("label <> next").isEmpty():
             return jumped.select("node", "label")
         labels = jumped.select("node", F.col("next").alias("label"))
