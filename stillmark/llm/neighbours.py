@@ -52,6 +52,32 @@ def nearest(query_ids, queries, vec_ids, vectors, k: int):
     return pa.table({"query_id": cat[0].astype(np.int64), "vec_id": cat[1].astype(np.int64), "score": cat[2]})
 
 
+def best_of(found: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each query."""
+    q, v, d = (found[c].to_numpy() for c in ("query_id", "vec_id", "score"))
+    order = np.lexsort((v, d, q))
+    fresh = np.r_[True, np.diff(q[order]) != 0] if len(q) else np.zeros(0, bool)
+    place = np.arange(len(q)) - np.maximum.accumulate(np.where(fresh, np.arange(len(q)), 0)) if len(q) else np.zeros(0, int)
+    return found.take(pa.array(order[place < k]))
+
+
+def shards_of(counts: np.ndarray, rows_per_shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shard, number of shards) of each leaf: neighbouring leaves share a shard of about ``rows_per_shard`` rows,
+    and a leaf with more has several to itself."""
+    first, parts = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    shard, held = 0, 0
+    for leaf, n in enumerate(counts.tolist()):
+        if held and held + n > rows_per_shard:
+            shard, held = shard + 1, 0
+        first[leaf] = shard
+        if n > rows_per_shard:
+            parts[leaf] = -(-n // rows_per_shard)
+            shard, held = shard + int(parts[leaf]), 0
+        else:
+            held += n
+    return first, parts
+
+
 @dataclass
 class KMeansTree:
     """Inner nodes hold their children's centroids; ``child`` is a node number or, below zero, ~leaf."""
@@ -157,14 +183,15 @@ def nearest_neighbours(
     sample_rows: int = 16384,
     leaf_rows: int = 256,
     calibration_queries: int = 256,
-    rows_per_group: int = 8192,
+    rows_per_shard: int = 4096,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row whose vec_id is divisible by ``every``.
 
     The tree is fitted on a bounded sample (``sample_rows``, chosen by a hash of vec_id) and indexes every row. The number
     of leaves to visit is widened until the calibration queries (at most ``calibration_queries``, searched by brute force
-    over all rows) reach ``recall``. A leaf with many rows, such as copies of one vector, is dealt to several groups by a
-    hash of vec_id, each searched for itself, so no task holds more than about ``rows_per_group`` vectors.
+    over all rows) reach ``recall``. Neighbouring leaves share a shard, to which a query goes once; a leaf with many rows,
+    such as copies of one vector, is dealt to several shards by a hash of vec_id. No task holds more than about
+    ``rows_per_shard`` vectors, and each shard sends k rows for a query.
 
     Defined results: vectors that are null, zero, not finite or of an unusual length take no part; of rows with one
     vec_id the smallest vector counts; null vec_ids take no part; fewer candidates than k give them all; ties go to the
@@ -208,30 +235,45 @@ def nearest_neighbours(
         needed = np.array([place_of[r.query_id][r.leaf] for r in where_is])
         while len(needed) and visits < tree.leaves and (needed < visits).mean() < recall:
             visits += 1
-    groups = -(-counts // rows_per_group)
-    shared = spark.sparkContext.broadcast((visits, counts, groups))
+    first_shard, parts = shards_of(counts, rows_per_shard)
+    shared = spark.sparkContext.broadcast((visits, counts, first_shard, parts))
 
     def route(batches):
-        tree, (visits, counts, groups) = shared_tree.value, shared.value
+        """Each query once for each shard, with the leaves that it visits there."""
+        tree, (visits, counts, first_shard, parts) = shared_tree.value, shared.value
         for batch in batches:
             x, ids = matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
-            rows, leaf, part = [], [], []
+            rows, shards, visited = [], [], []
             for i, q in enumerate(x):
-                for at in tree.best_first(q, visits, k + 1, counts):
-                    for g in range(groups[at]):
-                        rows.append(i)
-                        leaf.append(at)
-                        part.append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(leaf, np.int64)), pa.array(np.array(part, np.int64)), pa.array(ids[rows] if rows else ids[:0]), batch.column(1).take(pa.array(rows, pa.int64()))], ["leaf", "part", "query_id", "query"])
-
-    routed = asked.select("vec_id", "embedding").repartition(partitions(spark)).mapInArrow(route, "leaf long, part long, query_id long, query array<double>")
-    sizes = spark.createDataFrame([(i, int(g)) for i, g in enumerate(groups)], "size_leaf long, n_parts long")
-    dealt = index.join(F.broadcast(sizes), F.col("leaf") == F.col("size_leaf")).select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("n_parts")).alias("part"), "vec_id", "embedding")
+                mine: dict[int, list[int]] = {}
+                for leaf in tree.best_first(q, visits, k + 1, counts):
+                    for part in range(parts[leaf]):
+                        mine.setdefault(int(first_shard[leaf]) + part, []).append(leaf)
+                rows += [i] * len(mine)
+                shards += mine.keys()
+                visited += mine.values()
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(ids[rows] if rows else ids[:0]), batch.column(1).take(pa.array(rows, pa.int64())), pa.array(visited, pa.list_(pa.int64()))], ["shard", "query_id", "query", "leaves"])
+
+    routed = asked.select("vec_id", "embedding").repartition(partitions(spark)).mapInArrow(route, "shard long, query_id long, query array<double>, leaves array<long>")
+    sizes = spark.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(first_shard, parts))], "size_leaf long, first_shard long, n_parts long")
+    dealt = index.join(F.broadcast(sizes), F.col("leaf") == F.col("size_leaf"))  # one row for each leaf of the bounded tree
+    dealt = dealt.select((F.col("first_shard") + F.pmod(F.xxhash64("vec_id"), F.col("n_parts"))).alias("shard"), "leaf", "vec_id", "embedding")
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not asked.num_rows or not held.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return nearest(asked["query_id"].to_numpy(), matrix(asked["query"]), held["vec_id"].to_numpy(), matrix(held["embedding"]), k)
-
-    found = routed.groupBy("leaf", "part").cogroup(dealt.groupBy("leaf", "part")).applyInArrow(search, PARTIAL)
+            return none
+        query_ids, queries = asked["query_id"].to_numpy(), matrix(asked["query"])
+        vec_ids, vectors, leaf = held["vec_id"].to_numpy(), matrix(held["embedding"]), held["leaf"].to_numpy()
+        lists = asked["leaves"].combine_chunks()
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        wanted = lists.flatten().to_numpy()
+        found = []
+        for at in np.unique(leaf):
+            some, mine = row[wanted == at], leaf == at
+            if len(some):
+                found.append(nearest(query_ids[some], queries[some], vec_ids[mine], vectors[mine], k))
+        return best_of(pa.concat_tables(found), k) if found else none
+
+    found = routed.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(search, PARTIAL)
     return ranked(found, k)
