@@ -148,31 +148,87 @@ class Runs:
 class Entries:
     """What a block sends under repeated keys: distinct strings, each with the smallest doc_id that has it in the block.
 
-    ``run_entry`` gives each candidate run its entry, ``run_start`` and ``run_doc`` where it stands. Built the same way
-    from the same block and keys each time, so answers can be given by an entry's number.
+    Equal runs become one. Under a hot key the windows of each distinct run are sent one by one, equal ones once. Built
+    the same way from the same block and keys each time, so answers can be given by an entry's number.
     """
 
     def __init__(self, runs: Runs, keys: np.ndarray, hot: np.ndarray):
         short = runs.key >> U(64 - FILTER_BITS)
         at = np.minimum(np.searchsorted(keys, short), max(0, len(keys) - 1))
-        known = keys[at] == short if len(keys) else np.zeros(len(short), bool)
-        is_hot = known & hot[at] if len(keys) else known
-        cold = known & ~is_hot
-        single = np.repeat(runs.start[is_hot], runs.n[is_hot]) + _counting(runs.n[is_hot])
-        start = np.concatenate([runs.start[cold], single])
-        n = np.concatenate([runs.n[cold], np.ones(len(single), np.int64)])
-        doc = np.concatenate([runs.doc[cold], np.repeat(runs.doc[is_hot], runs.n[is_hot])])
-        strings = padded_strings(runs.data, start, n + runs.length - 1, RUN + runs.length)
-        key = np.concatenate([runs.key[cold], _string_hash(strings[len(runs.start[cold]) :])])
-        order = np.lexsort((doc, strings, key))
-        s, k = strings[order], key[order]
-        fresh = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])] if len(k) else np.zeros(0, bool)
-        number = np.cumsum(fresh) - 1
-        first = order[fresh]
-        self.key, self.doc, self.n, self.strings = key[first], doc[first], n[first], strings[first]
-        self.run_entry = np.zeros(len(order), np.int64)
-        self.run_entry[order] = number
-        self.run_start, self.run_doc, self.run_n = start, doc, n
+        known = np.flatnonzero(keys[at] == short) if len(keys) else np.zeros(0, np.int64)
+        self.run_start, self.run_n, self.run_doc = runs.start[known], runs.n[known], runs.doc[known]
+        key = runs.key[known]
+        strings = padded_strings(runs.data, self.run_start, self.run_n + runs.length - 1, RUN + runs.length)
+        first, self.run_number = _distinct((self.run_doc, strings, key))
+        is_hot = hot[at[known[first]]] if len(first) else np.zeros(0, bool)
+        cold, alone = first[~is_hot], first[is_hot]
+        n = self.run_n[alone]
+        start = np.repeat(self.run_start[alone], n) + _counting(n)
+        doc = np.repeat(self.run_doc[alone], n)
+        content = window_hash(runs.data, start, runs.length)
+        single, number = _distinct((doc, content))
+        stray = np.flatnonzero(differing(runs.data, start, start[single][number], runs.length))
+        number[stray] = len(single) + np.arange(len(stray))  # equal hashes of different strings: each for itself
+        single = np.concatenate([single, stray])
+        self.key = np.concatenate([key[cold], content[single]])
+        self.doc = np.concatenate([self.run_doc[cold], doc[single]])
+        self.n = np.concatenate([self.run_n[cold], np.ones(len(single), np.int64)])
+        self.strings = np.concatenate([strings[cold], padded_strings(runs.data, start[single], np.full(len(single), runs.length), RUN + runs.length)])
+        self.is_hot = is_hot
+        self.cold_entry = np.cumsum(~is_hot) - 1
+        self.single_at = np.zeros(len(first), np.int64)
+        self.single_at[is_hot] = np.cumsum(n) - n
+        self.single_entry = len(cold) + number
+
+    def copied(self, mask: np.ndarray) -> np.ndarray:
+        """For each run a bit for every window that an earlier document has, from the answers to the entries."""
+        out = np.zeros(len(self.run_start), U)
+        is_hot = self.is_hot[self.run_number]
+        some = np.flatnonzero(~is_hot)
+        e = self.cold_entry[self.run_number[some]]
+        out[some] = np.where(self.run_doc[some] > self.doc[e], (U(1) << self.run_n[some].astype(U)) - U(1), mask[e])
+        for i in range(RUN):
+            some = np.flatnonzero(is_hot & (self.run_n > i))
+            e = self.single_entry[self.single_at[self.run_number[some]] + i]
+            found = (self.run_doc[some] > self.doc[e]) | (mask[e] != 0)
+            out[some[found]] |= U(1 << i)
+        return out
+
+
+def _distinct(columns: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number): rows that differ in all but the first column, each by its smallest in that, and every row's number."""
+    order = np.lexsort(columns)
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
+    for c in columns[1:]:
+        sorted_ = c[order]
+        fresh[1:] |= sorted_[1:] != sorted_[:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return order[fresh], number
+
+
+SLICE = 1 << 16  # strings looked at together, so that indices into them stay small
+
+
+def window_hash(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes at each place."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+    h = np.zeros(len(start), U)
+    for at in range(0, len(start), SLICE):
+        part, some = start[at : at + SLICE], h[at : at + SLICE]
+        for offset in [*range(0, length - 7, 8), length - 8]:
+            some[:] = mix64(some * U(0x9E3779B97F4A7C15) + eight[part + offset] + U(1))
+    return h
+
+
+def differing(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Where the ``length`` bytes at ``a`` are not those at ``b``."""
+    out, reach = np.zeros(len(a), bool), np.arange(length)
+    for at in range(0, len(a), SLICE):
+        out[at : at + SLICE] = (data[a[at : at + SLICE, None] + reach] != data[b[at : at + SLICE, None] + reach]).any(axis=1)
+    return out
 
 
 def _counting(n: np.ndarray) -> np.ndarray:
@@ -183,23 +239,13 @@ def padded_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, width:
     """Fixed-width strings, the length as first byte, so that they compare exactly even where text holds zero bytes."""
     out = np.zeros((len(start), width + 1), np.uint8)
     out[:, 0] = size
-    row, col = np.repeat(np.arange(len(start)), size), _counting(size)
-    out[row, col + 1] = data[np.repeat(start, size) + col]
+    for at in range(0, len(start), SLICE):
+        low, long = start[at : at + SLICE], size[at : at + SLICE]
+        row, col = np.repeat(np.arange(at, at + len(low)), long), _counting(long)
+        out[row, col + 1] = data[np.repeat(low, long) + col]
     return out.view(f"S{width + 1}").ravel()
 
 
-def _string_hash(strings: np.ndarray) -> np.ndarray:
-    if not len(strings):
-        return np.zeros(0, U)
-    raw = strings.view(np.uint8).reshape(len(strings), -1)
-    wide = np.zeros((len(strings), -(-raw.shape[1] // 8) * 8), np.uint8)
-    wide[:, : raw.shape[1]] = raw
-    h = np.zeros(len(strings), U)
-    for word in wide.view("<u8").T:
-        h = mix64(h * U(0x9E3779B97F4A7C15) + word + U(1))
-    return h
-
-
 def previous_smaller(values: np.ndarray) -> np.ndarray:
     """For each place the nearest earlier place with a smaller value, -1 if none; by pointer jumping."""
     at = np.arange(len(values)) - 1
@@ -351,8 +397,7 @@ def find_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 4_000_000
                 mask = np.zeros(len(e.key), U)
                 for a in row["answers"] or ():
                     mask[bucket == a["bucket"]] = _expand(a["masks"])["mask"]
-                full = (U(1) << e.run_n.astype(U)) - U(1)
-                own = np.where(e.run_doc > e.doc[e.run_entry], full, mask[e.run_entry]) if len(e.run_entry) else np.zeros(0, U)
+                own = e.copied(mask)
                 cover = np.zeros(len(runs.data) + 1, np.int64)
                 for i in range(int(e.run_n.max()) if len(own) else 0):
                     at = e.run_start[(own >> U(i)) & U(1) == 1] + i
