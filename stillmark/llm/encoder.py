@@ -11,13 +11,15 @@ import os
 import numpy as np
 
 LONGEST_CHUNK = 64
+PIECE_CHARS = 200_000
 
 
 class ChunkEncoder:
     """Texts to little-endian id bytes, for tokenizers that split at and drop white space.
 
     For a BPE with word ends (``</w>``) over lower-case text. ``capacity`` bounds the memory: two generations of about
-    that many chunks, and as many words, are kept.
+    that many chunks, and as many words, are kept. Texts are taken in pieces, cut at spaces, so a very long one costs no
+    more memory than its ids.
     """
 
     def __init__(self, path: str, capacity: int = 300_000, separator: str = "<|endoftext|>"):
@@ -25,9 +27,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.joined = Tokenizer.from_file(path)
-        self.separator, self.sep_id = separator, self.joined.token_to_id(separator)
+        self.separator, self.sep_id = separator, self.whole.token_to_id(separator)
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.plain = Tokenizer.from_file(path)  # for words that need no normalising and no splitting
         self.plain.normalizer = normalizers.Sequence([])
@@ -44,12 +44,19 @@ class ChunkEncoder:
     def _bytes(self, ids) -> bytes:
         return np.asarray(ids, self.dtype).tobytes()
 
+    def _encode_apart(self, chunk: str) -> bytes:
+        """A chunk as ordinary text, even where it holds the form of a special token."""
+        self.whole.encode_special_tokens = True
+        ids = self.whole.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
+        self.whole.encode_special_tokens = False
+        return self._bytes(ids)
+
     def _encode_joined(self, chunks: list[str]) -> list[bytes]:
         """Many short chunks in one call, kept apart by a special token that none of them contains."""
         out: list[bytes] = []
         for at in range(0, len(chunks), 4096):
             part = chunks[at : at + 4096]
-            ids = np.array(self.joined.encode_batch_fast([self.separator.join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            ids = np.array(self.whole.encode_batch_fast([self.separator.join(part)], add_special_tokens=False)[0].ids, self.dtype)
             cuts = np.flatnonzero(ids == self.sep_id)
             starts = np.r_[0, cuts + 1]
             ends = np.r_[cuts, len(ids)]
@@ -75,7 +82,7 @@ class ChunkEncoder:
             if c in self.old:
                 known[c] = self.old[c]
             elif len(c) > LONGEST_CHUNK or "<|" in c:
-                known[c] = self._bytes(self.whole.encode_batch_fast([c], add_special_tokens=False)[0].ids)
+                known[c] = self._encode_apart(c)
             elif max(c) < "Ā" and (c[:-1] if c[-1] in ".," else c).isalpha():
                 plain.append(c)
             else:
@@ -87,13 +94,12 @@ class ChunkEncoder:
             known[c] = words[w] + self.marks[c[-1]] if c[-1] in ".," else words[w]
         known.update(zip(other, self._encode_joined(other)))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The id bytes of each whole text; null counts as empty."""
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         if len(self.young) > self.capacity:
             self.old, self.young = self.young, {"": b""}
         if len(self.words) > self.capacity:
             self.words = {}
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [p.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for p in pieces]
         known = self.young
         missing = {c for chunks in split for c in chunks if c not in known}
         if missing:
@@ -104,6 +110,38 @@ class ChunkEncoder:
                 del known[c]
         return out
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The id bytes of each whole text; null counts as empty."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, owner, size = [], [], 0
+
+        def settle():
+            for k, ids in zip(owner, self._encode_pieces(held)):
+                out[k].append(ids)
+
+        for k, text in enumerate(texts):
+            for piece in pieces_of(text or ""):
+                held.append(piece)
+                owner.append(k)
+                size += len(piece)
+                if size >= PIECE_CHARS:
+                    settle()
+                    held, owner, size = [], [], 0
+        settle()
+        return [b"".join(parts) for parts in out]
+
+
+def pieces_of(text: str, chars: int = PIECE_CHARS):
+    """The text in pieces of about ``chars`` characters that begin at spaces."""
+    at = 0
+    while len(text) - at > chars:
+        to = text.find(" ", at + chars)
+        if to < 0:
+            break
+        yield text[at:to]
+        at = to
+    yield text[at:] if at else text
+
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -116,7 +154,9 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def text_slices(values, most_rows: int = 256, most_chars: int = 2_000_000):
-    """An Arrow string column in Python lists of bounded size."""
+    """An Arrow string column in Python lists of bounded size; at its end Arrow gives back the memory it no longer uses."""
+    import pyarrow as pa
+
     part, size = [], 0
     for v in values:
         t = v.as_py()
@@ -127,3 +167,4 @@ def text_slices(values, most_rows: int = 256, most_chars: int = 2_000_000):
             part, size = [], 0
     if part:
         yield part
+    pa.default_memory_pool().release_unused()
