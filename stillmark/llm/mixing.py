@@ -77,7 +77,7 @@ def mix_sources(
     rows = rows.withColumns({"weight": F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0), "source_key": source_key(F.col("source"))})
     bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long")
     rows = rows.withColumn("mix_key", -F.log((bits + 0.5) / F.lit(float(1 << 48))) / F.col("weight"))
-    targets = source_targets(rows, weights, share, cap)
+    targets = saved(source_targets(rows, weights, share, cap), "mix-targets")  # a known size: broadcast only if that is small
     n = F.ceil(F.col("n_docs") / rows_per_bucket)
     spread = rows.join(targets, "source_key").withColumn("mix_bucket", F.least(n - 1, F.floor((1 - F.exp(-F.col("mix_key") * F.col("mean_weight"))) * n)))
     before = Window.partitionBy("source_key").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,10 +96,11 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row for each whole copy, and one cut at the word where a budget ends.
 
     doc_id is the key here; rows that share a doc_id and size follow the same decision. Rows that give no word go.
+    The plan has a row for each document, so it is never broadcast: at every size the join is a sort-merge join.
     """
     plan = mixed.groupBy(F.col("doc_id").alias("mix_doc_id"), F.col("size").alias("mix_size")).agg(F.max("taken").alias("mix_taken"))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    joined = docs.withColumn("mix_own_size", size).join(plan, F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & (F.col("mix_own_size") == F.col("mix_size")))
+    joined = docs.withColumn("mix_own_size", size).join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & (F.col("mix_own_size") == F.col("mix_size")))
     whole, rest = F.floor(F.col("mix_taken") / F.col("mix_size")), F.col("mix_taken") % F.col("mix_size")
     copies = joined.where("mix_taken > 0").withColumn("mix_words", F.explode(F.concat(F.array_repeat(F.col("mix_size"), whole.cast("int")), F.array_repeat(rest, F.when(rest > 0, 1).otherwise(0)))))
     words = F.split("text", WORD_END)  # each with the white space before it
