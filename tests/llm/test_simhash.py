@@ -1,6 +1,7 @@
 """SimHash components against all pairs, and the vantage-point tree against a scan."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,8 +11,7 @@ from stillmark.llm import simhash
 
 
 def fp(text):
-    w = "".join(c.lower() if c.isascii() else c for c in text or "").split(" ")
-    w = [x for x in w if x]
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     if not w:
         return 0
     shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
