@@ -82,11 +82,11 @@ def recall_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(recall.recall(frames, asked, STRUCT, n_queries=1, min_score=FLOOR, **LIMITS))
 
 
-@query(f"WITH {FRAMES}, queries AS (SELECT frame_index AS query_id, * FROM frames WHERE frame_index % 50 = 0), {scored('scores', 'queries', FLOOR)}, {top_two('hits', 'scores')} {RECALL_END}")
+@query(f"WITH {FRAMES}, queries AS (SELECT frame_index AS query_id, * FROM frames WHERE frame_index % 20 = 0), {scored('scores', 'queries', FLOOR)}, {top_two('hits', 'scores')} {RECALL_END}")
 def recall_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth frame as a query against all frames."""
     frames = frames_of(table(spark, sf_dir, "embeddings"))
-    asked = frames.where("frame_index % 50 = 0").withColumn("query_id", F.col("frame_index"))
+    asked = frames.where("frame_index % 20 = 0").withColumn("query_id", F.col("frame_index"))
     return shown(recall.recall(frames, asked, STRUCT, min_score=FLOOR, **LIMITS))
 
 
@@ -144,12 +144,12 @@ def duplicate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("id_a", "id_b", *[F.round(c, 6).alias(c) for c in ("score", "hash_score", "color_score")], "time_seconds")
 
 
-PAIRS_SQL = """pairs AS (SELECT o_custkey AS id_a, o_orderkey % 997 + 100000 AS id_b, (o_orderkey % 100) / 100.0::DOUBLE AS score, o_orderkey % 7 = 0 AS identical_file FROM orders WHERE o_orderkey % 11 = 0),
+PAIRS_SQL = """pairs AS (SELECT o_custkey AS id_a, CASE WHEN o_orderkey % 40 = 0 THEN o_orderkey % 997 + 100000 ELSE o_orderkey + 1000000 END AS id_b, (o_orderkey % 100) / 100.0::DOUBLE AS score, o_orderkey % 7 = 0 AS identical_file FROM orders),
 sizes AS (SELECT c_custkey AS id, floor(c_acctbal)::BIGINT AS size FROM customer)"""
 
 
 def order_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pairs = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").selectExpr("o_custkey AS id_a", "o_orderkey % 997 + 100000 AS id_b", "(o_orderkey % 100) / 100D AS score", "o_orderkey % 7 = 0 AS identical_file")
+    pairs = table(spark, sf_dir, "orders").selectExpr("o_custkey AS id_a", "CASE WHEN o_orderkey % 40 = 0 THEN o_orderkey % 997 + 100000 ELSE o_orderkey + 1000000 END AS id_b", "(o_orderkey % 100) / 100D AS score", "o_orderkey % 7 = 0 AS identical_file")
     return pairs, table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "CAST(floor(c_acctbal) AS BIGINT) AS size")
 
 
@@ -171,11 +171,11 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH g AS (SELECT l_orderkey AS group_id, list(l_partkey ORDER BY l_linenumber) AS members, arg_max(l_partkey, l_extendedprice) AS suggested_keep_id FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey)
+    """WITH g AS (SELECT l_orderkey AS group_id, list(l_partkey ORDER BY l_linenumber) AS members, arg_max(l_partkey, l_extendedprice) AS suggested_keep_id FROM lineitem GROUP BY l_orderkey)
 SELECT group_id, coalesce(list_filter(members, lambda m: m % 100 = 7)[1], suggested_keep_id, members[1]) AS keep_id FROM g"""
 )
 def kept_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    li = table(spark, sf_dir, "lineitem")
     g = li.groupBy(F.col("l_orderkey").alias("group_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda m: m["l_partkey"]).alias("members"), F.max_by("l_partkey", "l_extendedprice").alias("suggested_keep_id"))
     chosen = table(spark, sf_dir, "part").where("p_partkey % 100 = 7").select(F.col("p_partkey").alias("id"))
     return duplicates.kept_members(g, chosen)
