@@ -86,12 +86,22 @@ EQUAL_SPELLINGS = {
     "fulfil": "fulfill",
     "https": "http",
 }
-COPYRIGHT_LINE = r"(?m)^[\x20\t]*(?:copyright\b|\(c\)|all rights reserved)[^\n]*$"
-BETWEEN_WORDS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+#: A notice names a sign, a year or a holder after a colon; a licence's own words may begin a line with "copyright" or "(c)".
+COPYRIGHT_LINE = (
+    r"(?m)^[\x20\t]*(?:(?:\(c\)[\x20\t]*)?copyright\b[\x20\t,]*(?:\(c\)|\u00a9|:|[0-9]{4}\b)|\(c\)[\x20\t]*[0-9]{4}\b|\u00a9)[^\n]*$"
+    r"|^[\x20\t]*all rights reserved[\x20\t.]*$"
+)
+BETWEEN_WORDS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\u00a0\u2000-\u206f]+"
+#: As the SQL has them: its lines go by their first word only, and it knows no typographic marks.
+SQL_COPYRIGHT_LINE = r"(?m)^[\x20\t]*(?:copyright\b|\(c\)|all rights reserved)[^\n]*$"
+SQL_BETWEEN_WORDS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, words apart by single spaces, one spelling; null stays null."""
+    """Lower case, no copyright notices, words apart by single spaces, one spelling; null stays null.
+
+    A notice goes to the end of its line; apart from that, where lines are wrapped makes no difference.
+    """
     col = F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, " ")
     col = F.concat(F.lit(" "), F.trim(F.regexp_replace(col, BETWEEN_WORDS, " ")), F.lit(" "))
     for spelling, same in EQUAL_SPELLINGS.items():
@@ -103,9 +113,9 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, licenses: dict[str, str] | None = None) -> DataFrame:
-    """license_id and digest of each known text, by the same rules as the documents."""
-    known = spark.createDataFrame(list((licenses or KNOWN_LICENSES).items()), "license_id string, license_text string")
+def known_digests(spark: SparkSession, licenses: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """license_id and digest of each known text, by the same rules as the documents; a table has license_id, license_text."""
+    known = licenses if isinstance(licenses, DataFrame) else spark.createDataFrame(list((licenses or KNOWN_LICENSES).items()), "license_id string, license_text string")
     return known.groupBy(digest(F.col("license_text")).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -131,7 +141,7 @@ def oracle_sql() -> str:
 
     def canonical_sql(text: str) -> str:
         lowered = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        sql = f"' ' || trim(regexp_replace(regexp_replace({lowered}, '{COPYRIGHT_LINE}', ' ', 'g'), '{BETWEEN_WORDS}', ' ', 'g')) || ' '"
+        sql = f"' ' || trim(regexp_replace(regexp_replace({lowered}, '{SQL_COPYRIGHT_LINE}', ' ', 'g'), '{SQL_BETWEEN_WORDS}', ' ', 'g')) || ' '"
         for spelling, same in EQUAL_SPELLINGS.items():
             sql = f"replace({sql}, ' {spelling} ', ' {same} ')"
         return f"sha256(trim({sql}))"

@@ -40,6 +40,32 @@ def test_licences_are_found_in_any_dress(documents):
     assert licenses.scan_licenses(documents([])).collect() == []
 
 
+def test_wrapping_makes_no_licence_and_loses_none(spark, documents):
+    import textwrap
+
+    mit, isc = licenses.KNOWN_LICENSES["MIT"], licenses.KNOWN_LICENSES["ISC"]
+    wrapped = [(f"{name} {width}", "\n".join(textwrap.wrap(text, width))) for name, text in (("MIT", mit), ("ISC", isc)) for width in (*range(40, 121, 4), 100_000)]
+    assert any(line.startswith("copyright notice and this permission") for _, text in wrapped for line in text.split("\n"))
+    notices = ["Copyright (c) 2020 A", "COPYRIGHT: A", "\tCopyright 1999-2001 A. All rights reserved.", "Copyright \u00a9 A", "\u00a9 A", "(c) 2020 A", "(C) Copyright 2020 A", "All rights reserved.\r"]
+    rows = [
+        *((k, text) for k, (_, text) in enumerate(wrapped)),
+        *((100 + k, f"{notice}\n{mit}") for k, notice in enumerate(notices)),
+        (200, mit.replace("COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR\n", "")),
+        (201, "(c) you must retain all notices\n" + mit),
+        (202, "All rights reserved by nobody\n" + mit),
+        (203, "Copyright holders may do more\n" + mit),
+        (300, mit.replace(" ", "\n\n").replace('"', "\u201c")),
+    ]
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(documents(rows)).collect()}
+    assert got == {k: name.split()[0] for k, (name, _) in enumerate(wrapped)} | {100 + k: "MIT" for k in range(len(notices))} | {200: None, 201: None, 202: None, 203: None, 300: "MIT"}
+
+
+def test_known_licences_from_a_table(spark, documents):
+    known = licenses.known_digests(spark, spark.createDataFrame([("own", "You may\ncopyright nothing here.")], "license_id string, license_text string"))
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(documents([(1, "You may copyright nothing here"), (2, "You may")]), known).collect()}
+    assert got == {1: "own", 2: None}
+
+
 def test_main_paths_stay_in_the_engine(spark, documents, capsys):
     talk = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     for made in (chat.rotate_perspectives(talk), licenses.scan_licenses(documents([]))):
