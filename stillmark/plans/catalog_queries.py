@@ -260,7 +260,17 @@ def prefix_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND o_custkey % 4 <> 0 AND o_orderkey % 7 <= ceil((o_totalprice / 10000) / 5) THEN o_orderkey % 7 ELSE 0 END::INT AS resume_at FROM orders WHERE o_totalprice > 20000")
 def resume_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved prefixes of the plan: whole, moved by a millisecond (every fourth customer), or of a full scan (every fifth order)."""
-    rows = table(spark, sf_dir, "orders").where("o_totalprice > 20000").withColumn("plan", sampling.uniform_plan(F.col("o_totalprice") / 10000, F.lit(5)))
+    return resumed(table(spark, sf_dir, "orders").where("o_totalprice > 20000"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND o_custkey % 4 <> 0 AND o_orderkey % 7 <= greatest(1, ceil((o_totalprice / 10000) / 5)) THEN o_orderkey % 7 ELSE 0 END::INT AS resume_at FROM orders")
+def resume_index_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As resume_index, over all orders: those with short plans too."""
+    return resumed(table(spark, sf_dir, "orders"))
+
+
+def resumed(orders: DataFrame) -> DataFrame:
+    rows = orders.withColumn("plan", sampling.uniform_plan(F.col("o_totalprice") / 10000, F.lit(5)))
     n = (F.col("o_orderkey") % 7).cast("int")
     whole = sampling.planned_ms(F.col("plan"))
     padded = F.concat(F.slice(whole, F.lit(1), n), F.array_repeat(F.lit(-1).cast("long"), F.greatest(F.lit(0), n - F.size(whole))))

@@ -75,8 +75,13 @@ changed AS (SELECT event_id AS revision, user_id * 4 AS id, CASE WHEN event_type
 last AS (SELECT id, arg_max(type, revision) AS type, arg_max(status, revision) AS status, arg_max(size, revision) AS size FROM changed {} GROUP BY id)"""
 
 
-def view(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey < 500").selectExpr("o_orderkey AS id", "o_orderstatus AS status", "floor(o_totalprice) AS size")
+#: All orders as the view; VIEW_SQL has only the first ids.
+WHOLE_VIEW_SQL = VIEW_SQL.replace(" WHERE o_orderkey < 500", "")
+
+
+def view(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, sf_dir, "orders")
+    rows = (orders if whole else orders.where("o_orderkey < 500")).selectExpr("o_orderkey AS id", "o_orderstatus AS status", "floor(o_totalprice) AS size")
     events = table(spark, sf_dir, "events").selectExpr("event_id AS revision", "user_id * 4 AS id", "IF(event_type = 'error', 'deleted', 'updated') AS type", "IF(event_type = 'view', 'P', 'F') AS status", "floor(value * 100) AS size")
     return rows, events
 
@@ -105,6 +110,30 @@ def unseen_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.unseen_changes(events, rows).select("id", "status", "size")
 
 
+@query(f"WITH {WHOLE_VIEW_SQL.format('')} SELECT id, status, size FROM rows WHERE id NOT IN (SELECT id FROM last) UNION ALL SELECT id, status, size FROM last WHERE type = 'updated'")
+def apply_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As apply_changes, over all orders."""
+    return changes.apply_changes(*view(spark, sf_dir, whole=True))
+
+
+@query(f"WITH {WHOLE_VIEW_SQL.format('')} SELECT id, status, size FROM rows WHERE status = 'F' AND id NOT IN (SELECT id FROM last) UNION ALL SELECT id, status, size FROM last WHERE type = 'updated' AND status = 'F' AND id IN (SELECT id FROM rows WHERE status = 'F')")
+def apply_changes_filtered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, events = view(spark, sf_dir, whole=True)
+    return changes.apply_changes(rows.where("status = 'F'"), events, status="F", insert=changes.takes_new_rows(None, "F", None, "added"))
+
+
+@query(f"WITH {WHOLE_VIEW_SQL.format('WHERE revision > 300')} SELECT id, status, size FROM rows WHERE id NOT IN (SELECT id FROM last) UNION ALL SELECT id, status, size FROM last WHERE type = 'updated'")
+def snapshot_replay_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, events = view(spark, sf_dir, whole=True)
+    return changes.replay(rows, events, since=300)
+
+
+@query(f"WITH {WHOLE_VIEW_SQL.format('')} SELECT id, status, size FROM last WHERE type = 'updated' AND id NOT IN (SELECT id FROM rows)")
+def unseen_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, events = view(spark, sf_dir, whole=True)
+    return changes.unseen_changes(events, rows).select("id", "status", "size")
+
+
 @query("SELECT user_id, event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM events) WHERE h IS NULL OR value > h")
 def monotone_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.running_highest(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
