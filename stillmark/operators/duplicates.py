@@ -117,20 +117,26 @@ def components(pairs: DataFrame) -> DataFrame:
         labels = jumped.select("node", F.col("next").alias("label"))
 
 
-def groups(pairs: DataFrame, videos: DataFrame) -> DataFrame:
-    """group_id (smallest id), members by size, best_score, identical_file, suggested_keep_id (the largest), best group first."""
+def groups(pairs: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups: group_id (smallest id), n_members, suggested_keep_id (the largest), best_score, identical_file, best group
+    first. Members: group_id, id, size, a row for each."""
     labels = components(pairs)
     size = videos.select(F.col("id").alias("node"), F.coalesce("size", F.lit(0)).alias("size"))
     members = labels.join(size, "node", "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    gathered = members.groupBy(F.col("label").alias("group_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("by"), F.col("node").alias("id")))), lambda m: m["id"]).alias("members"),
-    )
+    members = members.select(F.col("label").alias("group_id"), F.col("node").alias("id"), "size")
+    largest = F.min_by("id", F.struct((-F.col("size")).alias("by"), "id"))
+    counted = members.groupBy("group_id").agg(F.count("*").alias("n_members"), largest.alias("suggested_keep_id"))
     scores = pairs.join(labels, F.col("id_a") == F.col("node")).groupBy(F.col("label").alias("group_id")).agg(F.max("score").alias("best_score"), F.bool_or("identical_file").alias("identical_file"))
-    return gathered.join(scores, "group_id").withColumn("suggested_keep_id", F.element_at("members", 1)).orderBy(F.desc("best_score"), "group_id")
+    return counted.join(scores, "group_id").orderBy(F.desc("best_score"), "group_id"), members
 
 
-def kept_members(grouped: DataFrame, kept: DataFrame) -> DataFrame:
-    """group_id, keep_id: a chosen member (the first by size of several), else the suggestion, else the first."""
-    chosen = kept.agg(F.collect_set("id").alias("chosen"))  # a user's selection, small by nature
-    picked = F.filter("members", lambda m: F.array_contains("chosen", m))
-    return grouped.crossJoin(F.broadcast(chosen)).select("group_id", F.coalesce(F.try_element_at(picked, F.lit(1)), "suggested_keep_id", F.element_at("members", 1)).alias("keep_id"))
+def kept_members(members: DataFrame, suggested: DataFrame, kept: DataFrame) -> DataFrame:
+    """group_id, keep_id: a chosen member (the first by place of several), else the suggestion, else the first.
+
+    members: group_id, id, place, a row for each; suggested: group_id, suggested_keep_id; kept: id.
+    """
+    chosen = kept.select(F.col("id").alias("chosen_id")).distinct()
+    marked = members.join(chosen, F.col("id") == F.col("chosen_id"), "left")
+    found = marked.groupBy("group_id").agg(F.min_by("id", F.when(F.col("chosen_id").isNotNull(), F.col("place"))).alias("picked"), F.min_by("id", "place").alias("first"))
+    s = suggested.select(F.col("group_id").alias("of"), "suggested_keep_id")
+    return found.join(s, F.col("group_id").eqNullSafe(F.col("of")), "left").select("group_id", F.coalesce("picked", "suggested_keep_id", "first").alias("keep_id"))

@@ -88,9 +88,14 @@ def import_outcomes(candidates: DataFrame, upserted: DataFrame) -> DataFrame:
 
 
 def import_totals(results: DataFrame) -> DataFrame:
-    """Sums of the counters, the first error by order, and all failures."""
+    """Sums of the counters, the first error by order, and the number of failures."""
     errors = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("position")))
-    return results.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("added", "skipped", "failed", "duplicates")], errors.alias("error"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "failures"))), lambda x: x["failures"])).alias("failures"))
+    return results.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("added", "skipped", "failed", "duplicates")], errors.alias("error"), F.coalesce(F.sum(F.when(F.col("failures").isNotNull(), F.size("failures"))), F.lit(0)).alias("n_failures"))
+
+
+def import_failures(results: DataFrame) -> DataFrame:
+    """position, place, failure: a row for each failure; ordered by position and place they are the whole list."""
+    return results.select("position", F.posexplode("failures").alias("place", "failure"))
 
 
 def insert_folder(folders: DataFrame, path: str, pinned: bool, recursive: bool, now_ms: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, paths, sampling
-from ..operators import catalog, duplicates, mutations
+from ..operators import catalog, duplicates, mutations, scenes
 from ..sources import media, web
 from .registry import query, table
 
@@ -228,8 +228,8 @@ SELECT user_id, count(*) AS n, min(ms) AS first, max(ms) AS last, sum(ms)::BIGIN
 def scene_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's event times as cuts, no known duration, an hour at most between frames."""
     seconds = F.unix_millis(F.col("ts").cast("timestamp")) / 1000 - 1704067200
-    cuts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(seconds).alias("c"))
-    rows = cuts.select("user_id", F.explode(sampling.scene_plan(F.col("c"), F.lit(None).cast("double"), F.lit(3600))).alias("t"))
+    cuts = table(spark, sf_dir, "events").select("user_id", seconds.alias("at"))
+    rows = scenes.scene_points(cuts, "user_id", "at", 3600)
     rows = rows.select("user_id", F.floor(F.col("t") * 1000 + 0.5).cast("long").alias("ms"))
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.min("ms").alias("first"), F.max("ms").alias("last"), F.sum("ms").alias("total"))
 
@@ -360,7 +360,7 @@ def import_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.col("p_partkey") % 10 == 9
     results = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("position"), (F.col("p_partkey") % 3).alias("added"), (F.col("p_partkey") % 5).alias("skipped"), F.col("p_size").alias("failed"), F.lit(0).alias("duplicates"), F.when(bad, F.col("p_name")).alias("error"), F.when(bad, F.array("p_name")).otherwise(F.array().cast("array<string>")).alias("failures"))
     out = mutations.import_totals(results)
-    return out.select("added", "skipped", "failed", F.col("duplicates").cast("long").alias("duplicates"), "error", F.size("failures").alias("n_failures"))
+    return out.select("added", "skipped", "failed", F.col("duplicates").cast("long").alias("duplicates"), "error", F.col("n_failures").cast("int").alias("n_failures"))
 
 
 @query(

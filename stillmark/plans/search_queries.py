@@ -166,8 +166,8 @@ FROM members JOIN labels USING (label) JOIN pairs ON id_a = node GROUP BY label,
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs to groups: connected components, the largest file suggested to be kept."""
     pairs, videos = order_pairs(spark, sf_dir)
-    found = duplicates.groups(pairs, videos)
-    return found.select("group_id", F.size("members").cast("long").alias("n_members"), "suggested_keep_id", "best_score", "identical_file")
+    found, _ = duplicates.groups(pairs, videos)
+    return found.select("group_id", "n_members", "suggested_keep_id", "best_score", "identical_file")
 
 
 @query(
@@ -176,9 +176,10 @@ SELECT group_id, coalesce(list_filter(members, lambda m: m % 100 = 7)[1], sugges
 )
 def kept_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    g = li.groupBy(F.col("l_orderkey").alias("group_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda m: m["l_partkey"]).alias("members"), F.max_by("l_partkey", "l_extendedprice").alias("suggested_keep_id"))
+    members = li.selectExpr("l_orderkey AS group_id", "l_partkey AS id", "l_linenumber AS place")
+    suggested = li.groupBy(F.col("l_orderkey").alias("group_id")).agg(F.max_by("l_partkey", "l_extendedprice").alias("suggested_keep_id"))
     chosen = table(spark, sf_dir, "part").where("p_partkey % 100 = 7").select(F.col("p_partkey").alias("id"))
-    return duplicates.kept_members(g, chosen)
+    return duplicates.kept_members(members, suggested, chosen)
 
 
 @query(

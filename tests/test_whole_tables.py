@@ -1,6 +1,12 @@
 """Queries over whole tables: no row is left out by its id, and no group has to fit in one row."""
 
-from stillmark.plans import catalog_queries, stream_queries
+import random
+
+from pyspark.sql import functions as F
+
+from stillmark.functions import sampling
+from stillmark.operators import duplicates, mutations, scenes
+from stillmark.plans import catalog_queries, search_queries, stream_queries
 from tests.test_queries import DATA
 
 
@@ -28,3 +34,38 @@ def test_short_plans_resume_too(spark):
     assert got.keys() == {r.o_orderkey for r in orders.collect()}
     short = orders.where("o_totalprice <= 20000 AND o_orderkey % 5 <> 0 AND o_custkey % 4 <> 0").collect()
     assert short and all(got[r.o_orderkey] == (r.o_orderkey % 7 if r.o_orderkey % 7 <= 1 else 0) for r in short)
+
+
+def test_failures_come_as_rows(spark):
+    rows = [(2, 1, 0, 1, 0, "second", ["c"]), (1, 1, 2, 2, 0, "first", ["b", "a"]), (3, 1, 0, 0, 0, None, []), (4, 0, 0, 0, 0, None, None)]
+    results = spark.createDataFrame(rows, "position long, added long, skipped long, failed long, duplicates long, error string, failures array<string>")
+    assert tuple(mutations.import_totals(results).first()) == (3, 2, 3, 0, "first", 3)
+    assert [r.failure for r in mutations.import_failures(results).orderBy("position", "place").collect()] == ["b", "a", "c"]
+
+
+def test_groups_and_kept_members_come_as_rows(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.9, False), (2, 3, 0.95, True), (8, 7, 0.9, False)], "id_a long, id_b long, score double, identical_file boolean")
+    videos = spark.createDataFrame([(1, 5), (2, 9), (3, 9), (7, None)], "id long, size long")
+    found, members = duplicates.groups(pairs, videos)
+    assert [tuple(r[c] for c in ("group_id", "n_members", "suggested_keep_id", "best_score", "identical_file")) for r in found.collect()] == [(1, 3, 2, 0.95, True), (7, 2, 7, 0.9, False)]
+    assert sorted((r.group_id, r.id) for r in members.collect()) == [(1, 1), (1, 2), (1, 3), (7, 7), (7, 8)]
+    placed = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 20, 1), (3, 31, 2), (3, 30, 1), (None, 40, 1)], "group_id long, id long, place long")
+    suggested = spark.createDataFrame([(1, 10), (2, 20), (3, None), (None, 41)], "group_id long, suggested_keep_id long")
+    kept = spark.createDataFrame([(12,), (11,), (11,), (99,), (None,)], "id long")
+    assert {r.group_id: r.keep_id for r in duplicates.kept_members(placed, suggested, kept).collect()} == {1: 11, 2: 20, 3: 30, None: 41}
+
+
+def test_scene_points_fold_rows_as_the_arrays(spark):
+    r = random.Random(7)
+    cuts = {k: sorted(r.choice([0.0, 1e4]) + r.randrange(60_000) / 1000 for _ in range(n)) for k, n in ((1, 400), (2, 3), (3, 1))} | {4: [0.2, 0.5, 0.6, float("nan")], 5: [None], None: [7.0, 7.25, 7.75, 8.0]}
+    rows = spark.createDataFrame([(k, t) for k, ts in cuts.items() for t in ts], "key long, at double").repartition(5)
+    arrays = rows.groupBy("key").agg(F.collect_list("at").alias("c"))
+    want = arrays.select("key", F.explode(sampling.scene_plan(F.col("c"), F.lit(None).cast("double"), F.lit(11))).alias("t"))
+    order = lambda df: sorted((str(x.key), x.t) for x in df.collect())
+    assert order(scenes.scene_points(rows, "key", "at", 11)) == order(want)
+
+
+def test_no_group_is_collected_into_a_row(spark, capsys):
+    for query in (catalog_queries.import_totals, catalog_queries.scene_plan, search_queries.duplicate_groups, search_queries.kept_members):
+        query(spark, DATA).explain()
+        assert "collect_" not in capsys.readouterr().out
