@@ -1,22 +1,25 @@
 """Suffix-array dedup: bytes inside strings of a given length that also start in an earlier document.
 
-The suffixes of the corpus are never gathered. A window of ``length`` bytes belongs to the smallest hash of its 16-byte
-pieces, so equal windows always meet under one key wherever they stand, and windows of one key come in runs.
-
-1. Documents are packed in blocks. Every block sends its distinct keys, dealt by key range, and gets back which of them
-   other documents have as well. What has no such key holds no repeat.
-2. Blocks send the runs under those keys, equal ones once, dealt by key. There the suffixes of the runs are sorted to the
-   depth of ``length``; the previous and next smaller document in suffix order give each suffix's longest previous factor,
-   cut off at ``length``.
+The suffixes of the corpus are never gathered in one place. A window of ``length`` bytes belongs to the smallest hash of
+its 16-byte pieces, so equal windows always meet under one key wherever they stand, and windows of one key come in runs.
+
+1. Documents are packed in blocks. Every block sends its distinct keys, dealt by key, and gets back which of them other
+   documents have as well. What has no such key holds no repeat.
+2. Blocks send the runs under those keys, equal ones once, dealt by key to as many buckets as the text asks for. A bucket
+   puts the suffixes of its runs in suffix order with their longest common prefixes; the nearest suffixes before and after
+   whose document is smaller (previous and next smaller value) give each suffix's longest previous factor. A factor of L
+   bytes marks every window within it.
 3. Blocks get back which windows have an earlier copy and remove the bytes they cover.
 
-A key that very many documents have (a passage that is everywhere) is dealt by whole window instead, where equal windows
-have become one within each block.
+A key that very many documents have (a passage that is everywhere) sends its windows one by one, dealt by their content,
+in two rounds of the same suffix order: first among a group of blocks, then what had no factor there among all groups. So
+no task gets more of one passage than about the square root of the number of blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,14 @@ from .encoder import text_slices
 PIECE = 16
 RUN = 48  # windows in a run at most, so a run's answer fits in 64 bits
 FILTER_BITS = 48  # of a key in the first exchange; a chance match only widens what is compared
+BUCKET_BYTES = 16_000_000  # of text for each bucket
+SORTED_TOGETHER = 200_000  # suffixes, about
 U = np.uint64
-BLOCKS = "block long, doc_ids array<long>, lens array<long>, payload binary"
+BLOCKS = "block long, size long, doc_ids array<long>, lens array<long>, payload binary"
+ENTRIES = "bucket int, block long, part int, entries binary"
+ANSWERS = "block long, part int, bucket int, to_bucket int, content binary"
 RESULT = "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept_sha256 string"
+RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("kept_sha256", pa.string())])
 
 
 def _squeeze(arrays: dict[str, np.ndarray]) -> bytes:
@@ -53,14 +61,17 @@ def _ungaps(gaps: np.ndarray) -> np.ndarray:
 
 
 def pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Whole documents in blocks of about ``block_bytes``; a longer text is a block of its own."""
+    arrow = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("payload", pa.binary())])
+
     def run(batches):
         from pyspark import TaskContext
 
         part, number, ids, lens, held, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush():
-            row = {"block": (part << 32) + number, "doc_ids": ids, "lens": lens, "payload": zstandard.compress(b"".join(held), 3)}
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("payload", pa.binary())]))
+            row = {"block": (part << 32) + number, "size": size, "doc_ids": ids, "lens": lens, "payload": zstandard.compress(b"".join(held), 3)}
+            return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
             keys, at = batch.column(0).to_pylist(), 0
@@ -80,76 +91,91 @@ def pack_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
 
 
-class Runs:
-    """The runs of one block: ``key``, absolute ``start``, number of windows ``n`` and ``doc`` (rows without doc_id have none)."""
+class Block:
+    """The bytes of one block and its documents; rows without doc_id take no part."""
 
-    def __init__(self, doc_ids: list, lens: list, payload: bytes, length: int):
-        self.length = length
-        self.lens = np.array(lens, np.int64)
+    def __init__(self, row: dict, length: int, part_bytes: int):
+        self.number, self.length, self.part_bytes, self.doc_ids = row["block"], length, part_bytes, row["doc_ids"]
+        self.lens = np.array(row["lens"], np.int64)
         self.starts = np.cumsum(np.r_[0, self.lens])
-        self.ids = np.array([-1 if d is None else d for d in doc_ids], np.int64)
-        takes_part = np.array([d is not None for d in doc_ids], bool)
-        self.data = np.frombuffer(zstandard.decompress(payload) if self.starts[-1] else b"", np.uint8)
-        padded = np.concatenate([self.data, np.zeros(64, np.uint8)])
-        low = self.starts[:-1][takes_part]
-        high = low + np.maximum(0, self.lens[takes_part] - length + 1)
-        keys, starts, ns = [], [], []
-        step = 1 << 20
-        for base in range(0, len(self.data), step):
-            end = min(base + step, len(self.data))
-            inside = np.zeros(end - base + 1, np.int8)
-            a, b = np.clip(low, base, end) - base, np.clip(high, base, end) - base
-            np.add.at(inside, a, 1)
-            np.add.at(inside, b, -1)
-            ok = np.cumsum(inside[:-1]) > 0
-            if not ok.any():
-                continue
-            m = self._window_keys(padded, base, end)
-            at = np.flatnonzero(ok)
-            key = m[at]
-            doc = np.searchsorted(self.starts, at + base, "right")
-            fresh = np.r_[True, (key[1:] != key[:-1]) | (np.diff(at) != 1) | (np.diff(doc) != 0)]
-            first = np.flatnonzero(fresh)
-            within = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
-            first = np.flatnonzero(fresh | (within % RUN == 0))
-            keys.append(key[first])
-            starts.append(at[first] + base)
-            ns.append(np.diff(np.r_[first, len(at)]))
-        self.key = np.concatenate(keys) if keys else np.zeros(0, U)
-        self.start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        self.n = np.concatenate(ns) if ns else np.zeros(0, np.int64)
-        self.doc = self.ids[np.searchsorted(self.starts, self.start, "right") - 1] if len(self.start) else np.zeros(0, np.int64)
-
-    def _window_keys(self, padded: np.ndarray, base: int, end: int) -> np.ndarray:
-        span = min(end + self.length, len(padded) - PIECE) - base
-        part = np.ascontiguousarray(padded[base : base + span + PIECE])
-        a = np.ndarray((span,), "<u8", part.data, 0, (1,))
-        b = np.ndarray((span,), "<u8", part.data, 8, (1,))
+        self.ids = np.array([-1 if d is None else d for d in self.doc_ids], np.int64)
+        takes_part = np.array([d is not None for d in self.doc_ids], bool)
+        self.data = np.frombuffer(zstandard.decompress(row["payload"]) if self.starts[-1] else b"", np.uint8)
+        self.low = self.starts[:-1][takes_part]
+        self.high = self.low + np.maximum(0, self.lens[takes_part] - length + 1)
+
+    def parts(self):
+        for base in range(0, len(self.data), self.part_bytes):
+            yield Runs(self, base, min(base + self.part_bytes, len(self.data)))
+
+
+class Runs:
+    """The runs of windows that start in one part of a block: ``key``, place in the part, number of windows ``n``, ``doc``."""
+
+    def __init__(self, block: Block, base: int, end: int):
+        self.length, self.base = block.length, base
+        self.data = block.data[base : end + block.length + PIECE]
+        inside = np.zeros(end - base + 1, np.int32)
+        np.add.at(inside, np.clip(block.low, base, end) - base, 1)
+        np.add.at(inside, np.clip(block.high, base, end) - base, -1)
+        at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        key = self._window_keys(end - base)[at]
+        doc = np.searchsorted(block.starts, at + base, "right") - 1
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (np.diff(at) != 1) | (np.diff(doc) != 0)
+        first = np.flatnonzero(fresh)
+        within = _counting(np.diff(np.r_[first, len(at)])) if len(at) else at
+        first = np.flatnonzero(fresh | (within % RUN == 0))
+        self.key, self.start, self.doc = key[first], at[first], block.ids[doc[first]]
+        self.n = np.diff(np.r_[first, len(at)])
+
+    def _window_keys(self, size: int) -> np.ndarray:
+        padded = np.concatenate([self.data, np.zeros(self.length + 2 * PIECE, np.uint8)])
+        span = size + self.length
+        a = np.ndarray((span,), "<u8", padded.data, 0, (1,))
+        b = np.ndarray((span,), "<u8", padded.data, 8, (1,))
         m = mix64(a * U(0x9E3779B97F4A7C15) + mix64(b + U(0x632BE59BD9B4E019)))
         reach, done = self.length - PIECE + 1, 1
         while done < reach:
             s = min(done, reach - done)
             m[:-s] = np.minimum(m[:-s], m[s:])
             done += s
-        return m[: end - base]
+        return m[:size]
 
     def filter_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct shortened keys, sorted, and in how many documents of the block each occurs (255 at most)."""
+        """The distinct shortened keys, sorted, and in how many documents of the part each occurs (255 at most)."""
         short = self.key >> U(64 - FILTER_BITS)
         order = np.lexsort((self.doc, short))
         k, d = short[order], self.doc[order]
-        fresh = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-        docs = fresh | np.r_[True, d[1:] != d[:-1]] if len(k) else fresh
-        first = np.flatnonzero(fresh)
-        count = np.add.reduceat(docs.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        return k[first], np.minimum(count, 255).astype(np.uint8)
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = k[1:] != k[:-1]
+        docs = fresh.copy()
+        docs[1:] |= d[1:] != d[:-1]
+        return _summed(k, docs.astype(np.int64), fresh)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(fresh)
+    return keys[first], np.minimum(np.add.reduceat(counts, first) if len(first) else counts, 255).astype(np.uint8)
+
+
+def block_keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """``filter_keys`` of all parts together."""
+    keys, counts = zip(*[p.filter_keys() for p in block.parts()]) if len(block.data) else ((np.zeros(0, U),), (np.zeros(0, np.uint8),))
+    keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    return _summed(keys, counts[order], fresh)
 
 
 class Entries:
-    """What a block sends under repeated keys: distinct strings, each with the smallest doc_id that has it in the block.
+    """What a part of a block sends under repeated keys: distinct strings, each with the smallest doc_id that has it there.
 
-    Equal runs become one. Under a hot key the windows of each distinct run are sent one by one, equal ones once. Built
-    the same way from the same block and keys each time, so answers can be given by an entry's number.
+    Equal runs become one; what an equal run of a smaller document of the part already has needs no other answer. Under a
+    hot key the windows of each distinct run are sent one by one, equal ones once. Built the same way from the same block
+    and keys each time, so answers can be given by an entry's number.
     """
 
     def __init__(self, runs: Runs, keys: np.ndarray, hot: np.ndarray):
@@ -158,7 +184,7 @@ class Entries:
         known = np.flatnonzero(keys[at] == short) if len(keys) else np.zeros(0, np.int64)
         self.run_start, self.run_n, self.run_doc = runs.start[known], runs.n[known], runs.doc[known]
         key = runs.key[known]
-        strings = padded_strings(runs.data, self.run_start, self.run_n + runs.length - 1, RUN + runs.length)
+        strings = padded_strings(runs.data, self.run_start, self.run_n + runs.length - 1, RUN + runs.length - 1)
         first, self.run_number = _distinct((self.run_doc, strings, key))
         is_hot = hot[at[known[first]]] if len(first) else np.zeros(0, bool)
         cold, alone = first[~is_hot], first[is_hot]
@@ -173,13 +199,20 @@ class Entries:
         self.key = np.concatenate([key[cold], content[single]])
         self.doc = np.concatenate([self.run_doc[cold], doc[single]])
         self.n = np.concatenate([self.run_n[cold], np.ones(len(single), np.int64)])
-        self.strings = np.concatenate([strings[cold], padded_strings(runs.data, start[single], np.full(len(single), runs.length), RUN + runs.length)])
+        self.start = np.concatenate([self.run_start[cold], start[single]])
+        self.hot = np.r_[np.zeros(len(cold), bool), np.ones(len(single), bool)]
+        self.data, self.length = runs.data, runs.length
         self.is_hot = is_hot
         self.cold_entry = np.cumsum(~is_hot) - 1
         self.single_at = np.zeros(len(first), np.int64)
         self.single_at[is_hot] = np.cumsum(n) - n
         self.single_entry = len(cold) + number
 
+    def blob(self, some: np.ndarray) -> bytes:
+        size = self.n[some] + self.length - 1
+        raw = self.data[np.repeat(self.start[some], size) + _counting(size)]
+        return _squeeze({"key": self.key[some], "doc": self.doc[some], "n": self.n[some].astype("u1"), "hot": self.hot[some].astype("u1"), "raw": raw})
+
     def copied(self, mask: np.ndarray) -> np.ndarray:
         """For each run a bit for every window that an earlier document has, from the answers to the entries."""
         out = np.zeros(len(self.run_start), U)
@@ -208,7 +241,7 @@ def _distinct(columns: tuple) -> tuple[np.ndarray, np.ndarray]:
     return order[fresh], number
 
 
-SLICE = 1 << 16  # strings looked at together, so that indices into them stay small
+SLICE = 1 << 14  # strings looked at together, so that indices into them stay small
 
 
 def window_hash(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
@@ -236,116 +269,155 @@ def _counting(n: np.ndarray) -> np.ndarray:
 
 
 def padded_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """Fixed-width strings, the length as first byte, so that they compare exactly even where text holds zero bytes."""
+    """Fixed-width strings with the length as last byte, so that they compare exactly even where text holds zero bytes."""
     out = np.zeros((len(start), width + 1), np.uint8)
-    out[:, 0] = size
+    out[:, width] = size
     for at in range(0, len(start), SLICE):
         low, long = start[at : at + SLICE], size[at : at + SLICE]
         row, col = np.repeat(np.arange(at, at + len(low)), long), _counting(long)
-        out[row, col + 1] = data[np.repeat(low, long) + col]
+        out[row, col] = data[np.repeat(low, long) + col]
     return out.view(f"S{width + 1}").ravel()
 
 
-def previous_smaller(values: np.ndarray) -> np.ndarray:
-    """For each place the nearest earlier place with a smaller value, -1 if none; by pointer jumping."""
-    at = np.arange(len(values)) - 1
-    open_ = np.flatnonzero(at >= 0)
+def _common_prefixes(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The longest common prefix of each row with the one before it (0 for the first)."""
+    out = np.zeros(len(rows), np.int64)
+    for at in range(1, len(rows), SLICE):
+        to = min(at + SLICE, len(rows))
+        unlike = rows[at:to] != rows[at - 1 : to - 1]
+        n = np.where(unlike.any(axis=1), unlike.argmax(axis=1), rows.shape[1])
+        out[at:to] = np.minimum(n, np.minimum(size[at:to], size[at - 1 : to - 1]))
+    return out
+
+
+def _factor_before(doc: np.ndarray, lcp: np.ndarray, length: int) -> np.ndarray:
+    """For each place of suffix order the prefix it shares with the nearest earlier place of a smaller document.
+
+    The previous smaller value by pointer jumping; the least common prefix on the way is carried along, and a way ends
+    where it falls under ``length``.
+    """
+    at, low = np.arange(len(doc)) - 1, lcp.copy()
+    open_ = np.flatnonzero((at >= 0) & (low >= length))
     while len(open_):
-        open_ = open_[values[at[open_]] >= values[open_]]
+        open_ = open_[doc[at[open_]] >= doc[open_]]
+        low[open_] = np.minimum(low[open_], low[at[open_]])
         at[open_] = at[at[open_]]
-        open_ = open_[at[open_] >= 0]
-    return at
+        open_ = open_[(at[open_] >= 0) & (low[open_] >= length)]
+    return np.where((at >= 0) & (low >= length), low, 0)
 
 
-def earlier_copies(strings: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which of these equally long strings also stand in a document of smaller number.
+def longest_previous_factors(suffixes: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """The longest previous factor of each suffix: its longest prefix that also starts in a smaller document, 0 if shorter
+    than ``length``.
 
-    In suffix order, the longest previous factor of a suffix is its longer common prefix with the nearest suffixes before
-    and after it whose document is smaller; both are cut off at the strings' length here, so they match or do not.
+    ``suffixes`` has a row of bytes for each, zero behind its ``size``, and the size as last byte. In suffix order the
+    longest such prefix is shared with the previous or the next place whose document is smaller.
     """
-    order = np.argsort(strings, kind="stable")
-    s, d = strings[order], doc[order]
-    group = np.cumsum(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-    before = previous_smaller(d)
-    after = len(d) - 1 - previous_smaller(d[::-1])[::-1]
-    found = (before >= 0) & (group[np.maximum(before, 0)] == group)
-    found |= (after < len(d)) & (group[np.minimum(after, len(d) - 1)] == group)
-    out = np.zeros(len(d), bool)
-    out[order] = found
+    order = np.argsort(suffixes.view(f"S{suffixes.shape[1]}").ravel(), kind="stable")
+    d, n = doc[order], size[order]
+    lcp = _common_prefixes(suffixes[order, :-1], n)
+    before = _factor_before(d, lcp, length)
+    after = _factor_before(d[::-1], np.r_[0, lcp[:0:-1]], length)[::-1]
+    out = np.zeros(len(doc), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
-def answers(key: np.ndarray, doc: np.ndarray, n: np.ndarray, strings: np.ndarray, length: int) -> np.ndarray:
-    """For each entry of a bucket a bit for every window that an earlier document has too."""
-    full = (U(1) << n.astype(U)) - U(1)
-    order = np.lexsort((doc, strings, key))
-    k, s, d = key[order], strings[order], doc[order]
-    fresh = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
-    which = np.cumsum(fresh) - 1
-    first = order[fresh]
-    mask = np.zeros(len(first), U)
-    # runs under one key that differ may still share windows; runs that are equal as a whole are settled by the first
-    _, back, times = np.unique(key[first], return_inverse=True, return_counts=True)
-    some = np.flatnonzero(times[back] > 1)
-    raw = strings.view(np.uint8).reshape(len(strings), -1)
-    todo = np.argsort(key[first[some]], kind="stable")
-    some = some[todo]
-    cuts = np.r_[0, np.flatnonzero(np.diff(key[first[some]])) + 1, len(some)] if len(some) else np.zeros(1, np.int64)
-    at = 0
-    while at < len(cuts) - 1:  # whole keys, about 200,000 windows at once
-        to = at + 1
-        while to < len(cuts) - 1 and (cuts[to + 1] - cuts[at]) * 16 < 200_000:
-            to += 1
-        part = some[cuts[at] : cuts[to]]
-        count = n[first[part]]
-        row, off = np.repeat(part, count), _counting(count)
-        windows = np.lib.stride_tricks.sliding_window_view(raw[:, 1:], length, axis=1)[first[row], off]
-        found = earlier_copies(np.ascontiguousarray(windows).view(f"S{length}").ravel(), doc[first[row]])
-        np.bitwise_or.at(mask, row[found], U(1) << off[found].astype(U))
-        at = to
-    out = np.zeros(len(key), U)
-    out[order] = np.where(d > doc[first][which], full[order], mask[which])
-    return out
-
+def answers(key: np.ndarray, doc: np.ndarray, n: np.ndarray, raw: np.ndarray, length: int) -> np.ndarray:
+    """For each entry of a bucket a bit for every window that lies in a longest previous factor.
 
-def find_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 4_000_000, hot_documents: int = 1000) -> DataFrame:
+    Whole keys are sorted together, about ``SORTED_TOGETHER`` suffixes at once. Of equal runs the one of the smallest
+    document has all its suffixes in the order, the others only themselves as a whole.
+    """
+    width, size = RUN + length - 1, n + length - 1
+    strings = padded_strings(raw, np.cumsum(size) - size, size, width)
+    order = np.lexsort((doc, strings, key))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (key[order[1:]] != key[order[:-1]]) | (strings[order[1:]] != strings[order[:-1]])
+    count = np.where(fresh, n[order], 1)
+    done = np.cumsum(count)
+    ends = np.r_[np.flatnonzero(np.diff(key[order])) + 1, len(order)] if len(order) else np.zeros(0, np.int64)
+    table, mask, at, e = strings.view(np.uint8).reshape(len(strings), -1), np.zeros(len(key), U), 0, 0
+    while at < len(order):
+        e = max(e, int(np.searchsorted(done[ends - 1], (done[at - 1] if at else 0) + SORTED_TOGETHER, "right")) - 1)
+        to = int(ends[e])
+        row, off = np.repeat(order[at:to], count[at:to]), _counting(count[at:to])
+        left = size[row] - off
+        padded = np.zeros((to - at, width + RUN), np.uint8)
+        padded[:, :width] = table[order[at:to], :width]
+        suffixes = np.empty((len(row), width + 1), np.uint8)
+        suffixes[:, :width] = np.lib.stride_tricks.sliding_window_view(padded, width, axis=1)[np.repeat(np.arange(to - at), count[at:to]), off]
+        suffixes[:, width] = left
+        factor = longest_previous_factors(suffixes, left, doc[row], length)
+        found = np.flatnonzero(factor)
+        np.bitwise_or.at(mask, row[found], ((U(1) << (factor[found] - length + 1).astype(U)) - U(1)) << off[found].astype(U))
+        at, e = to, e + 1
+    return mask
+
+
+def spans_of(places: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(from, to, doc) of the stretches that windows at these sorted places cover, document by document."""
+    fresh = np.ones(len(places), bool)
+    fresh[1:] = (np.diff(places) > length) | (np.diff(doc) != 0)
+    first = np.flatnonzero(fresh)
+    last = np.r_[first[1:], len(places)][: len(first)] - 1
+    return places[first], places[last] + length, doc[first]
+
+
+def find_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 4_000_000, part_bytes: int = 1 << 19, hot_documents: int = 1000) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, maximal), kept_sha256 for every document.
 
     A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller doc_id; strings
-    are judged on the texts as given. ``hot_documents`` only chooses how a key is dealt, not what is found.
+    are judged on the texts as given. A block is looked at in parts of ``part_bytes``, which bounds a worker's memory whatever a
+    text's length. ``hot_documents`` only chooses how a key is dealt, not what is found.
 
-    Defined results: null text is empty; texts shorter than ``length`` lose nothing; rows that share a doc_id do not
-    remove one another; rows without doc_id neither remove nor lose anything; an empty table gives no rows; other
-    columns are ignored.
+    Defined results: null text is empty; texts shorter than ``length`` lose nothing; a very long text is a block of its
+    own, looked at in parts; rows that share a doc_id do not remove one another; rows without doc_id neither remove nor
+    lose anything; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark)
     path = fresh_path(spark, "repeat-blocks")
     pack_blocks(docs, block_bytes).write.option("compression", "uncompressed").parquet(path)
     blocks = spark.read.schema(BLOCKS).parquet(path)
+    text_bytes = blocks.agg(F.sum("size")).first()[0] or 0
+    buckets = max(partitions(spark), -(-text_bytes // BUCKET_BYTES))
+    groups = max(1, math.isqrt(text_bytes // block_bytes))
 
-    def send_keys(batches):
+    def rows_of(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                keys, count = Runs(row["doc_ids"], row["lens"], row["payload"], length).filter_keys()
-                bucket = (keys * U(buckets)) >> U(FILTER_BITS) if buckets < 1 << 16 else keys % U(buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [{"bucket": b, "block": row["block"], "keys": _squeeze({"gaps": _gaps(keys[order[cuts[b] : cuts[b + 1]]]), "count": count[order[cuts[b] : cuts[b + 1]]]})} for b in range(buckets) if cuts[b] < cuts[b + 1]]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary())]))
+            for i in range(batch.num_rows):
+                yield batch.slice(i, 1).to_pylist()[0]
+                pa.default_memory_pool().release_unused()
+
+    def send_keys(batches):
+        arrow = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary())])
+        for row in rows_of(batches):
+            keys, count = block_keys(Block(row, length, part_bytes))
+            bucket = (mix64(keys) % U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            used, low = np.unique(bucket[order], return_index=True)
+            rows = [{"bucket": b, "block": row["block"], "keys": _squeeze({"gaps": _gaps(keys[some]), "count": count[some]})} for b, some in zip(used.tolist(), np.split(order, low[1:]))]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     def repeated_keys(group: pa.Table) -> pa.Table:
         sent = [_expand(b) for b in group["keys"].to_pylist()]
         lists = [_ungaps(x["gaps"]) for x in sent]
-        keys, number, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        documents = np.bincount(number, np.concatenate([x["count"] for x in sent]), len(keys))
-        kept, hot = (documents > 1) | (times > 1), documents > hot_documents
+        every = np.concatenate(lists)
+        order = np.argsort(every, kind="stable")
+        ordered = every[order]
+        fresh = np.ones(len(every), bool)
+        fresh[1:] = ordered[1:] != ordered[:-1]
+        first = np.flatnonzero(fresh)
+        documents = np.add.reduceat(np.concatenate([x["count"] for x in sent]).astype(np.int64)[order], first)
+        times = np.diff(np.r_[first, len(every)])
+        state = np.empty(len(every), np.uint8)  # 1 repeated, 2 hot
+        state[order] = np.repeat(np.where(documents > hot_documents, 2, (documents > 1) | (times > 1)).astype(np.uint8), times)
         out, at = [], 0
         for mine in lists:
-            own = number[at : at + len(mine)]
+            own = state[at : at + len(mine)]
             at += len(mine)
-            own = own[kept[own]]
-            out.append(_squeeze({"gaps": _gaps(keys[own]), "hot": hot[own].astype("u1")}))
+            out.append(_squeeze({"gaps": _gaps(mine[own > 0]), "hot": (own[own > 0] == 2).astype("u1")}))
+        pa.default_memory_pool().release_unused()
         return pa.table({"key_block": group["block"], "repeated": pa.array(out, pa.binary())})
 
     sent = blocks.select("block", "doc_ids", "lens", "payload").mapInArrow(send_keys, "bucket int, block long, keys binary")
@@ -354,63 +426,100 @@ def find_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 4_000_000
     repeated.groupBy("key_block").agg(F.collect_list("repeated").alias("repeated")).write.option("compression", "uncompressed").parquet(keys_path)
     keyed = blocks.join(spark.read.parquet(keys_path), F.col("block") == F.col("key_block"), "left")
 
-    def entries(row: dict) -> tuple[Runs, Entries, np.ndarray]:
-        runs = Runs(row["doc_ids"], row["lens"], row["payload"], length)
+    def entries(row: dict, block: Block):
+        """(part number, what it sends, the bucket of each entry) for each part of the block."""
         sent = [_expand(b) for b in row["repeated"] or ()]
         keys = np.concatenate([_ungaps(x["gaps"]) for x in sent]) if sent else np.zeros(0, U)
         hot = np.concatenate([x["hot"] for x in sent]).astype(bool) if sent else np.zeros(0, bool)
         order = np.argsort(keys, kind="stable")
-        made = Entries(runs, keys[order], hot[order])
-        return runs, made, (made.key % U(buckets)).astype(np.int64)
+        keys, hot = keys[order], hot[order]
+        salt = mix64(mix64(np.array([block.number], U)) % U(groups) + U(1))
+        for part, runs in enumerate(block.parts()) if len(keys) else ():
+            made = Entries(runs, keys, hot)
+            yield part, runs, made, (np.where(made.hot, mix64(made.key ^ salt), mix64(made.key)) % U(buckets)).astype(np.int64)
 
     def send_entries(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, e, bucket = entries(row)
-                rows = []
-                for b in np.unique(bucket).tolist():
-                    mine = np.flatnonzero(bucket == b)
-                    rows.append({"bucket": b, "block": row["block"], "entries": _squeeze({"key": e.key[mine], "doc": e.doc[mine], "n": e.n[mine].astype("u1"), "strings": e.strings[mine].view(np.uint8)})})
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("entries", pa.binary())]))
-
-    width = RUN + length + 1
+        arrow = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("entries", pa.binary())])
+        for row in rows_of(batches):
+            for part, _, e, bucket in entries(row, Block(row, length, part_bytes)):
+                order = np.argsort(bucket, kind="stable")
+                used, low = np.unique(bucket[order], return_index=True)
+                rows = [{"bucket": b, "block": row["block"], "part": part, "entries": e.blob(some)} for b, some in zip(used.tolist(), np.split(order, low[1:]))]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     def judge(group: pa.Table) -> pa.Table:
+        """Answers to every sender. Windows sent one by one that no document of the group has earlier go on to round two."""
         sent = [_expand(b) for b in group["entries"].to_pylist()]
-        key, doc, n = (np.concatenate([x[c] for x in sent]) for c in ("key", "doc", "n"))
-        strings = np.concatenate([x["strings"] for x in sent]).view(f"S{width}")
-        mask = answers(key, doc, n.astype(np.int64), strings, length)
-        cuts = np.cumsum([len(x["key"]) for x in sent])[:-1]
-        out = [_squeeze({"mask": m}) for m in np.split(mask, cuts)]
-        return pa.table({"answer_block": group["block"], "bucket": group["bucket"], "masks": pa.array(out, pa.binary())})
-
-    dealt = keyed.mapInArrow(send_entries, "bucket int, block long, entries binary")
-    judged = dealt.groupBy("bucket").applyInArrow(judge, "answer_block long, bucket int, masks binary")
-    answer_path = fresh_path(spark, "repeat-answers")
-    judged.groupBy("answer_block").agg(F.collect_list(F.struct("bucket", "masks")).alias("answers")).write.option("compression", "uncompressed").parquet(answer_path)
+        key, doc, n, raw = (np.concatenate([x[c] for x in sent]) for c in ("key", "doc", "n", "raw"))
+        mask = answers(key, doc, n.astype(np.int64), raw, length)
+        rows, at = [], 0
+        for block, part, bucket, x in zip(*(group[c].to_pylist() for c in ("block", "part", "bucket")), sent):
+            own = mask[at : at + len(x["key"])]
+            at += len(own)
+            rows.append({"block": block, "part": part, "bucket": bucket, "to_bucket": -1, "content": _squeeze({"mask": own})})
+            if groups > 1:
+                size = x["n"].astype(np.int64) + length - 1
+                start = np.cumsum(size) - size
+                again = np.flatnonzero((x["hot"] == 1) & (own == 0))
+                home = (mix64(x["key"][again]) % U(buckets)).astype(np.int64)
+                again = again[np.argsort(home, kind="stable")]
+                used, low = np.unique(np.sort(home), return_index=True)
+                for b, some in zip(used.tolist(), np.split(again, low[1:])):
+                    long = np.repeat(start[some], length) + np.tile(np.arange(length), len(some))
+                    rows.append({"block": block, "part": part, "bucket": bucket, "to_bucket": b, "content": _squeeze({"at": some, "key": x["key"][some], "doc": x["doc"][some], "raw": x["raw"][long]})})
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("bucket", pa.int32()), ("to_bucket", pa.int32()), ("content", pa.binary())]))
+
+    def judge_again(group: pa.Table) -> pa.Table:
+        sent = [_expand(b) for b in group["content"].to_pylist()]
+        key, doc, raw = (np.concatenate([x[c] for x in sent]) for c in ("key", "doc", "raw"))
+        mask = answers(key, doc, np.ones(len(key), np.int64), raw, length)
+        out = [_squeeze({"at": x["at"], "mask": m}) for x, m in zip(sent, np.split(mask, np.cumsum([len(x["key"]) for x in sent])[:-1]))]
+        pa.default_memory_pool().release_unused()
+        return pa.table({"block": group["block"], "part": group["part"], "bucket": group["bucket"], "to_bucket": pa.array([-1] * len(out), pa.int32()), "content": pa.array(out, pa.binary())})
+
+    dealt = keyed.mapInArrow(send_entries, ENTRIES)
+    first_path = fresh_path(spark, "repeat-answers")
+    dealt.groupBy("bucket").applyInArrow(judge, ANSWERS).write.option("compression", "uncompressed").parquet(first_path)
+    judged = spark.read.schema(ANSWERS).parquet(first_path)
+    second = judged.where("to_bucket >= 0").groupBy("to_bucket").applyInArrow(judge_again, ANSWERS)
+    told = judged.where("to_bucket < 0").unionByName(second).select(F.col("block").alias("answer_block"), F.struct("part", "bucket", "content").alias("answer"))
+    answer_path = fresh_path(spark, "repeat-told")
+    told.groupBy("answer_block").agg(F.collect_list("answer").alias("answers")).write.option("compression", "uncompressed").parquet(answer_path)
     answered = keyed.join(spark.read.parquet(answer_path), F.col("block") == F.col("answer_block"), "left")
 
     def cut(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                runs, e, bucket = entries(row)
+        for row in rows_of(batches):
+            block, told = Block(row, length, part_bytes), {}
+            for a in row["answers"] or ():
+                told.setdefault((a["part"], a["bucket"]), []).append(a["content"])
+            found = []
+            for part, runs, e, bucket in entries(row, block):
                 mask = np.zeros(len(e.key), U)
-                for a in row["answers"] or ():
-                    mask[bucket == a["bucket"]] = _expand(a["masks"])["mask"]
+                order = np.argsort(bucket, kind="stable")
+                used, low = np.unique(bucket[order], return_index=True)
+                for b, some in zip(used.tolist(), np.split(order, low[1:])):
+                    for x in map(_expand, told.get((part, b), ())):
+                        mask[some[x["at"]] if "at" in x else some] |= x["mask"]
                 own = e.copied(mask)
-                cover = np.zeros(len(runs.data) + 1, np.int64)
-                for i in range(int(e.run_n.max()) if len(own) else 0):
-                    at = e.run_start[(own >> U(i)) & U(1) == 1] + i
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + length, -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                rows = []
-                for k, doc_id in enumerate(row["doc_ids"]):
-                    low, high = runs.starts[k], runs.starts[k + 1]
-                    mine = gone[low:high]
-                    edge = np.diff(mine.astype(np.int8), prepend=0, append=0)
-                    spans = [{"from": a, "to": b} for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())]
-                    rows.append({"doc_id": doc_id, "n_bytes": int(high - low), "spans": spans, "kept_sha256": hashlib.sha256(runs.data[low:high][~mine].tobytes()).hexdigest()})
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("kept_sha256", pa.string())]))
+                which, bit = np.nonzero(np.unpackbits(np.ascontiguousarray(own).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                places = np.sort(e.run_start[which] + bit) + runs.base
+                found.append(spans_of(places, np.searchsorted(block.starts, places, "right") - 1, length))
+            low, high, of = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            joined = np.ones(len(low), bool)
+            joined[1:] = (low[1:] > high[:-1]) | (np.diff(of) != 0)
+            high = high[np.r_[np.flatnonzero(joined)[1:], len(low)].astype(int) - 1] if len(low) else high
+            low, of = low[joined], of[joined]
+            cuts, rows = np.searchsorted(of, np.arange(len(block.lens) + 1)), []
+            for k, doc_id in enumerate(block.doc_ids):
+                begin, end, kept = int(block.starts[k]), int(block.starts[k + 1]), hashlib.sha256()
+                spans, at = [], begin
+                for a, b in zip(low[cuts[k] : cuts[k + 1]].tolist(), high[cuts[k] : cuts[k + 1]].tolist()):
+                    kept.update(block.data[at:a])
+                    spans.append({"from": a - begin, "to": b - begin})
+                    at = b
+                kept.update(block.data[at:end])
+                rows.append({"doc_id": doc_id, "n_bytes": end - begin, "spans": spans, "kept_sha256": kept.hexdigest()})
+            yield pa.RecordBatch.from_pylist(rows, schema=RESULT_ARROW)
 
     return answered.mapInArrow(cut, RESULT)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from stillmark.llm import repeats
 
@@ -51,10 +52,10 @@ def corpus():
 
 
 @pytest.mark.parametrize("hot_documents", [1000, 0, 3])
-@pytest.mark.parametrize("block_bytes", [1500, 4_000_000])
-def test_all_windows_are_found(spark, hot_documents, block_bytes):
+@pytest.mark.parametrize("block_bytes, part_bytes", [(1500, 1 << 19), (1500, 700), (4_000_000, 1 << 19), (4_000_000, 999)])
+def test_all_windows_are_found(spark, hot_documents, block_bytes, part_bytes):
     rows = corpus()
-    assert found(spark, rows, hot_documents=hot_documents, block_bytes=block_bytes) == brute(rows, 50)
+    assert found(spark, rows, hot_documents=hot_documents, block_bytes=block_bytes, part_bytes=part_bytes) == brute(rows, 50)
 
 
 def test_other_length(spark):
@@ -67,27 +68,47 @@ def test_empty_and_tiny_tables(spark):
     assert found(spark, [(1, None), (2, "")]) == brute([(1, None), (2, "")], 50)
 
 
-def test_earlier_copies_uses_the_smaller_document():
-    strings = np.array([b"aa", b"bb", b"aa", b"cc", b"bb", b"aa"])
-    doc = np.array([5, 1, 3, 0, 1, 3])
-    assert repeats.earlier_copies(strings, doc).tolist() == [True, False, False, False, False, False]
+def test_a_passage_in_every_document_and_a_long_text(spark):
+    rng = random.Random(8)
+    passage = " ".join(str(rng.randrange(10**9)) for _ in range(40))
+    rows = [(i, f"{rng.random()} {passage} {rng.random()}") for i in range(300)]
+    rows.append((1000, " ".join(str(rng.randrange(10**12)) for _ in range(60_000)) + passage))  # 0.8 MB, one block
+    assert found(spark, rows, hot_documents=20, block_bytes=4000, part_bytes=50_000) == brute(rows, 50)
 
 
-def test_previous_smaller():
-    assert repeats.previous_smaller(np.array([3, 1, 2, 2, 5, 0, 4])).tolist() == [-1, -1, 1, 1, 3, -1, 5]
+def padded(strings, width):
+    size = np.array([len(s) for s in strings])
+    rows = repeats.padded_strings(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size, width)
+    return rows.view(np.uint8).reshape(len(strings), -1), size
 
 
-def test_equal_hashes_of_different_windows_stay_apart(spark, monkeypatch):
+def test_longest_previous_factors_against_all_pairs():
+    rng = random.Random(3)
+    strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    doc = np.array([rng.randrange(40) for _ in strings])
+    rows, size = padded(strings, 9)
+
+    def common(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    for least in (1, 3):
+        want = [max((common(s, t) for t, e in zip(strings, doc) if e < d), default=0) for s, d in zip(strings, doc)]
+        assert repeats.longest_previous_factors(rows, size, doc, least).tolist() == [n if n >= least else 0 for n in want]
+
+
+def test_equal_hashes_of_different_windows_stay_apart(monkeypatch):
     rows = corpus()[:30]
     monkeypatch.setattr(repeats, "window_hash", lambda data, start, length: np.zeros(len(start), np.uint64))
     data = [t.encode() for _, t in rows]
-    block = repeats.Runs([d for d, _ in rows], list(map(len, data)), __import__("zstandard").compress(b"".join(data)), 50)
-    keys = np.unique(block.key >> np.uint64(64 - repeats.FILTER_BITS))
-    made = repeats.Entries(block, keys, np.ones(len(keys), bool))
-    mask = repeats.answers(made.key, made.doc, made.n, made.strings, 50)
-    bits = made.copied(mask)
+    row = {"block": 0, "doc_ids": [d for d, _ in rows], "lens": list(map(len, data)), "payload": zstandard.compress(b"".join(data))}
+    block = repeats.Block(row, 50, 1 << 19)
+    (runs,) = block.parts()
+    keys = np.unique(runs.key >> np.uint64(64 - repeats.FILTER_BITS))
+    made = repeats.Entries(runs, keys, np.ones(len(keys), bool))
+    raw = np.concatenate([runs.data[a : a + n + 49] for a, n in zip(made.start, made.n)])
+    bits = made.copied(repeats.answers(made.key, made.doc, made.n, raw, 50))
     first = {}
-    for d, text in zip([d for d, _ in rows], data):
+    for d, text in zip(row["doc_ids"], data):
         for i in range(len(text) - 49):
             first.setdefault(text[i : i + 50], d)
     for start, n, doc, got in zip(made.run_start, made.run_n, made.run_doc, bits):
