@@ -75,6 +75,14 @@ def unpack_arrays(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it where ``df`` has such a column already (names compare in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser on uint64 arrays."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -8,6 +8,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from stillmark.llm import simhash
+from stillmark.llm.components import LocalUnion
 
 
 def fp(text):
@@ -57,47 +58,90 @@ def test_components(documents, leaf_weight):
     assert got(simhash.near_duplicates(documents(rows), leaf_weight=leaf_weight)) == components(rows)
 
 
-def test_chain_of_links():
-    rng = np.random.default_rng(1)
-    chain = [int(rng.integers(1 << 63))]
-    for _ in range(60):
-        flip = 0
-        for b in rng.choice(64, 4, replace=False).tolist():
-            flip |= 1 << b
-        chain.append(chain[-1] ^ flip)
-    fps = np.array(chain, np.uint64)
-    from stillmark.llm.components import LocalUnion
+def pairs(fps, distance=4):
+    return {(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= distance}
 
-    union = LocalUnion(len(fps))
-    for band in range(4):
-        a, root = simhash.link_in_shard(np.ones(len(fps), bool), fps, band, 16, 1, 4, most=50)
+
+def balls(seed, n=400):
+    """Fingerprints in clusters whose members differ by a few bits, some of them all in one band's value."""
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 1 << 63, 12).astype(np.uint64)
+    centres[6:] = (centres[6:] & ~np.uint64(0xFFFF)) | np.uint64(0x1234)
+    out = []
+    for _ in range(n):
+        x = int(rng.choice(centres))
+        for b in rng.choice(64, rng.integers(0, 8), replace=False).tolist():
+            x ^= 1 << b
+        out.append(x)
+    return np.unique(np.array(out, np.uint64))
+
+
+def test_links_of_a_shard_are_those_of_all_pairs():
+    for seed in range(3):
+        fps = balls(seed)
+        want = LocalUnion(len(fps))
+        a, b = zip(*pairs(fps))
+        want.link(np.array(a), np.array(b))
+        found, root = simhash.link_in_shard(np.ones(len(fps), bool), fps, 4, leaf_rows=8, most=500)
         at = {int(x): i for i, x in enumerate(fps)}
-        union.link(np.array([at[int(x)] for x in a], int), np.array([at[int(x)] for x in root], int))
-    assert (union.roots() == 0).all()
-
-
-def test_tree_reaches_every_leaf_within_the_radius():
-    rng = np.random.default_rng(2)
-    values = np.unique(rng.integers(0, 1 << 16, 3000).astype(np.uint64))
-    tree = simhash.VantageTree(values, np.ones(len(values), np.int64), 40)
-    home = np.zeros(len(values), int)
-    rows, leaves = tree.leaves_within(values, 0)
-    home[rows] = leaves
-    assert len(rows) == len(values) and np.bincount(leaves).max() <= 40
-    rows, leaves = tree.leaves_within(values[:200], 1)
-    reached = set(zip(rows.tolist(), leaves.tolist()))
-    for i in range(200):
-        near = np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 1)
-        assert all((i, int(home[j])) in reached for j in near)
-
-
-def test_empty_and_keep_first(documents):
+        union = LocalUnion(len(fps))
+        union.link(np.array([at[int(x)] for x in found], int), np.array([at[int(x)] for x in root], int))
+        assert (union.roots() == want.roots()).all()
+
+
+def test_every_pair_meets_in_a_shard():
+    fps = balls(5, 800)
+    together = set()
+    for band in range(4):
+        mask = np.uint64(0xFFFF << 16 * band)
+        values, counts = np.unique(fps & mask, return_counts=True)
+        tree = simhash.VantageTree(values, counts, int(mask), 1, 4, 20, fps[::2])
+        home = tree.home(fps)
+        rows, leaves = tree.reached(fps)
+        visits = {(i, leaf) for i, leaf in zip(rows.tolist(), leaves.tolist()) if leaf >= home[i]}
+        together |= {(i, j) for i, j in pairs(fps) if (i, int(home[j])) in visits or (j, int(home[i])) in visits}
+        if band == 0:  # one value holds half of them and is divided by all bits
+            assert counts.max() > 100 and np.bincount(home).max() < 60
+    assert together == pairs(fps)
+
+
+@pytest.mark.parametrize("leaf_weight", [8192, 20])
+def test_classes_with_a_heavy_band_value(spark, leaf_weight):
+    fps = balls(7, 600)
+    prints = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    rows = simhash.linked_classes(prints, leaf_weight=leaf_weight, sample_rows=200).collect()
+    union, at = LocalUnion(len(fps)), {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    a, b = zip(*pairs(fps))
+    union.link(np.array(a), np.array(b))
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.root, set()).add(int(union.roots()[at[r.class_fp]]))
+    assert len(rows) == len(fps) and all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(union.roots().tolist()))
+
+
+def test_empty_tables(documents):
     assert simhash.near_duplicates(documents([])).collect() == []
+    assert simhash.keep_one(documents([])).collect() == []
+
+
+def test_one_row_of_each_component_stays(spark):
     rows = corpus()
-    docs = documents(rows)
-    classes = simhash.near_duplicates(docs)
-    kept = simhash.keep_first(docs, classes)
+    rows.append((1, rows[5][1]))  # the doc_id of other texts
+    docs = spark.createDataFrame([(d, t, i, "x") for i, (d, t) in enumerate(rows)], "doc_id long, text string, fp int, gone_row string").repartition(3)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    want = {d for d, _, c in components(rows) if d is not None and d == c}
-    assert {i for i in ids if i is not None} <= want | {1} and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+    prints = [fp(t) for _, t in rows]
+    union = LocalUnion(len(rows))
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    union.link(*map(np.array, zip(*linked)))
+    root = union.roots().tolist()
+    got = [r.fp for r in kept.collect()]
+    assert sorted(root[i] for i in got) == sorted(set(root))
+    for i in got:
+        ids = [rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None]
+        assert rows[i][0] == min(ids, default=None)
+
+
+def test_a_very_long_text(documents):
+    text = " ".join(f"w{i % 9973}" for i in range(300_000))
+    assert {r.component_id for r in simhash.near_duplicates(documents([(4, text), (2, text + " end"), (9, "other words stand here alone")])).collect()} == {2, 9}
