@@ -38,7 +38,7 @@ SORTED_TOGETHER = 200_000  # suffixes, about
 U = np.uint64
 BLOCKS = "block long, size long, doc_ids array<long>, lens array<long>, payload binary"
 ENTRIES = "bucket int, block long, part int, entries binary"
-ANSWERS = "block long, part int, bucket int, to_bucket int, content binary"
+ANSWERS = "block long, to_bucket int, content binary"
 RESULT = "doc_id long, n_bytes long, spans array<struct<from:long,to:long>>, kept_sha256 string"
 RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("kept_sha256", pa.string())])
 
@@ -364,7 +364,7 @@ def spans_of(places: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarr
     return places[first], places[last] + length, doc[first]
 
 
-def find_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 4_000_000, part_bytes: int = 1 << 19, hot_documents: int = 1000) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 4_000_000, part_bytes: int = 1 << 19, hot_documents: int = 10_000) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, maximal), kept_sha256 for every document.
 
     A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller doc_id; strings
@@ -447,60 +447,70 @@ def find_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 4_000_000
                 rows = [{"bucket": b, "block": row["block"], "part": part, "entries": e.blob(some)} for b, some in zip(used.tolist(), np.split(order, low[1:]))]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
+    told_arrow = pa.schema([("block", pa.int64()), ("to_bucket", pa.int32()), ("content", pa.binary())])
+
     def judge(group: pa.Table) -> pa.Table:
         """Answers to every sender. Windows sent one by one that no document of the group has earlier go on to round two."""
         sent = [_expand(b) for b in group["entries"].to_pylist()]
         key, doc, n, raw = (np.concatenate([x[c] for x in sent]) for c in ("key", "doc", "n", "raw"))
         mask = answers(key, doc, n.astype(np.int64), raw, length)
-        rows, at = [], 0
-        for block, part, bucket, x in zip(*(group[c].to_pylist() for c in ("block", "part", "bucket")), sent):
+        home, rows, again, at = [group[c].to_pylist() for c in ("block", "part", "bucket")], [], [], 0
+        for block, part, bucket, x in zip(*home, sent):
             own = mask[at : at + len(x["key"])]
             at += len(own)
-            rows.append({"block": block, "part": part, "bucket": bucket, "to_bucket": -1, "content": _squeeze({"mask": own})})
-            if groups > 1:
+            rows.append({"block": block, "to_bucket": -1, "content": _squeeze({"part": np.array([part], "<i4"), "bucket": np.array([bucket], "<i4"), "mask": own})})
+            left = np.flatnonzero((x["hot"] == 1) & (own == 0)) if groups > 1 else []
+            if len(left):
                 size = x["n"].astype(np.int64) + length - 1
-                start = np.cumsum(size) - size
-                again = np.flatnonzero((x["hot"] == 1) & (own == 0))
-                home = (mix64(x["key"][again]) % U(buckets)).astype(np.int64)
-                again = again[np.argsort(home, kind="stable")]
-                used, low = np.unique(np.sort(home), return_index=True)
-                for b, some in zip(used.tolist(), np.split(again, low[1:])):
-                    long = np.repeat(start[some], length) + np.tile(np.arange(length), len(some))
-                    rows.append({"block": block, "part": part, "bucket": bucket, "to_bucket": b, "content": _squeeze({"at": some, "key": x["key"][some], "doc": x["doc"][some], "raw": x["raw"][long]})})
+                raw = x["raw"][np.repeat((np.cumsum(size) - size)[left], length) + np.tile(np.arange(length), len(left))]
+                again.append({"block": np.full(len(left), block), "part": np.full(len(left), part, "<i4"), "bucket": np.full(len(left), bucket, "<i4"), "at": left, "key": x["key"][left], "doc": x["doc"][left], "raw": raw.reshape(-1, length)})
+        if again:
+            every = {c: np.concatenate([x[c] for x in again]) for c in again[0]}
+            to = (mix64(every["key"]) % U(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            used, low = np.unique(to[order], return_index=True)
+            rows += [{"block": None, "to_bucket": b, "content": _squeeze({c: x[some].ravel() for c, x in every.items()})} for b, some in zip(used.tolist(), np.split(order, low[1:]))]
         pa.default_memory_pool().release_unused()
-        return pa.Table.from_pylist(rows, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("bucket", pa.int32()), ("to_bucket", pa.int32()), ("content", pa.binary())]))
+        return pa.Table.from_pylist(rows, schema=told_arrow)
 
     def judge_again(group: pa.Table) -> pa.Table:
+        """Answers, for each block in one row, to the windows that round two found an earlier copy of."""
         sent = [_expand(b) for b in group["content"].to_pylist()]
-        key, doc, raw = (np.concatenate([x[c] for x in sent]) for c in ("key", "doc", "raw"))
-        mask = answers(key, doc, np.ones(len(key), np.int64), raw, length)
-        out = [_squeeze({"at": x["at"], "mask": m}) for x, m in zip(sent, np.split(mask, np.cumsum([len(x["key"]) for x in sent])[:-1]))]
+        every = {c: np.concatenate([x[c] for x in sent]) for c in ("block", "part", "bucket", "at", "key", "doc", "raw")}
+        mask = answers(every["key"], every["doc"], np.ones(len(every["key"]), np.int64), every["raw"], length)
+        order = np.argsort(every["block"], kind="stable")
+        order = order[mask[order] != 0]
+        used, low = np.unique(every["block"][order], return_index=True)
+        rows = [{"block": b, "to_bucket": -1, "content": _squeeze({"mask": mask[some], **{c: every[c][some] for c in ("part", "bucket", "at")}})} for b, some in zip(used.tolist(), np.split(order, low[1:]))]
         pa.default_memory_pool().release_unused()
-        return pa.table({"block": group["block"], "part": group["part"], "bucket": group["bucket"], "to_bucket": pa.array([-1] * len(out), pa.int32()), "content": pa.array(out, pa.binary())})
+        return pa.Table.from_pylist(rows, schema=told_arrow)
 
     dealt = keyed.mapInArrow(send_entries, ENTRIES)
     first_path = fresh_path(spark, "repeat-answers")
     dealt.groupBy("bucket").applyInArrow(judge, ANSWERS).write.option("compression", "uncompressed").parquet(first_path)
     judged = spark.read.schema(ANSWERS).parquet(first_path)
     second = judged.where("to_bucket >= 0").groupBy("to_bucket").applyInArrow(judge_again, ANSWERS)
-    told = judged.where("to_bucket < 0").unionByName(second).select(F.col("block").alias("answer_block"), F.struct("part", "bucket", "content").alias("answer"))
+    told = judged.where("to_bucket < 0").unionByName(second).select(F.col("block").alias("answer_block"), "content")
     answer_path = fresh_path(spark, "repeat-told")
-    told.groupBy("answer_block").agg(F.collect_list("answer").alias("answers")).write.option("compression", "uncompressed").parquet(answer_path)
+    told.groupBy("answer_block").agg(F.collect_list("content").alias("answers")).write.option("compression", "uncompressed").parquet(answer_path)
     answered = keyed.join(spark.read.parquet(answer_path), F.col("block") == F.col("answer_block"), "left")
 
     def cut(batches):
         for row in rows_of(batches):
-            block, told = Block(row, length, part_bytes), {}
-            for a in row["answers"] or ():
-                told.setdefault((a["part"], a["bucket"]), []).append(a["content"])
-            found = []
+            block, told, found = Block(row, length, part_bytes), {}, []
+            for x in map(_expand, row["answers"] or ()):
+                for part in np.unique(x["part"]).tolist():
+                    told.setdefault(part, []).append(x)
             for part, runs, e, bucket in entries(row, block):
-                mask = np.zeros(len(e.key), U)
-                order = np.argsort(bucket, kind="stable")
-                used, low = np.unique(bucket[order], return_index=True)
-                for b, some in zip(used.tolist(), np.split(order, low[1:])):
-                    for x in map(_expand, told.get((part, b), ())):
-                        mask[some[x["at"]] if "at" in x else some] |= x["mask"]
+                order, mask = np.argsort(bucket, kind="stable"), np.zeros(len(e.key), U)
+                ordered = bucket[order]
+                for x in told.get(part, ()):
+                    low = np.searchsorted(ordered, x["bucket"])
+                    if "at" in x:
+                        mine = x["part"] == part
+                        mask[order[low[mine] + x["at"][mine]]] |= x["mask"][mine]
+                    else:
+                        mask[order[low[0] : low[0] + len(x["mask"])]] |= x["mask"]
                 own = e.copied(mask)
                 which, bit = np.nonzero(np.unpackbits(np.ascontiguousarray(own).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
                 places = np.sort(e.run_start[which] + bit) + runs.base
