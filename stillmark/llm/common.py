@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 
@@ -11,12 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "/tmp/checkpoints/stillmark"
+#: Names of stores as Hadoop has them and as Arrow has them.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a local one where that is unset and all run in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = LOCAL_FALLBACK
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -57,7 +62,8 @@ def open_fs(path: str):
         return pafs.LocalFileSystem(), path
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
-    return pafs.FileSystem.from_uri(path)
+    scheme, rest = path.split("://", 1)
+    return pafs.FileSystem.from_uri(f"{ARROW_SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:

@@ -45,11 +45,8 @@ class ChunkEncoder:
         return np.asarray(ids, self.dtype).tobytes()
 
     def _encode_apart(self, chunk: str) -> bytes:
-        """A chunk as ordinary text, even where it holds the form of a special token."""
-        self.whole.encode_special_tokens = True
-        ids = self.whole.encode_batch_fast([chunk], add_special_tokens=False)[0].ids
-        self.whole.encode_special_tokens = False
-        return self._bytes(ids)
+        """A chunk by itself, as the library gives it: the form of a special token in a text is that token."""
+        return self._bytes(self.whole.encode_batch_fast([chunk], add_special_tokens=False)[0].ids)
 
     def _encode_joined(self, chunks: list[str]) -> list[bytes]:
         """Many short chunks in one call, kept apart by a special token that none of them contains."""
