@@ -31,11 +31,11 @@ def corpus():
     return rows, source
 
 
-@pytest.mark.parametrize("per_bucket", [7, 1000])
-def test_budgets(spark, documents, per_bucket):
+@pytest.mark.parametrize("per_part", [7, 1000])
+def test_budgets(spark, documents, per_part):
     rows, source = corpus()
     quality = spark.createDataFrame([(i, 3.0 if i % 2 else -1.0) for i in range(100)] + [(5, None)], "doc_id long, weight double")
-    got = mixing.mix_sources(documents(rows, source=source), quality, rows_per_bucket=per_bucket).collect()
+    got = mixing.mix_sources(documents(rows, source=source), quality, rows_per_part=per_part).collect()
     size = {d: len(WORD.findall(t or "")) for d, t in rows}
     per = {}
     for d, _ in rows:
@@ -51,18 +51,17 @@ def test_budgets(spark, documents, per_bucket):
     assert all(abs(taken[s] - want[s]) <= 0.5 for s in want)
 
 
-def test_bucket_size_does_not_change_the_choice(spark, documents):
+def test_part_size_does_not_change_the_choice(spark, documents):
     rows, source = corpus()
-    runs = [sorted((r.doc_id, r.taken) for r in mixing.mix_sources(documents(rows, n, source=source), rows_per_bucket=b).collect()) for n, b in ((1, 3), (4, 50), (2, 1000))]
+    runs = [sorted((r.doc_id, r.taken) for r in mixing.mix_sources(documents(rows, n, source=source), rows_per_part=b).collect()) for n, b in ((1, 3), (4, 50), (2, 1000))]
     assert runs[0] == runs[1] == runs[2]
 
 
 def test_mixed_rows(spark, documents):
     rows, source = corpus()
     docs = documents(rows, source=source)
-    mixed = mixing.mix_sources(docs)
-    taken = {r.doc_id: r.taken for r in mixed.collect()}
-    out = mixing.apply_mix(docs, mixed)
+    taken = {r.doc_id: r.taken for r in mixing.mix_sources(docs).collect()}
+    out = mixing.mixed_corpus(docs)
     assert out.columns == docs.columns
     words, text = {}, dict(rows)
     for r in out.collect():
@@ -76,3 +75,26 @@ def test_odd_tables(documents):
     got = mixing.mix_sources(documents([(1, None), (2, ""), (None, "a b"), (3, "x"), (3, "x")])).collect()
     assert len(got) == 5 and sum(r.taken for r in got) == 6
     assert all(r.target == 0 for r in mixing.mix_sources(documents([(1, None)])).collect())
+
+
+def test_rows_that_share_an_id_or_have_none_are_told_apart(spark):
+    rows = [(None, "a " * 10, "s", 1, "x"), (None, "b " * 10, "s", 2, "y"), (7, "c " * 10, "t", 3, None), (7, "d " * 10, "t", 4, None), (8, None, "t", 5, None), (9, "e", None, 6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, row string")
+    out = mixing.mixed_corpus(docs)
+    assert out.columns == docs.columns
+    words = {}
+    for r in out.collect():
+        words[r.size] = words.get(r.size, 0) + len(r.text.split())
+    plan = mixing.mix_sources(docs).collect()
+    assert sorted(words.values()) == sorted(r.taken for r in plan if r.taken)
+    assert mixing.mixed_corpus(docs.where("doc_id > 99")).collect() == []
+
+
+def test_parts_stay_even_under_unlike_weights_and_equal_ids(spark, monkeypatch):
+    n, seen = 20_000, []
+    docs = spark.range(n).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "'one two' AS text", "'s' AS source")
+    quality = spark.range(n).selectExpr("id AS doc_id", "if(id % 2 = 0, 2.0D, 0.05D) AS weight")
+    write = mixing.saved
+    monkeypatch.setattr(mixing, "saved", lambda df, name: seen.append(out) or out if (out := write(df, name)) is not None and name == "mix-order" else out)
+    mixing.mix_sources(docs, quality, rows_per_part=1000).count()
+    assert seen[0].groupBy("part").count().agg({"count": "max"}).first()[0] < 3000
