@@ -22,7 +22,7 @@ from .encoder import text_slices
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 INDEX = "segment long, doc_ids array<long>, n_words array<long>, terms array<binary>, positions array<binary>"
 HITS = "segment long, ordinal long, doc_id long, n_words long, spans array<struct<from:long,to:long>>, item_ids array<string>"
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -138,13 +138,37 @@ def _items(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[str, list[bytes]]]]:
-    """The query set in blocks whose size is proven before they are collected: one block, unless it is large."""
+def _blocks(items: DataFrame):
+    """The query set in blocks of about ``BROADCAST_BYTES`` by a hash, one at a time on the driver."""
     items = _items(items)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // BROADCAST_BYTES
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r.item_id, w) for r in items.where(block == k).collect() if (w := words_of(r.text))] for k in range(n)]
+    for k in range(n):
+        yield [(r.item_id, w) for r in items.where(block == k).collect() if (w := words_of(r.text))]
+
+
+class ItemSet:
+    """The words of a block of items one after another, and all their windows, to tell at once which a segment may hold."""
+
+    def __init__(self, block: list[tuple[str, list[bytes]]], window: int | None):
+        self.block = block
+        self.terms = {t: i for i, t in enumerate(dict.fromkeys(w for _, words in block for w in words))}
+        self.flat = np.fromiter((self.terms[w] for _, words in block for w in words), np.int32)
+        m = np.array([len(words) for _, words in block], np.int64)
+        size = m if window is None else np.minimum(m, window)
+        n = m - size + 1
+        self.owner = np.repeat(np.arange(len(m)), n).astype(np.int32)
+        self.begin = (np.repeat(np.cumsum(m) - m - np.cumsum(n) + n, n) + np.arange(n.sum())).astype(np.int32)
+        self.end = (self.begin + np.repeat(size, n)).astype(np.int32)
+
+    def possible(self, terms) -> list[tuple[str, list[bytes]]]:
+        """The items with a window all of whose words are among ``terms``: a word that the segment lacks rules its windows out."""
+        known = np.zeros(len(self.terms), bool)
+        known[[i for t in terms if (i := self.terms.get(t)) is not None]] = True
+        seen = np.r_[0, np.cumsum(known[self.flat])]
+        full = seen[self.end] - seen[self.begin] == self.end - self.begin
+        return [self.block[k] for k in np.unique(self.owner[full]).tolist()]
 
 
 def find_windows(index: DataFrame, block: list[tuple[str, list[bytes]]], window: int | None = 10) -> DataFrame:
@@ -153,7 +177,7 @@ def find_windows(index: DataFrame, block: list[tuple[str, list[bytes]]], window:
     shared = spark.sparkContext.broadcast(block)
 
     def run(batches):
-        none = np.zeros(0, np.int64)
+        none, items = np.zeros(0, np.int64), ItemSet(shared.value, window)
         for batch in batches:
             for row in batch.to_pylist():
                 lists = {t: _unpacked(p) for t, p in zip(row["terms"], row["positions"])}
@@ -161,7 +185,7 @@ def find_windows(index: DataFrame, block: list[tuple[str, list[bytes]]], window:
                 starts = np.cumsum(np.r_[0, lens + 1])
                 cover = np.zeros(starts[-1] + 1, np.int64)
                 named: dict[int, set[str]] = {}
-                for item_id, words in shared.value:
+                for item_id, words in items.possible(lists):
                     size = len(words) if window is None else min(window, len(words))
                     for s, places in phrase_starts([lists.get(w, none) for w in words], window):
                         np.add.at(cover, places + s, 1)
@@ -199,27 +223,34 @@ def _merged(hits: DataFrame) -> DataFrame:
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, spans, item_ids for every document: where windows of ``window`` item words occur in it.
 
-    An item with fewer words is one window. The index keeps postings of the items' words only. Up to 32 MB of item texts
-    are broadcast at once; more are taken in blocks, each searched against all documents.
+    An item with fewer words is one window. Items are taken in blocks of about 8 MB, in the same way however many there
+    are: for each block an index that holds the postings of its words, searched with all its items. What one block found
+    is written before the next is read, so driver and tasks hold one block at a time.
 
-    Defined results: null and empty texts have no words and no hits; items without words or item_id are never found; a
-    repeated item_id is one item; repeated document rows each give a row; empty tables give no rows, or no hits; other
-    columns are ignored.
+    Defined results: null and empty texts have no words and no hits; a very long text is a segment of its own; items
+    without words or item_id are never found; a repeated item_id is one item; repeated document rows each give a row;
+    empty tables give no rows, or no hits; other columns, whatever their names, are ignored.
     """
-    blocks = _blocks(items)
-    terms = sorted({w for _, words in blocks[0] for w in words}) if len(blocks) == 1 else None
-    index = build_index(docs, terms)
-    found = [find_windows(index, block, window) for block in blocks]
+    found = []
+    for block in _blocks(items):
+        index = build_index(docs, sorted({w for _, words in block for w in words}))
+        found.append(saved(find_windows(index, block, window), "benchmark-hits"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return (_merged(out) if len(found) > 1 else out).select("doc_id", "n_words", "spans", "item_ids")
 
 
-def drop_contaminated(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents without any hit, all columns as they are (rows without doc_id stay, as they can't be named)."""
-    hit = saved(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("hit_doc_id")).distinct(), "contaminated")
-    return docs.join(hit, F.col("doc_id") == F.col("hit_doc_id"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The documents without any window of an item, all columns as they are.
+
+    The decision is by row, not by doc_id: documents are written once with a row number, by which hits come back to them.
+    Defined results: as ``find_contamination``; an empty table stays empty; extra columns may have any name.
+    """
+    rows = saved(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows-to-clean")
+    found = find_contamination(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), items, window)
+    hit = saved(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("hit_row")), "contaminated")
+    return rows.join(hit, F.col("row") == F.col("hit_row"), "left_anti").select("doc.*")
 
 
 def find_near(index: DataFrame, items: DataFrame, slack: int = 5) -> DataFrame:

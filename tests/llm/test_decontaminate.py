@@ -81,6 +81,49 @@ def test_empty_tables_and_dropping(spark, documents):
     assert decontaminate.find_contamination(documents([]), items).collect() == []
     docs = documents([(1, "clean"), (2, "has Some benchmark-passage in"), (None, "clean too"), (3, None)])
     assert found(decontaminate.find_contamination(docs, items.where("item_id > 5"))) == [(1, 1, [], []), (2, 5, [], []), (3, 0, [], []), (None, 2, [], [])]
-    kept = decontaminate.drop_contaminated(docs, decontaminate.find_contamination(docs, items))
+    kept = decontaminate.drop_contaminated(docs, items)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+    assert decontaminate.drop_contaminated(documents([]), items).collect() == []
+
+
+def test_only_hit_rows_are_dropped(spark):
+    items = spark.createDataFrame([(1, "some benchmark passage")], "item_id long, text string")
+    rows = [(1, "clean", 1, "a"), (1, "has some benchmark passage", 2, "b"), (None, "some benchmark passage", 3, "c"), (None, "clean", 4, "d"), (2, None, 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long, hit_doc_id string")
+    kept = decontaminate.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(r.row for r in kept.collect()) == [1, 4, 5]
+
+
+def test_possible_items_are_those_with_a_window_of_known_words():
+    rng = random.Random(4)
+    block = [(str(i), [rng.choice(b"abcdefgh").to_bytes() for _ in range(rng.randrange(1, 9))]) for i in range(80)]
+    for window in (3, None):
+        items = decontaminate.ItemSet(block, window)
+        for _ in range(20):
+            known = {rng.choice(b"abcdefghz").to_bytes() for _ in range(rng.randrange(7))}
+            size = lambda w: len(w) if window is None else min(window, len(w))
+            want = [b for b in block if any(set(b[1][i : i + size(b[1])]) <= known for i in range(len(b[1]) - size(b[1]) + 1))]
+            assert items.possible(known) == want
+
+
+def near(rows, items, slack):
+    """The shortest stretch that holds all words of an item, the first of several, by trying all."""
+    out = []
+    for d, text in rows:
+        w = words(text)
+        for item_id, item in items:
+            need = set(words(item))
+            spans = [(b - a, a, b) for a in range(len(w)) for b in range(a + 1, min(len(w), a + len(words(item)) + slack) + 1) if need <= set(w[a:b])]
+            if spans:
+                out.append((d, item_id, *min(spans)[1:]))
+    return sorted(out, key=repr)
+
+
+def test_proximity_against_all_stretches(spark, documents):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(40)))) for i in range(40)]
+    items = [(str(i), " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 6)))) for i in range(12)]
+    found = decontaminate.find_near(decontaminate.build_index(documents(rows)), spark.createDataFrame(items, "item_id string, text string"), slack=2)
+    assert sorted(((r.doc_id, r.item_id, r["from"], r["to"]) for r in found.collect()), key=repr) == near(rows, items, 2)
