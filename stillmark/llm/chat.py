@@ -2,37 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import partitions, saved
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def rotate_perspectives(conversations: DataFrame, narrators: tuple[str, ...] = ("system",), turns_per_piece: int = 64) -> DataFrame:
+def rotate_perspectives(conversations: DataFrame, narrators: tuple[str, ...] = ("system",), messages_per_piece: int = 4096) -> DataFrame:
     """conv_id, participant, piece, n_messages, rendered, mask_spans: each dialogue once for every participant.
 
     In a participant's rendering their own messages are the assistant's, everyone else is a named user, and roles in
     ``narrators`` keep their name and are nobody's perspective. ``mask_spans`` holds [from, to) in characters of
     ``rendered``: the participant's words with their end mark, on which loss is taken.
 
-    A dialogue comes in pieces of ``turns_per_piece`` turn numbers (piece 0 first), so a conversation that holds any share
-    of all rows is spread over tasks and no task collects more than a piece. One shuffle gathers the pieces and one
-    joins them to the participants; skewed conversations are split by the join.
+    A dialogue of up to ``messages_per_piece`` messages is one row, piece 0. A longer one goes on in further rows: the whole
+    rendering is its pieces' one after another, and spans count from the start of their own piece. So a conversation that
+    holds any share of all rows is spread over tasks. Messages are numbered without gathering a conversation: a range sort
+    puts them in order (a row number parts equal ones), its parts are counted, and a message's number is its place in the
+    part plus the counts before.
 
-    Defined results: null conv_id is one conversation; messages without turn come first, as piece -1; null text is
-    empty and null role is a user without a name and no participant; exact repeats of a message are one message; ties in
-    turn go by role, then text; conversations without participants give no row; chat marks inside a text lose their form
-    (``<|`` becomes ``< |``); other columns are ignored.
+    Defined results: null conv_id is one conversation; messages without turn come first; null text is empty and null role
+    is a user without a name and no participant; repeated messages all stay; ties in turn go by role, then text; very long
+    texts are rendered whole; conversations without participants give no row, nor does an empty table; chat marks inside a
+    text lose their form (``<|`` becomes ``< |``); other columns, whatever their names, are ignored.
     """
+    spark = conversations.sparkSession
     narrator = F.col("role").isin(*narrators)
-    rows = conversations.select(
+    sent = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"),
         F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
-    ).withColumn("piece", F.coalesce(F.floor(F.col("turn") / turns_per_piece), F.lit(-1)))
+        F.monotonically_increasing_id().alias("row"),
+    )
+    order = ["conv_id", "turn", "role", "text", "row"]
+    rows = saved(sent.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id()), "messages")
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    counts = counts.select(F.col("conv_id").alias("of"), F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(*order[1:]))
+    numbered = rows.withColumn("place", place).join(counts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
+    number = F.col("before") + F.col("place") - 1
+    messages = numbered.select("conv_id", F.floor(number / messages_per_piece).alias("piece"), F.struct(number.alias("number"), "role", "text").alias("m"))
     who = rows.where(F.col("role").isNotNull() & ~narrator).select(F.col("conv_id").alias("who_conv_id"), F.col("role").alias("participant")).distinct()
-    pieces = rows.distinct().groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+    pieces = messages.groupBy("conv_id", "piece").agg(F.sort_array(F.collect_list("m")).alias("messages"))
     seen = pieces.join(who, pieces.conv_id.eqNullSafe(who.who_conv_id))
 
     def head(m: Column) -> Column:
@@ -59,23 +74,24 @@ def rotate_perspectives(conversations: DataFrame, narrators: tuple[str, ...] = (
 
 ORACLE_SQL = r"""
 WITH msgs AS (
-  SELECT DISTINCT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text,
-         coalesce(floor(turn / 64)::BIGINT, -1) AS piece
-  FROM conversations),
+  SELECT *, (number - 1) // 4096 AS piece FROM (
+    SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, replace(coalesce(text, ''), '<|', '< |')) AS number
+    FROM conversations)),
 who AS (SELECT DISTINCT conv_id, role AS participant FROM msgs WHERE role IS NOT NULL AND role <> 'system'),
 parts AS (
-  SELECT m.conv_id, w.participant, m.piece, m.turn, m.role, m.text,
+  SELECT m.conv_id, w.participant, m.piece, m.number,
          '<|im_start|>' || CASE WHEN m.role = w.participant THEN 'assistant' WHEN m.role IS NULL THEN 'user'
            WHEN m.role = 'system' THEN m.role ELSE 'user name=' || m.role END || chr(10) AS head,
          m.text || '<|im_end|>' AS body, coalesce(m.role = w.participant, false) AS own
   FROM msgs m JOIN who w ON m.conv_id IS NOT DISTINCT FROM w.conv_id),
 placed AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
-             PARTITION BY conv_id, participant, piece ORDER BY turn NULLS FIRST, role NULLS FIRST, text
+             PARTITION BY conv_id, participant, piece ORDER BY number
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos
   FROM parts)
 SELECT conv_id, participant, piece, count(*)::INT AS n_messages,
-       string_agg(head || body, chr(10) ORDER BY turn NULLS FIRST, role NULLS FIRST, text) || chr(10) AS rendered,
+       string_agg(head || body, chr(10) ORDER BY number) || chr(10) AS rendered,
        coalesce(string_agg(CASE WHEN own THEN pos::VARCHAR || '-' || (pos + length(body))::VARCHAR END, ',' ORDER BY pos), '') AS mask_spans
 FROM placed GROUP BY conv_id, participant, piece
 """

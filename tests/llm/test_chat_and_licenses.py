@@ -1,10 +1,14 @@
 """Chat perspectives and licence digests on small tables."""
 
+import random
+
+import pytest
+
 from stillmark.llm import chat, licenses
 
 
 def test_every_participant_is_the_assistant_once(spark):
-    rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, "ann", "a<|im_end|>"), (1, 3, "ann", "a<|im_end|>")]
+    rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, "ann", "a<|im_end|>")]
     got = {r.participant: r for r in chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got.keys() == {"ann", "bob"} and all(r.n_messages == 4 for r in got.values())
     ann = got["ann"]
@@ -14,13 +18,40 @@ def test_every_participant_is_the_assistant_once(spark):
 
 
 def test_odd_conversations(spark):
-    schema = "conv_id long, turn long, role string, text string, piece string, messages int"
-    rows = [(None, None, None, None, "x", 1), (None, 1, "z", "a", "x", 1), (2, 1, "system", "alone", "x", 1), (3, 70, "p", "late", "x", 1), (3, 1, "q", "", "x", 1), (3, 1, "p", "tie", "x", 1)]
-    got = sorted((str(r.conv_id), r.participant, r.piece, r.n_messages) for r in chat.rotate_perspectives(spark.createDataFrame(rows, schema)).collect())
-    assert got == [("3", "p", 0, 2), ("3", "p", 1, 1), ("3", "q", 0, 2), ("3", "q", 1, 1), ("None", "z", -1, 1), ("None", "z", 0, 1)]
+    schema = "conv_id long, turn long, role string, text string, piece string, messages int, part int, number long"
+    rows = [(None, None, None, None), (None, 1, "z", "a"), (2, 1, "system", "alone"), (3, 70, "p", "late"), (3, 1, "q", ""), (3, 1, "p", "tie"), (4, None, "a", "ok"), (4, None, "a", "ok"), (4, None, "b", "ok")]
+    talk = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], schema).repartition(3)
+    got = {(r.conv_id, r.participant): r for r in chat.rotate_perspectives(talk).collect()}
+    assert {k: r.n_messages for k, r in got.items()} == {(3, "p"): 3, (3, "q"): 3, (None, "z"): 2, (4, "a"): 3, (4, "b"): 3}
+    assert all(r.piece == 0 for r in got.values()) and len(got[4, "a"].mask_spans) == 2
     assert chat.rotate_perspectives(spark.createDataFrame([], schema)).collect() == []
 
 
+def dialogue(messages, participant):
+    """The whole rendering and what is masked in, by hand."""
+    rendered, masked = "", []
+    for _, role, text in sorted(messages, key=lambda m: (m[0] is not None, m[0] or 0, m[1] is not None, m[1] or "", m[2] or "")):
+        name = "assistant" if role == participant else "user" if role is None else role if role == "system" else f"user name={role}"
+        body = (text or "").replace("<|", "< |") + "<|im_end|>"
+        masked += [body] if role == participant else []
+        rendered += f"<|im_start|>{name}\n{body}\n"
+    return rendered, masked
+
+
+@pytest.mark.parametrize("per_piece", [4096, 7])
+def test_whole_dialogues_with_repeats_and_long_texts(spark, per_piece):
+    rng = random.Random(2)
+    rows = [(c, rng.choice([None, *range(90)]), rng.choice([None, "system", "ann", "bob", "eve"]), rng.choice(["ok", "yes", None, "<|x", str(rng.random())])) for c in (1, 2, None) for _ in range(150)]
+    rows += [(2, 5, "ann", "long " * 100_000)] + [(9, 1, "ann", "ok")] * 40
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {}
+    for r in chat.rotate_perspectives(talk, messages_per_piece=per_piece).orderBy("piece").collect():
+        text, masked = got.get((r.conv_id, r.participant), ("", []))
+        got[r.conv_id, r.participant] = text + r.rendered, masked + [r.rendered[s["from"] : s["to"]] for s in r.mask_spans]
+    want = {(c, p): dialogue([m[1:] for m in rows if m[0] == c], p) for c in (1, 2, None) for p in ("ann", "bob", "eve")} | {(9, "ann"): dialogue([r[1:] for r in rows[-40:]], "ann")}
+    assert got == want
+
+
 def test_licences_are_found_in_any_dress(documents):
     mit = licenses.KNOWN_LICENSES["MIT"]
     rows = [
