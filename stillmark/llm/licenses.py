@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +62,42 @@ required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
+as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software
+is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and
+the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works
+of the Software, unless such copies or derivative works are solely in the form of machine-executable object code
+generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE
+COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 KNOWN_LICENSES = {
     "MIT": _MIT,
     "MIT (titled)": "MIT License\n\n" + _MIT,
+    "MIT (titled, with name)": "The MIT License (MIT)\n\n" + _MIT,
+    "Unlicense": _UNLICENSE,
+    "BSL-1.0": _BOOST,
     "ISC": _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_DISCLAIMER,
     "0BSD": _ISC_GRANT + ".\n" + _ISC_DISCLAIMER,
     "BSD-2-Clause": _BSD_HEAD + _BSD_TAIL,
@@ -72,6 +107,22 @@ KNOWN_LICENSES = {
     "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 (notice)": "Licensed under CC BY-NC 4.0.",
 }
+# Digests of the canonical form of long licences as published, the copies that systems ship.
+KNOWN_DIGESTS = {
+    "Apache-2.0": "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184",
+    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",
+    "GFDL-1.3": "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826",
+    "GPL-1.0": "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a",
+    "GPL-2.0": "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+}
 EQUAL_SPELLINGS = {
     "licence": "license",
     "licences": "licenses",
@@ -87,14 +138,13 @@ EQUAL_SPELLINGS = {
     "https": "http",
 }
 #: A notice names a sign, a year or a holder after a colon; a licence's own words may begin a line with "copyright" or "(c)".
-COPYRIGHT_LINE = (
-    r"(?m)^[\x20\t]*(?:(?:\(c\)[\x20\t]*)?copyright\b[\x20\t,]*(?:\(c\)|\u00a9|:|[0-9]{4}\b)|\(c\)[\x20\t]*[0-9]{4}\b|\u00a9)[^\n]*$"
-    r"|^[\x20\t]*all rights reserved[\x20\t.]*$"
+#: Lines end at line feeds only, here and in SQL.
+NOTICE = (
+    r"^[\x20\t]*(?:(?:\(c\)[\x20\t]*)?copyright\b[\x20\t,]*(?:\(c\)|\u00a9|:|[0-9]{4}\b)|\(c\)[\x20\t]*[0-9]{4}\b|\u00a9)[^\n]*$"
+    r"|^[\x20\t]*all rights reserved[\x20\t\r.]*$"
 )
+COPYRIGHT_LINE = "(?md)" + NOTICE
 BETWEEN_WORDS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\u00a0\u2000-\u206f]+"
-#: As the SQL has them: its lines go by their first word only, and it knows no typographic marks.
-SQL_COPYRIGHT_LINE = r"(?m)^[\x20\t]*(?:copyright\b|\(c\)|all rights reserved)[^\n]*$"
-SQL_BETWEEN_WORDS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
 def canonical(text: Column) -> Column:
@@ -114,8 +164,15 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, licenses: dict[str, str] | DataFrame | None = None) -> DataFrame:
-    """license_id and digest of each known text, by the same rules as the documents; a table has license_id, license_text."""
+    """license_id and digest of each known text, by the same rules as the documents; a table has license_id, license_text.
+
+    Without ``licenses`` the texts here and the digests of long ones are meant.
+    """
     known = licenses if isinstance(licenses, DataFrame) else spark.createDataFrame(list((licenses or KNOWN_LICENSES).items()), "license_id string, license_text string")
+    if licenses is None:
+        fixed = spark.createDataFrame([(d, i) for i, d in KNOWN_DIGESTS.items()], "license_digest string, license_id string")
+        texts = known.select(digest(F.col("license_text")).alias("license_digest"), "license_id")
+        return texts.unionByName(fixed).groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
     return known.groupBy(digest(F.col("license_text")).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -126,8 +183,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     size by default; a large one is joined by shuffle like any other, as no hint is given.
 
     Defined results: null text has null digest and no licence; empty text has the digest of the empty string, which is no
-    licence; repeated rows each give a row; equal digests among the known ones count for the smallest license_id; other
-    columns are ignored.
+    licence; very long texts are hashed whole; repeated rows each give a row; equal digests among the known ones count for
+    the smallest license_id; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
     known = known if known is not None else known_digests(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text").cast("string")).alias("digest"))
@@ -139,16 +196,21 @@ def oracle_sql() -> str:
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
+    def signs(pattern: str) -> str:
+        return re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern)
+
     def canonical_sql(text: str) -> str:
         lowered = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        sql = f"' ' || trim(regexp_replace(regexp_replace({lowered}, '{SQL_COPYRIGHT_LINE}', ' ', 'g'), '{SQL_BETWEEN_WORDS}', ' ', 'g')) || ' '"
+        sql = f"' ' || trim(regexp_replace(regexp_replace({lowered}, '(?m){signs(NOTICE)}', ' ', 'g'), '{signs(BETWEEN_WORDS)}', ' ', 'g')) || ' '"
         for spelling, same in EQUAL_SPELLINGS.items():
             sql = f"replace({sql}, ' {spelling} ', ' {same} ')"
         return f"sha256(trim({sql}))"
 
     known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in KNOWN_LICENSES.items())
+    fixed = ", ".join(f"({quoted(d)}, {quoted(k)})" for k, d in KNOWN_DIGESTS.items())
     return f"""
-WITH known AS (SELECT {canonical_sql("t")} AS d, min(i) AS license_id FROM (VALUES {known}) AS v(i, t) GROUP BY 1),
+WITH known AS (
+  SELECT d, min(i) AS license_id FROM (SELECT {canonical_sql("t")} AS d, i FROM (VALUES {known}) AS v(i, t) UNION ALL SELECT * FROM (VALUES {fixed}) AS f(d, i)) GROUP BY 1),
 docs AS (SELECT doc_id, {canonical_sql("text")} AS digest FROM documents)
 SELECT doc_id, digest, license_id, license_id IS NOT NULL AS is_license FROM docs LEFT JOIN known ON digest = d
 """
