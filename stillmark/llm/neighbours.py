@@ -12,17 +12,16 @@ from pyspark.sql import functions as F
 
 from .common import partitions, saved
 
-PARTIAL = "query_id long, vec_id long, score double"
+PARTIAL = "query_row long, query_id long, row long, vec_id long, score double"
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the vectors that take part: finite, not zero, of the most usual length (then the shortest)."""
+    """row, vec_id and embedding of the vectors that take part: finite and not zero. The row number tells repeated ids apart."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0))
-    rows = saved(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
-    lengths = rows.groupBy(F.size("embedding").alias("length")).count().orderBy(F.desc("count"), "length").take(1)
-    return rows.where(F.size("embedding") == lengths[0].length) if lengths else rows
+    return saved(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding"), "vectors")
 
 
 def matrix(column) -> np.ndarray:
@@ -35,27 +34,32 @@ def distances(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.sqrt(((queries[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2))
 
 
-def nearest(query_ids, queries, vec_ids, vectors, k: int):
-    """The k nearest of a block for each query, ties to the smaller vec_id, in slices of bounded memory."""
+def nearest(asked: tuple, held: tuple, k: int) -> pa.Table:
+    """The k nearest of a block for each query, ties to the smaller vec_id, in slices of bounded memory.
+
+    Both are (row, id, vectors); a query meets every row but its own.
+    """
+    (query_rows, query_ids, queries), (rows, vec_ids, vectors) = asked, held
     step = max(1, 4_000_000 // max(1, vectors.size))
-    order = np.argsort(vec_ids, kind="stable")
-    vec_ids, vectors = vec_ids[order], vectors[order]
+    order = np.lexsort((rows, vec_ids))
+    rows, vec_ids, vectors = rows[order], vec_ids[order], vectors[order]
     out = []
     for at in range(0, len(queries), step):
         d = distances(queries[at : at + step], vectors)
-        d[query_ids[at : at + step, None] == vec_ids[None, :]] = np.inf
-        for row, q in zip(d, query_ids[at : at + step]):
-            top = np.argsort(row, kind="stable")[:k]
-            top = top[np.isfinite(row[top])]
-            out.append((np.full(len(top), q), vec_ids[top], row[top]))
-    cat = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-    return pa.table({"query_id": cat[0].astype(np.int64), "vec_id": cat[1].astype(np.int64), "score": cat[2]})
+        d[query_rows[at : at + step, None] == rows[None, :]] = np.inf
+        for line, q, i in zip(d, query_rows[at : at + step], query_ids[at : at + step]):
+            top = np.argsort(line, kind="stable")[:k]
+            top = top[np.isfinite(line[top])]
+            out.append((np.full(len(top), q), np.full(len(top), i), rows[top], vec_ids[top], line[top]))
+    cat = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+    names = ["query_row", "query_id", "row", "vec_id"]
+    return pa.table({**{c: x.astype(np.int64) for c, x in zip(names, cat)}, "score": cat[4]})
 
 
 def best_of(found: pa.Table, k: int) -> pa.Table:
     """The k best rows of each query."""
-    q, v, d = (found[c].to_numpy() for c in ("query_id", "vec_id", "score"))
-    order = np.lexsort((v, d, q))
+    q, r, v, d = (found[c].to_numpy() for c in ("query_row", "row", "vec_id", "score"))
+    order = np.lexsort((r, v, d, q))
     fresh = np.r_[True, np.diff(q[order]) != 0] if len(q) else np.zeros(0, bool)
     place = np.arange(len(q)) - np.maximum.accumulate(np.where(fresh, np.arange(len(q)), 0)) if len(q) else np.zeros(0, int)
     return found.take(pa.array(order[place < k]))
@@ -157,22 +161,24 @@ def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
-def brute_force(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """The exact k nearest of a bounded set of queries against all rows: every task sends its k best for each query."""
-    shared = vectors.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], np.float64)))
+def brute_force(vectors: DataFrame, queries: list, k: int) -> DataFrame:
+    """``PARTIAL`` and rank: the exact k nearest of a bounded set of queries (rows of ``usable``) of one length against all
+    rows of that length: every task sends its k best for each query."""
+    asked = tuple(np.array([r[c] for r in queries], t) for c, t in (("row", np.int64), ("vec_id", np.int64), ("embedding", np.float64)))
+    shared = vectors.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches):
-        ids, points = shared.value
         for batch in batches:
             if batch.num_rows:
-                yield from nearest(ids, points, batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1)), k).to_batches()
+                held = (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), matrix(batch.column(2)))
+                yield from nearest(shared.value, held, k).to_batches()
 
-    return ranked(vectors.select("vec_id", "embedding").mapInArrow(run, PARTIAL), k)
+    return ranked(vectors.select("row", "vec_id", "embedding").mapInArrow(run, PARTIAL), k)
 
 
 def ranked(partial: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id", "row")
+    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest_neighbours(
@@ -187,26 +193,35 @@ def nearest_neighbours(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row whose vec_id is divisible by ``every``.
 
-    The tree is fitted on a bounded sample (``sample_rows``, chosen by a hash of vec_id) and indexes every row. The number
+    The tree is fitted on a bounded sample (``sample_rows``, chosen by a hash of the row) and indexes every row. The number
     of leaves to visit is widened until the calibration queries (at most ``calibration_queries``, searched by brute force
     over all rows) reach ``recall``. Neighbouring leaves share a shard, to which a query goes once; a leaf with many rows,
-    such as copies of one vector, is dealt to several shards by a hash of vec_id. No task holds more than about
+    such as copies of one vector, is dealt to several shards by a hash of the row. No task holds more than about
     ``rows_per_shard`` vectors, and each shard sends k rows for a query.
 
-    Defined results: vectors that are null, zero, not finite or of an unusual length take no part; of rows with one
-    vec_id the smallest vector counts; null vec_ids take no part; fewer candidates than k give them all; ties go to the
-    smaller vec_id; an empty table gives no rows; other columns are ignored.
+    Defined results: vectors that are null, zero or not finite take no part, nor do null vec_ids; every row is a candidate
+    of its own, also where vec_ids repeat (each repeated query is answered, and meets the other rows of its id); vectors
+    meet those of their own length, each length having its own tree; fewer candidates than k give them all; ties go to the
+    smaller vec_id; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
-    spark = vectors.sparkSession
     clean = usable(vectors)
-    total = clean.count()
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = [r.length for r in clean.select(F.size("embedding").alias("length")).distinct().orderBy("length").collect()]
+    out = vectors.sparkSession.createDataFrame([], RESULT)
+    for length in lengths:  # one, in most tables
+        same = clean.where(F.size("embedding") == length) if len(lengths) > 1 else clean
+        found = _search(same, every, k, recall, sample_rows, leaf_rows, calibration_queries, rows_per_shard)
+        out = found if length == lengths[0] else out.unionByName(found)
+    return out
+
+
+def _search(clean: DataFrame, every: int, k: int, recall: float, sample_rows: int, leaf_rows: int, calibration_queries: int, rows_per_shard: int) -> DataFrame:
+    """``nearest_neighbours`` of written rows of one length."""
+    spark, total = clean.sparkSession, clean.count()
 
     def sampled(rows: DataFrame, name: str, most: int, of: int) -> list:
         """At most ``most`` rows with the smallest hashes; the filter before the sort keeps about twice that."""
-        h = F.pmod(F.xxhash64(F.lit(name), "vec_id"), F.lit(1 << 31))
-        return rows.withColumn("h", h).where(F.col("h") < int(min(1.0, 2 * most / of) * (1 << 31))).orderBy("h", "vec_id").limit(most).collect()
+        h = F.pmod(F.xxhash64(F.lit(name), "row"), F.lit(1 << 31))
+        return rows.withColumn("h", h).where(F.col("h") < int(min(1.0, 2 * most / of) * (1 << 31))).orderBy("h", "row").limit(most).collect()
 
     sample = sampled(clean, "tree", sample_rows, total)
     points = np.array([r.embedding for r in sample], np.float64)
@@ -215,9 +230,9 @@ def nearest_neighbours(
 
     def place(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(shared_tree.value.assign(matrix(batch.column(1)))), batch.column(0), batch.column(1)], ["leaf", "vec_id", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(shared_tree.value.assign(matrix(batch.column(2)))), *batch.columns], ["leaf", "row", "vec_id", "embedding"])
 
-    index = saved(clean.mapInArrow(place, "leaf long, vec_id long, embedding array<double>"), "vector-index")
+    index = saved(clean.mapInArrow(place, "leaf long, row long, vec_id long, embedding array<double>"), "vector-index")
     counts = np.zeros(tree.leaves, np.int64)
     for r in index.groupBy("leaf").count().collect():  # one row for each leaf of the bounded tree
         counts[r.leaf] = r["count"]
@@ -226,13 +241,13 @@ def nearest_neighbours(
     visits = 1
     if n_asked:
         probe = sampled(asked, "calibrate", calibration_queries, n_asked)
-        truth = brute_force(clean, [(r.vec_id, r.embedding) for r in probe], k)
-        where_is = truth.join(index.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()
+        truth = brute_force(clean, probe, k)
+        where_is = truth.select("query_row", "row").join(index.select("row", "leaf"), "row").select("query_row", "leaf").collect()
         place_of = {}
         for r in probe:
             order = tree.best_first(np.array(r.embedding), tree.leaves, 0, counts)
-            place_of[r.vec_id] = {leaf: i for i, leaf in enumerate(order)}
-        needed = np.array([place_of[r.query_id][r.leaf] for r in where_is])
+            place_of[r.row] = {leaf: i for i, leaf in enumerate(order)}
+        needed = np.array([place_of[r.query_row][r.leaf] for r in where_is])
         while len(needed) and visits < tree.leaves and (needed < visits).mean() < recall:
             visits += 1
     first_shard, parts = shards_of(counts, rows_per_shard)
@@ -242,7 +257,7 @@ def nearest_neighbours(
         """Each query once for each shard, with the leaves that it visits there."""
         tree, (visits, counts, first_shard, parts) = shared_tree.value, shared.value
         for batch in batches:
-            x, ids = matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
+            x = matrix(batch.column(2))
             rows, shards, visited = [], [], []
             for i, q in enumerate(x):
                 mine: dict[int, list[int]] = {}
@@ -252,19 +267,19 @@ def nearest_neighbours(
                 rows += [i] * len(mine)
                 shards += mine.keys()
                 visited += mine.values()
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(ids[rows] if rows else ids[:0]), batch.column(1).take(pa.array(rows, pa.int64())), pa.array(visited, pa.list_(pa.int64()))], ["shard", "query_id", "query", "leaves"])
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), *[c.take(pa.array(rows, pa.int64())) for c in batch.columns], pa.array(visited, pa.list_(pa.int64()))], ["shard", "query_row", "query_id", "query", "leaves"])
 
-    routed = asked.select("vec_id", "embedding").repartition(partitions(spark)).mapInArrow(route, "shard long, query_id long, query array<double>, leaves array<long>")
+    routed = asked.select("row", "vec_id", "embedding").repartition(partitions(spark)).mapInArrow(route, "shard long, query_row long, query_id long, query array<double>, leaves array<long>")
     sizes = spark.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(first_shard, parts))], "size_leaf long, first_shard long, n_parts long")
     dealt = index.join(F.broadcast(sizes), F.col("leaf") == F.col("size_leaf"))  # one row for each leaf of the bounded tree
-    dealt = dealt.select((F.col("first_shard") + F.pmod(F.xxhash64("vec_id"), F.col("n_parts"))).alias("shard"), "leaf", "vec_id", "embedding")
+    dealt = dealt.select((F.col("first_shard") + F.pmod(F.xxhash64("row"), F.col("n_parts"))).alias("shard"), "leaf", "row", "vec_id", "embedding")
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        none = pa.table({c: pa.array([], pa.float64() if c == "score" else pa.int64()) for c in ("query_row", "query_id", "row", "vec_id", "score")})
         if not asked.num_rows or not held.num_rows:
             return none
-        query_ids, queries = asked["query_id"].to_numpy(), matrix(asked["query"])
-        vec_ids, vectors, leaf = held["vec_id"].to_numpy(), matrix(held["embedding"]), held["leaf"].to_numpy()
+        queries = (asked["query_row"].to_numpy(), asked["query_id"].to_numpy(), matrix(asked["query"]))
+        vectors, leaf = (held["row"].to_numpy(), held["vec_id"].to_numpy(), matrix(held["embedding"])), held["leaf"].to_numpy()
         lists = asked["leaves"].combine_chunks()
         row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
         wanted = lists.flatten().to_numpy()
@@ -272,8 +287,8 @@ def nearest_neighbours(
         for at in np.unique(leaf):
             some, mine = row[wanted == at], leaf == at
             if len(some):
-                found.append(nearest(query_ids[some], queries[some], vec_ids[mine], vectors[mine], k))
+                found.append(nearest(tuple(x[some] for x in queries), tuple(x[mine] for x in vectors), k))
         return best_of(pa.concat_tables(found), k) if found else none
 
     found = routed.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(search, PARTIAL)
-    return ranked(found, k)
+    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
