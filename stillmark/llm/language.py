@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
 from .encoder import text_slices
 
 UNDETERMINED = "und"
@@ -132,7 +133,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     ``lang_pred`` is the language with the largest share and ``score`` that share.
 
     Defined results: ``und`` with score 0 if the text is null, has no letter, or nothing was learned; equal shares go to
-    the language first in order; repeated rows each give a row; other columns are ignored.
+    the language first in order; very long texts are read whole, one at a time; repeated
+    rows each give a row; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -152,9 +154,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The documents whose language can be told, all columns as they are; no shuffle, rows stay where they are.
 
-    Nothing else is rejected: mixed and noisy documents stay.
+    Nothing else is rejected: mixed and noisy documents stay. An empty table stays empty; extra columns may have any name.
     """
-    shared, mark = docs.sparkSession.sparkContext.broadcast(model), "stillmark_lang_pred"
+    shared, mark = docs.sparkSession.sparkContext.broadcast(model), free_name(docs, "lang_pred")
 
     def run(batches):
         for batch in batches:

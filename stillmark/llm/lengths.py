@@ -15,8 +15,8 @@ from .encoder import encoder, text_slices
 def length_histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     """n_tokens, n_docs: documents by encoded length. Every task sends one row for each length it saw, not for each text.
 
-    Defined results: null and empty texts have length 0; repeated rows each count; an empty table gives no rows; columns
-    other than text are ignored.
+    Defined results: null and empty texts have length 0; very long texts are encoded whole, in pieces; repeated rows each
+    count; an empty table gives no rows; columns other than text, whatever their names, are ignored.
     """
 
     def count(batches):
@@ -30,13 +30,14 @@ def length_histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def suffix_sums(histogram: DataFrame, block: int = 1024) -> DataFrame:
+def suffix_sums(histogram: DataFrame, block: int = 64) -> DataFrame:
     """For every length that occurs, taken as a context limit: what is at least as long, totals, and totals when cut there.
 
     docs_at_least and tokens_at_least count documents of that length or more; truncated_total is the sum of
     min(length, n_tokens); quantile is the share of documents no longer than n_tokens.
     Sums run in two levels: within blocks of ``block`` neighbouring lengths, then over block totals, so no task holds the
-    whole histogram.
+    whole histogram. A block has ``block`` rows at most, as the histogram has one for each length; a task's share of them is
+    bounded by that, however many documents stand behind a row.
     """
     rows = histogram.withColumns({"block": F.floor(F.col("n_tokens") / block), "tokens": F.col("n_tokens") * F.col("n_docs")})
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))

@@ -1,5 +1,8 @@
 """Language identification: held-out accuracy, mixtures and odd texts."""
 
+import itertools
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,13 +25,40 @@ def test_held_out_accuracy(spark, model):
     assert found.where("score < 0 or score > 1").count() == 0
 
 
-def test_mixture_finds_both_languages(spark, model):
-    docs = spark.read.parquet(DATA).where("length(text) between 300 and 3000 and lang is not null").select("lang", "text").dropDuplicates(["lang"]).limit(2).collect()
-    found = model.proportions((docs[0].text + " " + docs[1].text))
-    assert {d.lang for d in docs} <= set(found) or len(found) == 1
-    assert sum(found.values()) == pytest.approx(1)
-    lone = model.proportions(docs[0].text)
-    assert max(lone, key=lone.get) == docs[0].lang
+def em(model, text, chosen):
+    """Shares and log-likelihood of a set of languages by plain EM over single n-grams."""
+    grams, counts = language.gram_counts(text, model.bits)
+    rows = [{k: math.exp(model.log_p[g][model.languages.index(k)]) for k in chosen} for g in grams]
+    share = {k: 1 / len(chosen) for k in chosen}
+    for _ in range(200):
+        new = dict.fromkeys(chosen, 0.0)
+        for p, n in zip(rows, counts):
+            total = sum(share[k] * p[k] for k in chosen)
+            for k in chosen:
+                new[k] += n * share[k] * p[k] / total
+        share = {k: x / counts.sum() for k, x in new.items()}
+    return share, sum(n * math.log(sum(share[k] * p[k] for k in chosen)) for p, n in zip(rows, counts))
+
+
+def test_mixtures_have_both_languages_and_their_shares(spark, model):
+    docs = spark.read.parquet(DATA).where("length(text) between 600 and 4000 and lang is not null").orderBy("doc_id").collect()
+    one = {}
+    for d in docs:
+        found = model.proportions(d.text)
+        if max(found.values()) == 1.0 and d.lang in found:
+            one.setdefault(d.lang, d.text)
+    pairs = list(itertools.combinations(sorted(one), 2))
+    assert len(pairs) >= 3
+    for a, b in pairs:
+        text = one[a][:600] + " " + one[b][:600]
+        found = model.proportions(text)
+        assert set(found) == {a, b} and sum(found.values()) == pytest.approx(1)
+        want, fit = em(model, text, [a, b])
+        assert all(found[k] == pytest.approx(want[k], abs=0.02) and found[k] > 0.25 for k in (a, b))
+        # the set of highest penalised likelihood, by trying all
+        n = language.gram_counts(text, model.bits)[1].sum()
+        cost = {s: em(model, text, s)[1] - model.penalty * math.log(n + 1) * len(s) for r in (1, 2) for s in itertools.combinations(sorted(one), r)}
+        assert set(max(cost, key=cost.get)) == {a, b}
 
 
 def test_odd_texts(documents, model):
