@@ -8,6 +8,7 @@ import struct
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,23 @@ def unpack_arrays(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``doc`` (all columns of ``docs`` as a struct) and ``row``, which names each row for good.
+
+    In a table read straight from files a row is its file and place there, so nothing is copied; other frames are written
+    first and numbered.
+    """
+    doc = F.struct("*").alias("doc")
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns:
+        try:
+            out = docs.select(doc, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")).alias("row"))
+            out.schema  # noqa: B018  resolves the names
+            return out
+        except AnalysisException:  # a format without row numbers
+            pass
+    return saved(docs.select(doc, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place")).alias("row")), "rows")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it where ``df`` has such a column already (names compare in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -244,13 +244,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> D
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any window of an item, all columns as they are.
 
-    The decision is by row, not by doc_id: documents are written once with a row number, by which hits come back to them.
-    Defined results: as ``find_contamination``; an empty table stays empty; extra columns may have any name.
+    The decision is by text, not by doc_id: a hit comes back to the rows by the 64-bit hash of the text that has it, so
+    nothing but hashes is written. Defined results: as ``find_contamination``; an empty table stays empty; extra columns
+    may have any name.
     """
-    rows = saved(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows-to-clean")
-    found = find_contamination(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), items, window)
-    hit = saved(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("hit_row")), "contaminated")
-    return rows.join(hit, F.col("row") == F.col("hit_row"), "left_anti").select("doc.*")
+    own = F.xxhash64(F.col("text").cast("string"))
+    found = find_contamination(docs.select(own.alias("doc_id"), "text"), items, window)
+    hit = saved(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("hit_text")).distinct(), "contaminated")
+    rows = docs.select(F.struct("*").alias("doc"))
+    return rows.join(hit, F.xxhash64(F.col("doc.text").cast("string")) == F.col("hit_text"), "left_anti").select("doc.*")
 
 
 def find_near(index: DataFrame, items: DataFrame, slack: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
+from .common import partitions, saved, with_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
@@ -109,15 +109,15 @@ def mixed_corpus(
 ) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row for each whole copy, and one cut at the word where a budget ends.
 
-    Decided as by ``mix_sources``, row by row: documents are written once with a row number, by which the plan comes back
-    to them. The plan has a row for each document, so it is never broadcast: at every size the join is a sort-merge join.
+    Decided as by ``mix_sources``, row by row, so rows that share a doc_id, or have none, are told apart. The plan has a row for each document, so it is never broadcast: at every size the join is a sort-merge join.
 
     Defined results: as ``mix_sources``; rows that give no word go; an empty table stays empty; extra columns may have any
     name.
     """
-    rows = saved(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), n_words(F.col("text")).alias("size")), "mix-rows")
-    sized = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), "size")
-    plan = _planned(sized, quality, weights, share, cap, seed, rows_per_part).where("taken > 0").select(F.col("row").alias("of_row"), "taken")
+    rows = with_rows(docs)
+    sized = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), n_words(F.col("doc.text")).alias("size"))
+    plan = _planned(saved(sized, "mix-sizes"), quality, weights, share, cap, seed, rows_per_part)
+    plan = plan.where("taken > 0").select(F.col("row").alias("of_row"), "size", "taken")
     joined = rows.join(plan.hint("merge"), F.col("row") == F.col("of_row"))
     whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     copies = joined.withColumn("n", F.explode(F.concat(F.array_repeat(F.col("size"), whole.cast("int")), F.array_repeat(rest, F.when(rest > 0, 1).otherwise(0)))))

@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import free_name, saved
+from .common import saved, with_rows
 from .components import LocalUnion, connected_components
 from .encoder import text_slices
 
@@ -244,30 +243,23 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
 def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, **tree) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that of the smallest doc_id (null last).
 
-    The decision is by row, not by doc_id: each row is written with its fingerprint and a number of its own, so rows that
-    share a doc_id, or have none, are told apart. Of equal rows one stays.
+    The decision is by row, not by doc_id, so rows that share a doc_id, or have none, are told apart; of equal rows one
+    stays. Texts are read twice and never written or shuffled, unless most documents go.
 
     Defined results: as ``near_duplicates``; an empty table stays empty; extra columns may have any name.
     """
-    fp, row = free_name(docs, "fp"), free_name(docs, "row_number")
-    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType()), T.StructField(row, T.LongType())])
+    rows = with_rows(docs)
 
-    def mark(batches):
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 40
+    def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            fps = np.array([fingerprint(t, shingle, seed) for texts in text_slices(batch.column(at)) for t in texts], U)
-            yield batch.append_column(fp, pa.array(fps.view(np.int64))).append_column(row, pa.array(np.arange(number, number + len(fps))))
-            number += len(fps)
+            fps = np.array([fingerprint(t, shingle, seed) for texts in text_slices(batch.column(3)) for t in texts], U)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps.view(np.int64))], ["file", "place", "doc_id", "fp"])
 
-    rows = saved(docs.mapInArrow(mark, schema), "fingerprinted")
-    prints = rows.select(F.col(fp).alias("fp"), F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    marked = rows.select("row.file", "row.place", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+    prints = saved(marked.mapInArrow(run, "file long, place long, doc_id long, fp long"), "fingerprints").select("fp", "doc_id", F.struct("file", "place").alias("row"))
     classes = linked_classes(prints, distance, **tree)
     firsts = prints.groupBy(F.col("fp").alias("of_fp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first"))
     named = classes.join(firsts, F.col("class_fp") == F.col("of_fp"))
     kept = saved(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept_row")), "kept-rows")
-    gone = free_name(docs, "gone_row")
-    others = saved(prints.select(F.col("row").alias(gone)).join(kept, F.col(gone) == F.col("kept_row"), "left_anti"), "near-copies")
-    return rows.join(others, rows[row] == others[gone], "left_anti").drop(fp, row)
+    gone = saved(prints.select(F.col("row").alias("gone_row")).join(kept, F.col("gone_row") == F.col("kept_row"), "left_anti"), "near-copies")
+    return rows.join(gone, F.col("row") == F.col("gone_row"), "left_anti").select("doc.*")
