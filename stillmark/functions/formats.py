@@ -7,6 +7,7 @@ import operator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Unit names, labels and thresholds of score bands, log modules by operation prefix.
 UNITS = ["B", "KB", "MB", "GB", "TB"]
@@ -15,6 +16,7 @@ SCORE_LABELS = [(0.92, "很相似"), (0.84, "较相似"), (0.76, "有些相似")
 LOWEST_LABEL = "相似度较低"
 SCORE_COLORS = [(0.84, "text-ok"), (0.76, "text-warn")]
 LOWEST_COLOR = "text-muted"
+PROBE_STEP, PROBE_ERROR, UNREADABLE, FAILED = "探测媒体", "ffprobe 失败", "FFmpeg 无法读取该文件或其片段", "失败："
 
 
 def duration(seconds: Column) -> Column:
@@ -86,8 +88,32 @@ def one_line(text: Column) -> Column:
     return F.regexp_replace(text, r"[\r\n]", " ")
 
 
+def failure_message(step: Column, error: Column) -> Column:
+    """What an import failure says; an unreadable file has words of its own."""
+    return F.when((step == PROBE_STEP) & F.startswith(error, F.lit(PROBE_ERROR)), F.lit(UNREADABLE)).otherwise(F.concat(step, F.lit(FAILED), error))
+
+
+def event_json(kind: Column, **payload: Column) -> Column:
+    """A tagged event as one line of JSON; fields that are null are left out."""
+    return F.to_json(F.struct(kind.alias("type"), *[c.alias(k) for k, c in payload.items()]))
+
+
+def guarded(json: Column, schema: str) -> Column:
+    """JSON by a schema; null unless it is an object of that shape with finite numbers."""
+    fields = T.StructType.fromDDL(schema).fields
+    parsed = F.from_json(json, schema, {"mode": "PERMISSIVE"})
+    sound = F.startswith(F.trim(json), F.lit("{")) & F.try_parse_json(json).isNotNull()
+    for f in fields:
+        value = parsed[f.name]
+        if f.dataType in (T.DoubleType(), T.FloatType()):
+            sound = sound & (value.isNull() | (~F.isnan(value) & (F.abs(value) < float("inf"))))
+        if not f.nullable:
+            sound = sound & value.isNotNull()
+    return F.when(sound, parsed)
+
+
 def log_line(ts: Column, level: Column, module: Column, event: Column, details: Column) -> Column:
-    head = F.concat(F.lit("["), F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("] ["), F.upper(level), F.lit("] ["), module, F.lit("] "), one_line(event))
+    head = F.concat(F.lit("["), F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS xxx"), F.lit("] ["), F.upper(level), F.lit("] ["), module, F.lit("] "), one_line(event))
     return F.when(F.coalesce(details, F.lit("")) == "", head).otherwise(F.concat(head, F.lit(" | "), one_line(details)))
 
 

@@ -56,9 +56,26 @@ def contains(root: Column, directory: Column) -> Column:
 
 
 def ancestors(path: Column) -> Column:
-    """Every enclosing directory of a Unix path, outermost first, without the path itself."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.when((n == 1) & F.startswith(path, F.lit("/")), F.lit("/")).otherwise(F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    """Every enclosing directory, outermost first, without the path itself; a Windows drive's root keeps its backslash."""
+    windows = _windows(path)
+    parts = F.when(windows, F.split(path, SEPARATORS)).otherwise(F.split(path, "/"))
+
+    def first(n: Column) -> Column:
+        joined = F.replace(F.array_join(F.slice(parts, F.lit(1), n), "\u0000"), F.lit("\u0000"), separator(path))
+        return F.when((n == 1) & F.startswith(path, F.lit("/")), F.lit("/")).when((n == 1) & windows, F.concat(joined, F.lit("\\"))).otherwise(joined)
+
+    return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), first)
+
+
+def fold_dots(path: Column) -> Column:
+    """A path with slashes without ``.``, ``..`` and empty parts; what would go above the first part stays there."""
+
+    def step(acc: Column, part: Column) -> Column:
+        up = F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+        skipped = (part == ".") | ((part == "") & (F.size(acc) > 0))
+        return F.when(part == "..", up).when(skipped, acc).otherwise(F.concat(acc, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
 def depth(path: Column) -> Column:

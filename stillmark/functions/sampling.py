@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ FULL_SCAN_FRAMES = 48
 FORCED_SEEK_SECONDS, FORCED_SEEK_FRAMES = 1800, 400
 REFINE_SIDE = 4
 THUMBNAIL_SHARE, THUMBNAIL_WINDOW = 0.12, 2.0
+# Extensions of files that hold all of a video.
+SELF_CONTAINED = "mp4 mkv avi webm flv wmv mpg mpeg ts m2ts".split()
 
 
 def _finite(c: Column) -> Column:
@@ -93,6 +97,17 @@ def effective_mode(override: Column, default: Column) -> Column:
     return F.when(F.coalesce(override, default) == "scene", "scene").otherwise("uniform")
 
 
+def scene_cache_key(path: Column, threshold: float, video: Column, tool: Column) -> Column:
+    """What cached cuts hold for: rule version, threshold, and path, size and time (ns) of the video and of the decoder.
+
+    ``video`` and ``tool`` are structs of these; null for a file whose parts lie elsewhere (playlists) and for unknown ones.
+    """
+    alone = F.lower(F.regexp_extract(path, r"\.([^./\\]*)$", 1)).isin(*SELF_CONTAINED)
+    bits = struct.unpack("<q", struct.pack("<d", threshold))[0]
+    key = F.to_json(F.struct(F.lit(1).alias("version"), F.lit(bits).alias("threshold"), video.alias("video"), tool.alias("tool")))
+    return F.when(alone & video.isNotNull() & tool.isNotNull(), key)
+
+
 def valid_scene_times(cached: Column) -> Column:
     """The cached cuts, or null unless all are finite, not negative and in order; an empty list is valid."""
     times = F.from_json(cached, "array<double>")

@@ -10,6 +10,37 @@ from ..functions import paths
 SORTS = {"name": "name", "size": "size", "duration": "duration"}
 
 
+def by_key(rows: DataFrame, column: str, value) -> DataFrame:
+    """The rows with this id, path or folder: a filter that reaches the scan."""
+    return rows.where(F.col(column) == F.lit(value))
+
+
+def by_path(rows: DataFrame, path: str) -> DataFrame:
+    """The video or folder at a path, however it is written; at most one, as path_key is unique."""
+    return rows.where(F.col("path_key") == paths.path_key(F.lit(path)))
+
+
+def folder_videos(videos: DataFrame, folder_id: int) -> DataFrame:
+    return by_key(videos, "folder_id", folder_id).select("id", "path")
+
+
+def compared_frames(frames: DataFrame) -> DataFrame:
+    """How many frames a search looks at: all of them, whatever is pruned on the way."""
+    return frames.agg(F.count("*").alias("compared"))
+
+
+def indexer_status(jobs: DataFrame) -> DataFrame:
+    """One row of counts over jobs (state): queued, active, done, failed, their total, and whether anything runs."""
+    n = {s: F.count_if(F.col("state") == s) for s in ("active", "queued", "done", "failed")}
+    return jobs.agg(*[c.alias(s) for s, c in n.items()]).withColumns({"total": F.col("active") + F.col("queued") + F.col("done") + F.col("failed"), "running": (F.col("active") > 0) | (F.col("queued") > 0)})
+
+
+def in_arrival_order(rows: DataFrame, fresh: DataFrame, ascending: bool = False) -> DataFrame:
+    """Loaded rows and fresh ones in one list by (added_at, id)."""
+    order = [F.col(c).asc() if ascending else F.col(c).desc() for c in ("added_at", "id")]
+    return rows.unionByName(fresh).orderBy(*order)
+
+
 def filtered(videos: DataFrame, keyword: str | None = None, folder_id: int | None = None, status: str | None = None, text_columns: tuple[str, ...] = ("name", "dir")) -> DataFrame:
     """Rows whose name or directory matches the keyword (case-insensitive; % and _ in it are wildcards), and folder, and status."""
     out = videos

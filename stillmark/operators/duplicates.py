@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from .recall import recall
+from .shared import checkpointed
 
 DEFAULT_THRESHOLD = 0.88
 SAMPLES, NEAR_VIDEOS, SEARCHED_VIDEOS = 8, 8, 50
@@ -101,17 +102,14 @@ def components(pairs: DataFrame) -> DataFrame:
     Rounds of smallest neighbour label and pointer jumping; each is cut from its history by a reliable checkpoint in the
     cluster's checkpoint folder.
     """
-    spark = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/stillmark")
     edges = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    edges = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"))
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("of")).agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("of")).select("node", "label", F.least("label", "near").alias("lower"))
         target = step.select(F.col("node").alias("to_node"), F.col("lower").alias("to_lower"))
-        jumped = step.join(target, F.col("lower") == F.col("to_node"), "left").select("node", "label", F.least("lower", "to_lower").alias("next")).checkpoint()
+        jumped = checkpointed(step.join(target, F.col("lower") == F.col("to_node"), "left").select("node", "label", F.least("lower", "to_lower").alias("next")))
         if jumped.where("label <> next").isEmpty():
             return jumped.select("node", "label")
         labels = jumped.select("node", F.col("next").alias("label"))

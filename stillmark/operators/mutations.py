@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .shared import checkpointed
 
 COMPARED = ["size", "mtime_ms", "duration", "width", "height", "video_codec"]
-#: key, type, default, lowest, highest
+# Key, type, default, lowest, highest.
 SETTINGS = [
     ("uniformIntervalSeconds", "long", 5, 1, 3600),
     ("concurrency", "long", 2, 1, 8),
@@ -69,9 +70,9 @@ def upsert_videos(videos: DataFrame, incoming: DataFrame, now_ms: Column, folder
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """1, 2, 3, ... in order without one task for all rows: numbers within range partitions plus the counts before them.
 
-    Range bounds come from a sample of the same input, and the partition number is part of what is read once.
+    The range partitions are checkpointed, so their numbers are the same for both uses.
     """
-    ranged = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).persist()
+    ranged = checkpointed(rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("part", F.spark_partition_id()))
     counts = ranged.groupBy("part").agg(F.count("*").alias("c"))
     before = counts.select(F.col("part").alias("of"), F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("part").orderBy(*order))
@@ -119,9 +120,61 @@ def delete_videos(ids: DataFrame, videos: DataFrame, *dependants: DataFrame) ->
 
 
 def ids_under(videos: DataFrame, directory: str) -> DataFrame:
-    """Ids of all videos inside a directory, and of one whose path it is."""
-    key = paths.path_key(F.lit(directory))
-    return videos.where((F.col("path_key") == key) | paths.is_under(F.col("path_key"), key)).select("id")
+    """Ids of all videos inside a directory, at any depth; a video whose own path it is isn't inside."""
+    return videos.where(paths.is_under(F.col("path_key"), paths.path_key(F.lit(directory)))).select("id")
+
+
+def removed(ids: DataFrame, videos: DataFrame, *dependants: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``video-removed`` events (type, video_id, path) of those videos, and all tables without them."""
+    gone = videos.join(ids.select("id").distinct(), "id", "left_semi")
+    events = gone.select(F.lit("video-removed").alias("type"), F.col("id").alias("video_id"), "path")
+    return events, delete_videos(gone, videos, *dependants)
+
+
+def remove_by_path(path: str, videos: DataFrame, *dependants: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """A file that is gone: its video, if there is one, and what hangs on it."""
+    return removed(videos.where(F.col("path_key") == paths.path_key(F.lit(path))).select("id"), videos, *dependants)
+
+
+def remove_under(directory: str, videos: DataFrame, *dependants: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """A directory that is gone: every video in it, and what hangs on them."""
+    return removed(ids_under(videos, directory), videos, *dependants)
+
+
+def cleared(*tables: DataFrame) -> list[DataFrame]:
+    """Empty tables of the same columns: a library reset, which leaves settings alone."""
+    return [t.where(F.lit(False)) for t in tables]
+
+
+def update_rows(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` with the columns that ``changes`` (key and some columns) has, where it has their key; one change a key."""
+    given = [c for c in changes.columns if c != key]
+    joined = rows.join(changes.select(F.col(key).alias("changed_key"), *[F.col(c).alias(f"changed_{c}") for c in given]), F.col(key) == F.col("changed_key"), "left")
+    return joined.select(*[F.when(F.col("changed_key").isNotNull(), F.col(f"changed_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in rows.columns])
+
+
+def insert_imported_folder(folders: DataFrame, path: str, recursive: bool, now_ms: int) -> DataFrame:
+    """A one-time import keeps its directory, unwatched; a folder that is there already stays as it is."""
+    before = folders.select(F.col("id").alias("known_id"))
+    out = insert_folder(folders, path, False, recursive, now_ms).join(before, F.col("id") == F.col("known_id"), "left")
+    out = out.withColumn("enabled", F.when(F.col("known_id").isNotNull(), F.col("enabled")).otherwise(F.lit(False)))
+    return folders.unionByName(out.where("known_id is null").drop("known_id"))
+
+
+def set_status(videos: DataFrame, changes: DataFrame) -> DataFrame:
+    """changes: id, status, error."""
+    return update_rows(videos, changes.select("id", "status", "error"))
+
+
+def put_scene_times(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """fresh: video_id, cache_key, times; one row for each video, the fresh one where there is one."""
+    rows = fresh.select("video_id", "cache_key", F.to_json("times").alias("scene_times"))
+    return cache.join(rows.select("video_id"), "video_id", "left_anti").unionByName(rows)
+
+
+def can_reuse_hash(stored_size: Column, stored_mtime: Column, size: Column, mtime: Column) -> Column:
+    """A stored digest holds only for a file of the same known size and time."""
+    return F.coalesce((size > 0) & (mtime > 0) & (stored_size == size) & (stored_mtime == mtime), F.lit(False))
 
 
 def remove_folder(folders: DataFrame, videos: DataFrame, folder_id: int) -> tuple[DataFrame, DataFrame]:

@@ -34,6 +34,17 @@ def score_frames(
     return pairs.select("query_id", "video_id", "frame_index", "time_ms", "hash_distance", "hash_score", "color_score", S.frame_score(F.col("hash_score"), F.col("color_score"), F.col("weight")).alias("frame_score"))
 
 
+def score_pixels(pictures: DataFrame, queries: DataFrame, id_columns: list[str]) -> DataFrame:
+    """id columns, query_id, frame_score of raw pictures (``image``) against queries, nothing pruned.
+
+    ``queries`` is a stated set of few rows, as in ``score_frames``."""
+    from ..schemas import STRUCT_WORDS
+
+    frames = fingerprint.with_signature(pictures, id_columns).withColumns({"video_id": F.lit(0), "frame_index": F.struct(*id_columns), "time_ms": F.lit(0)})
+    out = score_frames(frames, queries, STRUCT_WORDS, max_dhash=64, max_struct=64 * len(STRUCT_WORDS), min_score=0.0)
+    return out.select("frame_index.*", "query_id", "frame_score")
+
+
 def top_two(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Best frame of each group blended with its runner-up; everything but ``score`` is the best frame's.
 

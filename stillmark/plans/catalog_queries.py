@@ -192,7 +192,7 @@ def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", url.alias("url"), (formats.decode_data_url(url) == F.col("text").cast("binary")).alias("same"), F.length(formats.decode_data_url(maybe).cast("string")).alias("plain"))
 
 
-@query("SELECT event_id, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [WARN] [library] ' || event_type || CASE WHEN event_id % 3 = 0 THEN '' ELSE ' | a b ' || event_id END AS line FROM events")
+@query("SELECT event_id, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' +00:00] [WARN] [library] ' || event_type || CASE WHEN event_id % 3 = 0 THEN '' ELSE ' | a b ' || event_id END AS line FROM events")
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     details = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("a\nb "), F.col("event_id").cast("string")))
     return table(spark, sf_dir, "events").select("event_id", formats.log_line(F.col("ts"), F.lit("warn"), formats.module_of(F.lit("videos_list")), F.col("event_type"), details).alias("line"))
@@ -257,15 +257,9 @@ def prefix_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.prefix_complete(frames, expected).select(F.col("video_id").alias("o_orderkey"), "n", "complete")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND o_custkey % 4 <> 0 AND o_orderkey % 7 <= ceil((o_totalprice / 10000) / 5) THEN o_orderkey % 7 ELSE 0 END::INT AS resume_at FROM orders WHERE o_totalprice > 20000")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND o_custkey % 4 <> 0 AND o_orderkey % 7 <= greatest(1, ceil((o_totalprice / 10000) / 5)) THEN o_orderkey % 7 ELSE 0 END::INT AS resume_at FROM orders")
 def resume_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved prefixes of the plan: whole, moved by a millisecond (every fourth customer), or of a full scan (every fifth order)."""
-    return resumed(table(spark, sf_dir, "orders").where("o_totalprice > 20000"))
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND o_custkey % 4 <> 0 AND o_orderkey % 7 <= greatest(1, ceil((o_totalprice / 10000) / 5)) THEN o_orderkey % 7 ELSE 0 END::INT AS resume_at FROM orders")
-def resume_index_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As resume_index, over all orders: those with short plans too."""
     return resumed(table(spark, sf_dir, "orders"))
 
 

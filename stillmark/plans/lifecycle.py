@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sampling
-from ..operators import duplicates, recall
+from ..operators import catalog, duplicates, mutations, recall
 from ..schemas import STRUCT_WORDS
 from ..sources import media
 
@@ -52,3 +52,32 @@ def index_videos(videos: DataFrame, decode: Callable, interval: int = 5, scenes:
     """Fingerprinted frames of all given videos."""
     plan = sampling_plan(videos, scenes, interval)
     return media.decode_frames(plan.repartition("video_id"), decode)
+
+
+def pending_plan(videos: DataFrame, frames: DataFrame, plan: DataFrame) -> DataFrame:
+    """What is left to decode after a restart: video_id, path, seconds (the rest), resume_at, full_scan.
+
+    Videos that are pending or were being indexed take part. A saved prefix counts if it is the plan's own and all its
+    frames are there; else the video starts again.
+    """
+    waiting = videos.where(F.col("status").isin("pending", "indexing")).select(F.col("id").alias("video_id"), "processed_timestamps")
+    saved = waiting.join(plan, "video_id").withColumn("n", sampling.resume_index(F.col("processed_timestamps"), F.col("seconds"), F.col("full_scan")).cast("long"))
+    complete = catalog.prefix_complete(frames, saved.select("video_id", "n")).select("video_id", "complete")
+    at = F.when(F.col("complete"), F.col("n")).otherwise(0)
+    out = saved.join(complete, "video_id").withColumn("resume_at", at.cast("int"))
+    return out.select("video_id", "path", F.slice("seconds", F.col("resume_at") + 1, F.size("seconds")).alias("seconds"), "resume_at", "full_scan")
+
+
+def commit_unchanged(videos: DataFrame, frames: DataFrame, fresh: DataFrame, seen: DataFrame, now_ms) -> tuple[DataFrame, DataFrame]:
+    """(videos, frames) after a batch. ``seen`` (video_id, size, mtime_ms) is what the files were after decoding.
+
+    A video whose file is still the catalogue's has its frames committed and is ready; one that was replaced meanwhile loses
+    all frames and is pending again; one of which nothing was seen stays as it is.
+    """
+    s = seen.select("video_id", F.col("size").alias("seen_size"), F.col("mtime_ms").alias("seen_ms"))
+    judged = videos.join(s, F.col("id") == F.col("video_id")).select("id", ((F.col("size") == F.col("seen_size")) & (F.col("mtime_ms") == F.col("seen_ms"))).alias("same"))
+    done, changed = judged.where("same").select("id"), judged.where("not same").select("id")
+    kept = fresh.join(done.select(F.col("id").alias("video_id")), "video_id", "left_semi")
+    after = mutations.commit_frames(frames, kept)
+    v, f = mutations.reset_progress(mutations.mark_ready(videos, after, done, now_ms), after, changed)
+    return mutations.set_pending(v, changed), f

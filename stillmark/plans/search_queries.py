@@ -84,7 +84,7 @@ def recall_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FRAMES}, queries AS (SELECT frame_index AS query_id, * FROM frames WHERE frame_index % 20 = 0), {scored('scores', 'queries', FLOOR)}, {top_two('hits', 'scores')} {RECALL_END}")
 def recall_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth frame as a query against all frames."""
+    """Every twentieth frame as a query against all frames."""
     frames = frames_of(table(spark, sf_dir, "embeddings"))
     asked = frames.where("frame_index % 20 = 0").withColumn("query_id", F.col("frame_index"))
     return shown(recall.recall(frames, asked, STRUCT, min_score=FLOOR, **LIMITS))

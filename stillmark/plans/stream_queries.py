@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import changes, debounce, notices
+from ..operators.shared import shared_dir
+from ..streaming import changes, debounce, notices, watchers
 from .registry import query, table
 
 
@@ -70,18 +71,13 @@ def repeat_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notices.emitted(timed(spark, sf_dir).select("user_id", "at_ms"), "user_id", "at_ms", 30_000_000)
 
 
-VIEW_SQL = """rows AS (SELECT o_orderkey AS id, o_orderstatus AS status, floor(o_totalprice)::BIGINT AS size FROM orders WHERE o_orderkey < 500),
+VIEW_SQL = """rows AS (SELECT o_orderkey AS id, o_orderstatus AS status, floor(o_totalprice)::BIGINT AS size FROM orders),
 changed AS (SELECT event_id AS revision, user_id * 4 AS id, CASE WHEN event_type = 'error' THEN 'deleted' ELSE 'updated' END AS type, CASE WHEN event_type = 'view' THEN 'P' ELSE 'F' END AS status, floor(value * 100)::BIGINT AS size FROM events),
 last AS (SELECT id, arg_max(type, revision) AS type, arg_max(status, revision) AS status, arg_max(size, revision) AS size FROM changed {} GROUP BY id)"""
 
 
-#: All orders as the view; VIEW_SQL has only the first ids.
-WHOLE_VIEW_SQL = VIEW_SQL.replace(" WHERE o_orderkey < 500", "")
-
-
-def view(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, sf_dir, "orders")
-    rows = (orders if whole else orders.where("o_orderkey < 500")).selectExpr("o_orderkey AS id", "o_orderstatus AS status", "floor(o_totalprice) AS size")
+def view(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderstatus AS status", "floor(o_totalprice) AS size")
     events = table(spark, sf_dir, "events").selectExpr("event_id AS revision", "user_id * 4 AS id", "IF(event_type = 'error', 'deleted', 'updated') AS type", "IF(event_type = 'view', 'P', 'F') AS status", "floor(value * 100) AS size")
     return rows, events
 
@@ -110,30 +106,6 @@ def unseen_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.unseen_changes(events, rows).select("id", "status", "size")
 
 
-@query(f"WITH {WHOLE_VIEW_SQL.format('')} SELECT id, status, size FROM rows WHERE id NOT IN (SELECT id FROM last) UNION ALL SELECT id, status, size FROM last WHERE type = 'updated'")
-def apply_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As apply_changes, over all orders."""
-    return changes.apply_changes(*view(spark, sf_dir, whole=True))
-
-
-@query(f"WITH {WHOLE_VIEW_SQL.format('')} SELECT id, status, size FROM rows WHERE status = 'F' AND id NOT IN (SELECT id FROM last) UNION ALL SELECT id, status, size FROM last WHERE type = 'updated' AND status = 'F' AND id IN (SELECT id FROM rows WHERE status = 'F')")
-def apply_changes_filtered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, events = view(spark, sf_dir, whole=True)
-    return changes.apply_changes(rows.where("status = 'F'"), events, status="F", insert=changes.takes_new_rows(None, "F", None, "added"))
-
-
-@query(f"WITH {WHOLE_VIEW_SQL.format('WHERE revision > 300')} SELECT id, status, size FROM rows WHERE id NOT IN (SELECT id FROM last) UNION ALL SELECT id, status, size FROM last WHERE type = 'updated'")
-def snapshot_replay_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, events = view(spark, sf_dir, whole=True)
-    return changes.replay(rows, events, since=300)
-
-
-@query(f"WITH {WHOLE_VIEW_SQL.format('')} SELECT id, status, size FROM last WHERE type = 'updated' AND id NOT IN (SELECT id FROM rows)")
-def unseen_changes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, events = view(spark, sf_dir, whole=True)
-    return changes.unseen_changes(events, rows).select("id", "status", "size")
-
-
 @query("SELECT user_id, event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM events) WHERE h IS NULL OR value > h")
 def monotone_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.running_highest(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
@@ -149,12 +121,58 @@ def import_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT 'u' || user_id AS repeat_key, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id"""
 )
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file read as a stream, folded by key in micro-batches until all of it is there."""
+    """The events file read as a stream, folded by key in micro-batches until all of it is there.
+
+    Every micro-batch writes its counts to a folder of its own number, so a batch run again after a failure replaces what
+    it wrote; the counts of all batches are then added up. Nothing is kept on the driver.
+    """
     import uuid
 
-    name = f"counts_{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(f"{sf_dir}/")
-    counted = stream.where("event_type = 'error'").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("repeat_key")).agg(F.count("*").alias("n"))
-    counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_dir(spark)}/streamed-counts-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        errors = batch.where("event_type = 'error'")
+        errors.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("repeat_key")).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    debounce.apply_each(stream, write, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema("repeat_key string, n long, batch long").parquet(f"{folder}/out").groupBy("repeat_key").agg(F.sum("n").alias("n"))
+
+
+@query(
+    """SELECT id, at_ms, processed FROM (SELECT *, row_number() OVER (PARTITION BY id, t // 20000000 ORDER BY t, processed) AS place FROM (
+  SELECT user_id AS id, (epoch_us(ts) // 1000) AS t, (epoch_us(ts) // 1000) AS at_ms, event_id % 100 AS processed, 99 AS total FROM events)) WHERE place = 1 OR processed >= total"""
+)
+def import_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of every batch, told once in an interval and at its end."""
+    rows = timed(spark, sf_dir).selectExpr("user_id AS id", "at_ms", "event_id % 100 AS processed", "99 AS total")
+    return watchers.import_reports(rows, 20_000_000).select("id", "at_ms", "processed")
+
+
+@query("SELECT s_suppkey AS folder_id, 'start' AS action FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 3 > 0 UNION ALL SELECT s_suppkey, 'stop' FROM supplier WHERE s_suppkey % 3 = 0 AND s_acctbal <= 0")
+def watcher_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders to watch and watchers to stop; every third supplier's folder is watched already."""
+    folders = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_acctbal > 0 AS enabled")
+    return watchers.watcher_changes(folders, folders.where("id % 3 = 0").select(F.col("id").alias("folder_id")))
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_acctbal > 0 THEN CASE WHEN s_suppkey % 4 = 0 THEN 'missing' ELSE 'watching' END WHEN s_suppkey % 2 = 0 THEN 'idle' ELSE 'error' END AS watch_state, CASE WHEN s_acctbal > 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN '已暂停监听' ELSE 'x' END AS message FROM supplier")
+def watched_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folders = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "concat('/f/', s_suppkey) AS path_key", "s_acctbal > 0 AS enabled", "s_suppkey % 2 = 0 AS pinned", "'error' AS watch_state", "'x' AS message")
+    return watchers.watched_states(folders, folders.where("id % 4 <> 0")).select("id", "watch_state", "message")
+
+
+@query(f"WITH {VIEW_SQL.format('')}, f AS (SELECT s_suppkey AS id, 'F' AS status, s_nationkey::BIGINT AS size FROM supplier) SELECT id, status, size FROM f WHERE id NOT IN (SELECT id FROM last) UNION ALL SELECT id, status, size FROM last WHERE type = 'updated'")
+def folder_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder list after folder events."""
+    folders = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "'F' AS status", "CAST(s_nationkey AS BIGINT) AS size")
+    return watchers.folder_list(folders, view(spark, sf_dir)[1])
+
+
+@query("SELECT 'p' || user_id AS path_key FROM events GROUP BY user_id HAVING max(event_id % 2) = 0")
+def vanished_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of a scan of all events that a scan of the odd ones lacks."""
+    events = file_events(spark, sf_dir).select("path_key").distinct()
+    odd = table(spark, sf_dir, "events").where("event_id % 2 = 1").select(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("path_key"))
+    return debounce.vanished(events, odd)

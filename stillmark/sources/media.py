@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -45,7 +46,8 @@ def scan_folder(spark: SparkSession, root: str, recursive: bool = True) -> DataF
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     found = files.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"))
-    below = F.split(F.expr(f"substring(path, {len(root.rstrip('/')) + 2})"), "/")
+    base = re.sub(r"^file:/*", "/", root.rstrip("/"))  # as the paths above have it
+    below = F.split(F.regexp_replace("path", "^" + re.escape(base) + "/*", ""), "/")
     allowed = (F.size(below) - 1 <= MAX_DEPTH) & ~F.exists(F.slice(below, F.lit(1), F.size(below) - 1), lambda d: F.lower(d).isin(*SKIPPED_DIRECTORIES))
     found = found.where(allowed & is_candidate(F.col("path")))
     lists = files.where(F.lower("path").endswith(".m3u8") & (F.col("length") <= 2 << 20)).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("text"))
@@ -58,10 +60,7 @@ def playlist_parts(lists: DataFrame) -> DataFrame:
     rows = lists.where(F.startswith("text", F.lit("#EXTM3U"))).select(paths.dir_name(F.col("path")).alias("folder"), line).withColumn("line", F.trim("line"))
     named = F.when(F.startswith("line", F.lit("#")), F.regexp_extract("line", r'URI="([^"]*)"', 1)).otherwise(F.col("line"))
     outside = (F.col("named") == "") | F.contains("named", F.lit("://")) | F.startswith("named", F.lit("data:")) | F.col("named").rlike(r"^[\\/]")
-    joined = F.regexp_replace(F.concat("folder", F.lit("/"), "named"), r"/(\./)+", "/")
-    # a/../ is taken out until none is left; playlists rarely go up more than once
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"/[^/]+/\.\./", "/")
+    joined = paths.fold_dots(F.concat("folder", F.lit("/"), "named"))
     return rows.withColumn("named", named).where(~outside).select(joined.alias("part")).distinct()
 
 

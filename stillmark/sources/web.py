@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
+
 MAX_IMAGE, MAX_HTML = 10 << 20, 2 << 20
+# The names under which pages state their picture.
 PICTURE_NAMES = ["og:image", "twitter:image", "image_src"]
 
 
@@ -15,32 +18,41 @@ def is_web_url(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.trim(url), r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).isin("http", "https"), F.lit(False))
 
 
+#: A name and what stands behind its equals sign, in quotes or bare.
+ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def attribute(tag: Column, name: str) -> Column:
-    value = F.try_element_at(F.regexp_extract_all(tag, F.lit(rf"(?is)[\s<]{name}\s*=\s*[\"']([^\"']*)[\"']"), 1), F.lit(-1))
-    return value
+    """The value of a tag's first attribute of that name, in any case; null if it has none."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 1), F.lower)
+    values = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 2)
+    at = F.array_position(names, name)
+    return F.when(at > 0, F.regexp_replace(F.try_element_at(values, at.cast("int")), r"""^["']|["']$""", ""))
 
 
 def absolute(base: Column, link: Column) -> Column:
-    """A link against its page's address: full, scheme-relative, root-relative or relative with dots."""
+    """A link against its page's address: full, scheme-relative, root-relative, relative with dots, or only ?query or #part."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*/)", 1)
-    joined = F.concat(F.when(folder == "", "/").otherwise(folder), link)
-    for _ in range(8):
-        joined = F.regexp_replace(joined, r"/\./|/(?!\.\./)[^/]+/\.\./", "/")
-    joined = F.regexp_replace(joined, r"^(/\.\.)+/", "/")
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*/)", 1)
+    way, tail = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"([?#].*)$", 1)
+    joined = F.concat(F.when(F.startswith(way, F.lit("/")), F.lit("")).otherwise(F.when(folder == "", "/").otherwise(folder)), way)
+    slash = F.when(way.rlike(r"(^|/)\.{0,2}$"), "/").otherwise("")
+    folded = F.concat(F.regexp_replace(paths.fold_dots(joined), "/$", ""), slash)
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
-        .otherwise(F.concat(origin, joined))
+        .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), link))
+        .when(way == "", F.concat(page, tail))
+        .otherwise(F.concat(origin, folded, tail))
     )
 
 
 def page_image(html: Column, url: Column) -> Column:
     """The first meta picture of the page, else its first img; web addresses only, &amp; read as &."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:meta|img)\b[^>]*>)"), 1)
-    is_img = lambda t: F.lower(F.substring(t, 1, 4)) == "<img"
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<((?:meta|img)\s[^>]*)>"), 1)
+    is_img = lambda t: F.lower(F.substring(t, 1, 3)) == "img"
 
     def target(t: Column) -> Column:
         named = F.coalesce(attribute(t, "property"), attribute(t, "name")).isin(*PICTURE_NAMES)

@@ -22,15 +22,15 @@ def test_change_lists_cover_every_order(spark):
     def got(name):
         return sorted(r.id for r in getattr(stream_queries, name)(spark, DATA).collect())
 
-    assert got("apply_changes_whole") == sorted(kept | updated)
-    assert got("unseen_changes_whole") == sorted(updated - ids.keys())
-    assert got("apply_changes_filtered_whole") == sorted({k for k in kept if ids[k][0] == "F"} | {k for k in updated if last[k][1] == "F" and k in ids and ids[k][0] == "F"})
-    assert {k for k in kept if k >= 500} <= set(got("snapshot_replay_whole"))
+    assert got("apply_changes") == sorted(kept | updated)
+    assert got("unseen_changes") == sorted(updated - ids.keys())
+    assert got("apply_changes_filtered") == sorted({k for k in kept if ids[k][0] == "F"} | {k for k in updated if last[k][1] == "F" and k in ids and ids[k][0] == "F"})
+    assert {k for k in kept if k >= 500} <= set(got("snapshot_replay"))
 
 
 def test_short_plans_resume_too(spark):
     orders = spark.read.parquet(f"{DATA}/orders.parquet")
-    got = {r.o_orderkey: r.resume_at for r in catalog_queries.resume_index_whole(spark, DATA).collect()}
+    got = {r.o_orderkey: r.resume_at for r in catalog_queries.resume_index(spark, DATA).collect()}
     assert got.keys() == {r.o_orderkey for r in orders.collect()}
     short = orders.where("o_totalprice <= 20000 AND o_orderkey % 5 <> 0 AND o_custkey % 4 <> 0").collect()
     assert short and all(got[r.o_orderkey] == (r.o_orderkey % 7 if r.o_orderkey % 7 <= 1 else 0) for r in short)
