@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +13,14 @@ SCORE_LABELS = [(0.92, "很相似"), (0.84, "较相似"), (0.76, "有些相似")
 LOWEST_LABEL = "相似度较低"
 SCORE_COLORS = [(0.84, "text-ok"), (0.76, "text-warn")]
 LOWEST_COLOR = "text-muted"
+LOG_MODULES = [
+    ("^search_", "search"),
+    ("^videos_import|^folders_add|^folders_rescan$", "import"),
+    ("^videos_reindex", "indexer"),
+    ("media_tools|ffmpeg", "media"),
+    ("^watcher_|^folders_set_enabled", "watcher"),
+]
+OTHER_MODULE = "library"
 PROBE_STEP, PROBE_ERROR, UNREADABLE, FAILED = "探测媒体", "ffprobe 失败", "FFmpeg 无法读取该文件或其片段", "失败："
 
 
@@ -118,16 +123,11 @@ def log_line(ts: Column, level: Column, module: Column, event: Column, details:
 
 
 def module_of(operation: Column) -> Column:
-    """The log module of a command, by its prefix."""
-    starts = lambda *p: functools.reduce(operator.or_, [F.startswith(operation, F.lit(x)) for x in p])
-    return (
-        F.when(starts("search_"), "search")
-        .when(starts("videos_import", "folders_add") | (operation == "folders_rescan"), "import")
-        .when(starts("videos_reindex"), "indexer")
-        .when(F.contains(operation, F.lit("media_tools")) | F.contains(operation, F.lit("ffmpeg")), "media")
-        .when(starts("watcher_", "folders_set_enabled"), "watcher")
-        .otherwise("library")
-    )
+    """The log module of a command: the first rule that its name meets."""
+    out = F
+    for pattern, module in LOG_MODULES:
+        out = out.when(operation.rlike(pattern), module)
+    return out.otherwise(OTHER_MODULE)
 
 
 def progress_frames(line: Column) -> Column:

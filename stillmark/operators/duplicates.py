@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from .recall import recall
-from .shared import checkpointed
+from .shared import saved
 
 DEFAULT_THRESHOLD = 0.88
 SAMPLES, NEAR_VIDEOS, SEARCHED_VIDEOS = 8, 8, 50
@@ -99,22 +101,40 @@ def all_pairs(identical: DataFrame, near: DataFrame) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """(node, label) over pairs (id_a, id_b); label is the smallest id reachable.
 
-    Rounds of smallest neighbour label and pointer jumping; each is cut from its history by a reliable checkpoint in the
-    cluster's checkpoint folder.
+    Rounds of smallest neighbour label and pointer jumping, as many as the logarithm of the longest chain; each is written
+    to the shared folder. Pairs are joined within tasks first, which leaves one link for each node of a task's groups.
     """
-    edges = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    edges = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = pairs.select(F.col("id_a").cast("long").alias("a"), F.col("id_b").cast("long").alias("b")).where("a is not null and b is not null")
+    stars = edges.mapInArrow(_stars, "a long, b long")
+    edges = saved(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"))
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("of")).agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("of")).select("node", "label", F.least("label", "near").alias("lower"))
+        step = saved(labels.join(near, F.col("node") == F.col("of")).select("node", "label", F.least("label", "near").alias("lower")), "labels-near")
         target = step.select(F.col("node").alias("to_node"), F.col("lower").alias("to_lower"))
-        jumped = checkpointed(step.join(target, F.col("lower") == F.col("to_node"), "left").select("node", "label", F.least("lower", "to_lower").alias("next")))
+        jumped = saved(step.join(target, F.col("lower") == F.col("to_node"), "left").select("node", "label", F.least("lower", "to_lower").alias("next")), "labels-jump")
         if jumped.where("label <> next").isEmpty():
             return jumped.select("node", "label")
         labels = jumped.select("node", F.col("next").alias("label"))
 
 
+def _stars(batches):
+    """Links of a batch as (smallest node of its group there, node)."""
+    for batch in batches:
+        nodes, number = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_inverse=True)
+        a, b = number[: batch.num_rows], number[batch.num_rows :]
+        root = np.arange(len(nodes))
+        while True:  # smallest root of both ends, then pointer jumping, until all links agree
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            while (root[root] != root).any():
+                root = root[root]
+            if (root[a] == root[b]).all():
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[root]), pa.array(nodes)], ["a", "b"])
+
+
 def groups(pairs: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups: group_id (smallest id), n_members, suggested_keep_id (the largest), best_score, identical_file, best group
     first. Members: group_id, id, size, a row for each."""

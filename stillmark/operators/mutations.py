@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from .shared import checkpointed
+from .shared import saved
 
 COMPARED = ["size", "mtime_ms", "duration", "width", "height", "video_codec"]
 # Key, type, default, lowest, highest.
@@ -70,9 +70,9 @@ def upsert_videos(videos: DataFrame, incoming: DataFrame, now_ms: Column, folder
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """1, 2, 3, ... in order without one task for all rows: numbers within range partitions plus the counts before them.
 
-    The range partitions are checkpointed, so their numbers are the same for both uses.
+    The range partitions are written, so their numbers are the same for both uses.
     """
-    ranged = checkpointed(rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("part", F.spark_partition_id()))
+    ranged = saved(rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("part", F.spark_partition_id()), "numbered")
     counts = ranged.groupBy("part").agg(F.count("*").alias("c"))
     before = counts.select(F.col("part").alias("of"), F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("part").orderBy(*order))

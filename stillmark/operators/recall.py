@@ -60,13 +60,12 @@ def top_two(scored: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(score.alias("score"), *map(best, kept))
 
 
-def recall(frames: DataFrame, queries: DataFrame, struct: list[str], k: int = MAX_RESULTS, n_queries: int | None = None, **limits) -> DataFrame:
+def recall(frames: DataFrame, queries: DataFrame, struct: list[str], k: int = MAX_RESULTS, **limits) -> DataFrame:
     """rank, query_id, video_id, score and the best frame of the k best videos of each query (ties to the smaller video_id).
 
     Queries are taken in blocks of at most about 4096, whose size is checked by a count, each against all frames.
     """
-    n = queries.count() if n_queries is None else n_queries
-    blocks = -(-n // QUERY_BLOCK) or 1
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
     parts = [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
     found = None
     for part in parts:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 
 MAX_IMAGE, MAX_HTML = 10 << 20, 2 << 20
+TIMEOUT_S, MAX_REDIRECTS = 15.0, 5
 # The names under which pages state their picture.
 PICTURE_NAMES = ["og:image", "twitter:image", "image_src"]
 
@@ -65,7 +66,20 @@ def page_image(html: Column, url: Column) -> Column:
     return F.coalesce(meta["link"], img["link"])
 
 
-def fetch(urls: DataFrame, get: Callable[[str], tuple[str, bytes]]) -> DataFrame:
+def http_get(url: str, seconds: float = TIMEOUT_S, redirects: int = MAX_REDIRECTS) -> tuple[str, bytes]:
+    """(content type, body) over HTTP. Reading stops one byte past the limit of the kind, so a body is never held beyond it."""
+    from urllib import request
+
+    class Few(request.HTTPRedirectHandler):
+        max_redirections = redirects
+
+    agent = request.Request(url, headers={"User-Agent": "Mozilla/5.0"})
+    with request.build_opener(Few()).open(agent, timeout=seconds) as answer:
+        kind = answer.headers.get_content_type()
+        return kind, answer.read((MAX_IMAGE if kind.startswith("image/") else MAX_HTML) + 1)
+
+
+def fetch(urls: DataFrame, get: Callable[[str], tuple[str, bytes]] = http_get) -> DataFrame:
     """urls (url) with content, kind and error. ``get(url)`` gives (content type, body) on the executors and is only
     called for web addresses; pictures over 10 MiB and pages over 2 MiB are refused."""
 

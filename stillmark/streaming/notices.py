@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 NOTICE_WINDOW_MS, REPEAT_WINDOW_MS, MAX_NOTICES = 2000, 30_000, 4
@@ -31,23 +33,25 @@ def emitted(events: DataFrame, key: str, time_ms: str, window_ms: int = REPEAT_W
     """key, at_ms, suppressed: entries that come through, with how many were held back since the one before.
 
     An entry is held back if less than ``window_ms`` passed since the last that came through. That anchor makes it a fold
-    in order of time; times are packed within stretches that no gap of a whole window parts, each folded by itself.
+    in order of time: the task that reads a key's entries, sorted, holds one batch, the anchor and a count.
     """
-    order = Window.partitionBy(key).orderBy(time_ms)
-    apart = F.coalesce(F.col(time_ms) - F.lag(time_ms).over(order) >= window_ms, F.lit(True)).cast("int")
-    marked = events.select(key, time_ms, apart.alias("apart")).withColumn("stretch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    packed = marked.groupBy(key, "stretch").agg(F.array_sort(F.collect_list(time_ms)).alias("times"))
-    none = F.array().cast("array<struct<at_ms:bigint,held:bigint>>")
-
-    def step(acc, t):
-        last = F.try_element_at(acc, F.lit(-1))
-        one = lambda at, held: F.array(F.struct(at.cast("long").alias("at_ms"), held.cast("long").alias("held")))
-        held = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), one(last["at_ms"], last["held"] + 1))
-        return F.when(last.isNotNull() & (t - last["at_ms"] < window_ms), held).otherwise(F.concat(acc, one(t, F.lit(0))))
-
-    rows = packed.select(key, F.explode(F.aggregate("times", none, step)).alias("e")).select(key, "e.at_ms", "e.held")
-    before = F.lag("held").over(Window.partitionBy(key).orderBy("at_ms"))
-    return rows.select(key, "at_ms", F.coalesce(before, F.lit(0)).alias("suppressed"))
+    kind = T.StructType([events.schema[key], T.StructField("at_ms", T.LongType()), T.StructField("suppressed", T.LongType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, of, last, held = False, None, 0, 0
+        for batch in batches:
+            out = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if begun and k == of and t - last < window_ms:
+                    held += 1
+                    continue
+                out.append((k, t, held if begun and k == of else 0))
+                begun, of, last, held = True, k, t, 0
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.int64()))], [key, "at_ms", "suppressed"])
+
+    rows = events.select(key, F.col(time_ms).cast("long").alias("t")).where("t is not null")
+    return rows.repartition(F.col(key)).sortWithinPartitions(key, "t").mapInArrow(fold, kind)
 
 
 def emitted_stream(events: DataFrame, window_ms: int = REPEAT_WINDOW_MS) -> DataFrame:

@@ -145,6 +145,35 @@ def test_probing_and_fetching(spark):
     assert got["https://a/down"][1] == "network: no route" and got["https://a/big"] == (None, "too-large")
 
 
+def test_fetching_over_http(spark):
+    import http.server
+    import threading
+
+    class Pages(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            if self.path.startswith("/turn"):
+                self.send_response(302)
+                self.send_header("Location", f"/turn{self.path}" if "loop" in self.path else "/page")
+                self.end_headers()
+                return
+            self.send_response(200)
+            self.send_header("Content-Type", "image/png" if self.path == "/picture" else "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(b"x" * (3 << 20) if self.path in ("/picture", "/large") else b"page")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    got = {r.url: (len(r.content or b""), r.kind, r.error) for r in web.fetch(spark.createDataFrame([(base + p,) for p in ("/page", "/turn", "/turn-loop", "/large", "/picture")], "url string")).collect()}
+    server.shutdown()
+    assert got[base + "/page"] == got[base + "/turn"] == (4, "text/html", None)
+    assert got[base + "/large"] == (0, "text/html", "too-large") and got[base + "/picture"] == (3 << 20, "image/png", None)
+    assert got[base + "/turn-loop"][2].startswith("network:")
+
+
 def test_removals_take_everything_along(spark):
     videos = spark.createDataFrame([(1, "/a/x"), (2, "/a/b/y"), (3, "/a"), (4, "/ab/z"), (5, "C:\\M\\v.mp4")], "id long, path string").withColumn("path_key", F.lower("path"))
     frames = spark.createDataFrame([(i, k) for i in range(1, 6) for k in range(2)], "video_id long, frame_index long")
