@@ -13,6 +13,7 @@ from .shared import saved
 
 DEFAULT_THRESHOLD = 0.88
 SAMPLES, NEAR_VIDEOS, SEARCHED_VIDEOS = 8, 8, 50
+LINKS = "a long, b long"
 
 
 def threshold_or_default(x: Column) -> Column:
@@ -70,8 +71,9 @@ def coverage_pairs(frames: DataFrame, struct: list[str], threshold: float = DEFA
 
     Each video's middle frame finds its nearest other video among the first 8; then the video's samples (at most 8) are
     looked up in all frames, and the share that finds the partner within the first 50 is the coverage. Sample frames are
-    the stated query set; they go out in blocks against all frames.
+    the stated query set; they go out in blocks against all frames, whose fingerprints are written once.
     """
+    frames = saved(frames, "fingerprints")
     middle = representatives(frames, 1).withColumn("query_id", F.col("video_id"))
     first = recall(frames, middle, struct, k=NEAR_VIDEOS, min_score=threshold, **limits).where("video_id <> query_id")
     order = Window.partitionBy("query_id").orderBy("rank")
@@ -101,21 +103,38 @@ def all_pairs(identical: DataFrame, near: DataFrame) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """(node, label) over pairs (id_a, id_b); label is the smallest id reachable.
 
-    Rounds of smallest neighbour label and pointer jumping, as many as the logarithm of the longest chain; each is written
-    to the shared folder. Pairs are joined within tasks first, which leaves one link for each node of a task's groups.
+    Rounds of a large star and a small star, each written to the shared folder, until links are stars around the smallest
+    id of each component; the number of links never grows. They are joined within tasks as well, which leaves one link for
+    each node of a batch's groups. A node with very many links is a join key with one row on the other side, which the
+    adaptive skew join splits.
     """
     edges = pairs.select(F.col("id_a").cast("long").alias("a"), F.col("id_b").cast("long").alias("b")).where("a is not null and b is not null")
-    stars = edges.mapInArrow(_stars, "a long, b long")
-    edges = saved(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"))
-    while True:
-        near = edges.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("of")).agg(F.min("label").alias("near"))
-        step = saved(labels.join(near, F.col("node") == F.col("of")).select("node", "label", F.least("label", "near").alias("lower")), "labels-near")
-        target = step.select(F.col("node").alias("to_node"), F.col("lower").alias("to_lower"))
-        jumped = saved(step.join(target, F.col("lower") == F.col("to_node"), "left").select("node", "label", F.least("lower", "to_lower").alias("next")), "labels-jump")
-        if jumped.where("label <> next").isEmpty():
-            return jumped.select("node", "label")
-        labels = jumped.select("node", F.col("next").alias("label"))
+    first = saved(edges.mapInArrow(_stars, LINKS), "edges")  # a node without links to others has one to itself
+    links = first.where("a < b")
+    while not _are_stars(links):
+        links = saved(_small_star(_large_star(links)).mapInArrow(_stars, LINKS).where("a < b").distinct(), "links")
+    nodes, centre = first.select(F.col("b").alias("node")).distinct(), links.select("b", F.col("a").alias("centre"))
+    return nodes.join(centre, F.col("node") == F.col("b"), "left").select("node", F.coalesce("centre", "node").alias("label"))
+
+
+def _are_stars(links: DataFrame) -> bool:
+    several = links.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
+    chained = links.join(links.select(F.col("b").alias("below")), F.col("a") == F.col("below"), "left_semi").select("b")
+    return several.unionByName(chained).isEmpty()
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """Each node's larger neighbours are linked to the smallest of the node and its neighbours."""
+    ends = links.select(F.col("a").alias("of"), F.col("a").alias("near")).unionByName(links.select(F.col("b").alias("of"), F.col("a").alias("near")))
+    low = ends.groupBy("of").agg(F.min("near").alias("low"))
+    return links.join(low, F.col("a") == F.col("of")).select(F.col("low").alias("a"), "b").distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours are linked to the smallest of these."""
+    low = links.groupBy(F.col("b").alias("of")).agg(F.min("a").alias("low"))
+    others = links.join(low, F.col("b") == F.col("of")).where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b"))
+    return low.select(F.col("low").alias("a"), F.col("of").alias("b")).unionByName(others)
 
 
 def _stars(batches):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def appended(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """Frames of one schema (at least one), written one after another to one place and read back as one."""
+    path, spark, schema = "", None, None
+    for df in parts:
+        if not path:
+            spark, schema = df.sparkSession, df.schema
+            path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)

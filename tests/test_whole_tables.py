@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from stillmark.functions import sampling
-from stillmark.operators import duplicates, mutations, scenes
+from stillmark.operators import duplicates, mutations, recall, scenes
 from stillmark.plans import catalog_queries, search_queries, stream_queries
 from tests.test_queries import DATA
 
@@ -69,3 +69,46 @@ def test_no_group_is_collected_into_a_row(spark, capsys):
     for query in (catalog_queries.import_totals, catalog_queries.scene_plan, search_queries.duplicate_groups, search_queries.kept_members):
         query(spark, DATA).explain()
         assert "collect_" not in capsys.readouterr().out
+
+
+def smallest_reachable(pairs):
+    near, label = {}, {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for start in sorted(near):
+        todo = [start]
+        while todo:
+            node = todo.pop()
+            if node not in label:
+                label[node] = start
+                todo += near[node]
+    return label
+
+
+def test_components_of_chains_stars_and_random_links(spark):
+    r = random.Random(5)
+    chain = list(range(300))
+    r.shuffle(chain)
+    pairs = [*zip(chain, chain[1:])]  # a long chain in no order
+    pairs += [(1000, 1001 + k) for k in range(400)] + [(1200, 999)]  # a star whose centre isn't its smallest
+    pairs += [(2000 + r.randrange(600), 2000 + r.randrange(600)) for _ in range(420)]
+    pairs += [(5000, 5000), (5001, 5002), (5002, 5001), (5001, 5002), (-3, 5002)]
+    r.shuffle(pairs)
+    rows = spark.createDataFrame([*pairs, (None, 7000), (7001, None)], "id_a long, id_b long").repartition(7)
+    found = duplicates.components(rows).collect()
+    assert {x.node: x.label for x in found} == smallest_reachable(pairs)
+    assert len(found) == len({x.node for x in found})
+    assert duplicates.components(rows.where("false")).isEmpty()
+
+
+def test_recall_gives_the_same_in_several_blocks(spark, monkeypatch):
+    frames = search_queries.frames_of(spark.read.parquet(f"{DATA}/embeddings.parquet"))
+    asked = frames.where("frame_index % 20 = 0").withColumn("query_id", F.col("frame_index"))
+
+    def hits():
+        return sorted(map(str, search_queries.shown(recall.recall(frames, asked, search_queries.STRUCT, min_score=search_queries.FLOOR, **search_queries.LIMITS)).collect()))
+
+    whole = hits()
+    monkeypatch.setattr(recall, "QUERY_BLOCK", 5)
+    assert whole and hits() == whole
