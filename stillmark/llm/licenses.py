@@ -150,13 +150,14 @@ BETWEEN_WORDS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\u00a0\u2000-\u206f]+"
 def canonical(text: Column) -> Column:
     """Lower case, no copyright notices, words apart by single spaces, one spelling; null stays null.
 
-    A notice goes to the end of its line; apart from that, where lines are wrapped makes no difference.
+    A notice goes to the end of its line; apart from that, where lines are wrapped makes no difference. While spellings are
+    exchanged each word has two spaces of its own, so words that follow one another all are.
     """
     col = F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, " ")
-    col = F.concat(F.lit(" "), F.trim(F.regexp_replace(col, BETWEEN_WORDS, " ")), F.lit(" "))
+    col = F.concat(F.lit(" "), F.trim(F.regexp_replace(col, BETWEEN_WORDS, "  ")), F.lit(" "))
     for spelling, same in EQUAL_SPELLINGS.items():
         col = F.replace(col, F.lit(f" {spelling} "), F.lit(f" {same} "))
-    return F.trim(col)
+    return F.trim(F.replace(col, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -201,10 +202,10 @@ def oracle_sql() -> str:
 
     def canonical_sql(text: str) -> str:
         lowered = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        sql = f"' ' || trim(regexp_replace(regexp_replace({lowered}, '(?m){signs(NOTICE)}', ' ', 'g'), '{signs(BETWEEN_WORDS)}', ' ', 'g')) || ' '"
+        sql = f"' ' || trim(regexp_replace(regexp_replace({lowered}, '(?m){signs(NOTICE)}', ' ', 'g'), '{signs(BETWEEN_WORDS)}', '  ', 'g')) || ' '"
         for spelling, same in EQUAL_SPELLINGS.items():
             sql = f"replace({sql}, ' {spelling} ', ' {same} ')"
-        return f"sha256(trim({sql}))"
+        return f"sha256(trim(replace({sql}, '  ', ' ')))"
 
     known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in KNOWN_LICENSES.items())
     fixed = ", ".join(f"({quoted(d)}, {quoted(k)})" for k, d in KNOWN_DIGESTS.items())

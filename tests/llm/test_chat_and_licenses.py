@@ -112,6 +112,17 @@ def test_main_paths_stay_in_the_engine(spark, documents, capsys):
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_equal_spellings_side_by_side(spark, documents):
+    import duckdb
+
+    docs = documents([(1, "A licence, licence: licence"), (2, "a license license license"), (3, "https://https noncommercial noncommercial whilst"), (4, "http http non commercial non-commercial while"), (5, "licence")])
+    got = {r.doc_id: r.digest for r in licenses.scan_licenses(docs).collect()}
+    assert got[1] == got[2] and got[3] == got[4] and len(set(got.values())) == 3
+    duck = duckdb.connect()
+    duck.register("documents", docs.select("doc_id", "text").toPandas())
+    assert got == {i: d for i, d in duck.sql(f"SELECT doc_id, digest FROM ({licenses.oracle_sql()})").fetchall()}
+
+
 def test_long_licences_by_their_digests(documents):
     folder = "/usr/share/common-licenses"
     files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
