@@ -173,7 +173,7 @@ def block_keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
 class Entries:
     """What a part of a block sends under repeated keys: distinct strings, each with the smallest doc_id that has it there.
 
-    Equal runs become one; what an equal run of a smaller document of the part already has needs no other answer. Under a
+    Equal runs become one; a run that a smaller document of the same part has too is a copy throughout, which needs no factor. Under a
     hot key the windows of each distinct run are sent one by one, equal ones once. Built the same way from the same block
     and keys each time, so answers can be given by an entry's number.
     """
@@ -326,8 +326,9 @@ def longest_previous_factors(suffixes: np.ndarray, size: np.ndarray, doc: np.nda
 def answers(key: np.ndarray, doc: np.ndarray, n: np.ndarray, raw: np.ndarray, length: int) -> np.ndarray:
     """For each entry of a bucket a bit for every window that lies in a longest previous factor.
 
-    Whole keys are sorted together, about ``SORTED_TOGETHER`` suffixes at once. Of equal runs the one of the smallest
-    document has all its suffixes in the order, the others only themselves as a whole.
+    Whole keys are sorted together, about ``SORTED_TOGETHER`` suffixes at once. Of equal runs the first of the smallest
+    document has all its suffixes in the order, the others only themselves as a whole: those of larger documents are copies
+    throughout, and those of the same document (another part of it, another row with its doc_id) take the first one's answer.
     """
     width, size = RUN + length - 1, n + length - 1
     strings = padded_strings(raw, np.cumsum(size) - size, size, width)
@@ -335,6 +336,7 @@ def answers(key: np.ndarray, doc: np.ndarray, n: np.ndarray, raw: np.ndarray, le
     fresh = np.ones(len(order), bool)
     fresh[1:] = (key[order[1:]] != key[order[:-1]]) | (strings[order[1:]] != strings[order[:-1]])
     count = np.where(fresh, n[order], 1)
+    lead = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
     done = np.cumsum(count)
     ends = np.r_[np.flatnonzero(np.diff(key[order])) + 1, len(order)] if len(order) else np.zeros(0, np.int64)
     table, mask, at, e = strings.view(np.uint8).reshape(len(strings), -1), np.zeros(len(key), U), 0, 0
@@ -352,6 +354,7 @@ def answers(key: np.ndarray, doc: np.ndarray, n: np.ndarray, raw: np.ndarray, le
         found = np.flatnonzero(factor)
         np.bitwise_or.at(mask, row[found], ((U(1) << (factor[found] - length + 1).astype(U)) - U(1)) << off[found].astype(U))
         at, e = to, e + 1
+    mask[order] = np.where(doc[order] == doc[order[lead]], mask[order[lead]], mask[order])
     return mask
 
 

@@ -63,6 +63,36 @@ def test_other_length(spark):
     assert found(spark, rows, length=24, hot_documents=2) == brute(rows, 24)
 
 
+def several_sources(between):
+    rng = random.Random(11)
+    strings = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(96)) for _ in range(200)]
+    rows = [(1, "#".join(s[:70] for s in strings)), (2, "%".join(s[27:] for s in strings))]
+    return rows, "@".join(strings), "".join(rng.choice("0123456789") for _ in range(between))
+
+
+@pytest.mark.parametrize("hot_documents", [10_000, 0])
+def test_a_run_of_several_sources_at_both_ends_of_a_long_text(spark, hot_documents):
+    rows, every, between = several_sources(600_000)
+    rows.append((3, every + between + every))
+    assert found(spark, rows, hot_documents=hot_documents) == brute(rows, 50)
+
+
+@pytest.mark.parametrize("hot_documents", [10_000, 0])
+@pytest.mark.parametrize("block_bytes", [4_000_000, 1000])
+def test_a_run_of_several_sources_in_rows_that_share_an_id(spark, hot_documents, block_bytes):
+    rows, every, between = several_sources(40)
+    rows += [(3, every), (3, between + every), (4, every + between)]
+    assert found(spark, rows, hot_documents=hot_documents, block_bytes=block_bytes) == brute(rows, 50)
+
+
+@pytest.mark.parametrize("hot_documents", [10_000, 0])
+def test_random_texts_over_several_parts(spark, hot_documents):
+    rng = random.Random(17)
+    pool = ["".join(rng.choice("abc") for _ in range(rng.randrange(30, 140))) for _ in range(30)]
+    rows = [(rng.randrange(12), "-".join(rng.choice(pool)[rng.randrange(20) :] for _ in range(rng.randrange(1, 25)))) for _ in range(50)]
+    assert found(spark, rows, hot_documents=hot_documents, block_bytes=5000, part_bytes=600) == brute(rows, 50)
+
+
 def test_empty_and_tiny_tables(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, None), (2, "")]) == brute([(1, None), (2, "")], 50)
