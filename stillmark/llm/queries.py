@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, lengths, licenses, mixing, neighbours, repeats, simhash, token_shards
+from . import chat, collocations, decontaminate, divergence, language, lengths, licenses, mixing, neighbours, repeats, simhash, token_shards
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -118,6 +118,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language by the lowest score of their cuts."""
+    return collocations.find_collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source is from each other one of its language, and the terms it uses more than the language does."""
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over the documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -135,9 +145,18 @@ def queries() -> dict:
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_license_scan": op9_license_scan,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op12_collocations": op12_collocations,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op5_chat_perspectives": chat.ORACLE_SQL, "op9_license_scan": licenses.oracle_sql()}
+    return {
+        "op3_mix_sources": OP3_SQL,
+        "op4_decontaminate": decontaminate.ORACLE_SQL,
+        "op5_chat_perspectives": chat.ORACLE_SQL,
+        "op9_license_scan": licenses.oracle_sql(),
+        "op12_collocations": collocations.ORACLE_SQL,
+        "op13_source_divergence": divergence.ORACLE_SQL,
+    }
