@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontaminate, divergence, language, lengths, licenses, mixing, neighbours, repeats, simhash, token_shards
+from . import chat, collocations, decontaminate, divergence, language, lengths, licenses, mixing, neighbours, quality, repeats, simhash, token_shards
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -118,6 +118,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of every language by the lowest score of their cuts."""
     return collocations.find_collocations(table(spark, sf_dir, "documents"))
@@ -145,6 +152,7 @@ def queries() -> dict:
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_license_scan": op9_license_scan,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_quality_classifier": op11_quality_classifier,
         "op12_collocations": op12_collocations,
         "op13_source_divergence": op13_source_divergence,
         "pipeline": pipeline,

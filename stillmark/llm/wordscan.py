@@ -40,7 +40,7 @@ class Words:
         np.cumsum(size, out=offsets[1:])
         inside = np.zeros(len(self.data) + 1, np.int8)
         inside[self.start] += 1
-        np.subtract.at(inside, self.end, 1)
+        inside[self.end] -= 1
         raw = self.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
         forms = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
         return np.asarray(forms.indices), forms.dictionary
@@ -58,8 +58,8 @@ def raw_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def word_slices(column: pa.Array, word: np.ndarray, stop: np.ndarray, carry: int = 0, most: int = SLICE_BYTES) -> Iterator[Words]:
-    """The words of a string column, A-Z in lower case. ``word`` and ``stop`` say which bytes are in words and which end a piece.
+def word_slices(column: pa.Array, word: np.ndarray, stop: np.ndarray, carry: int = 0, most: int = SLICE_BYTES, fold: bool = True) -> Iterator[Words]:
+    """The words of a string column, A-Z in lower case if ``fold``. ``word`` and ``stop`` say which bytes are in words and which end a piece.
 
     Slices end between rows; in a row longer than ``most`` bytes behind a stop, or else between words: then the last
     ``carry`` words come again at the head of the next slice, so that no phrase of up to ``carry + 1`` words is lost.
@@ -82,7 +82,7 @@ def word_slices(column: pa.Array, word: np.ndarray, stop: np.ndarray, carry: int
                         reach += most
                         continue
                     to, again = at + int(gaps[-1]) + 1, carry > 0
-        found = _words(LOWER[data[at:to]], offsets, at, word, stop, carried)
+        found = _words(LOWER[data[at:to]] if fold else data[at:to], offsets, at, word, stop, carried)
         if again and len(found.start) <= carry:
             reach += most
             continue
