@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
