@@ -168,12 +168,13 @@ def groups(pairs: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def kept_members(members: DataFrame, suggested: DataFrame, kept: DataFrame) -> DataFrame:
-    """group_id, keep_id: a chosen member (the first by place of several), else the suggestion, else the first.
+    """group_id, keep_id: a chosen member (the first by place of several, by id in one place), else the suggestion, else the first.
 
     members: group_id, id, place, a row for each; suggested: group_id, suggested_keep_id; kept: id.
     """
     chosen = kept.select(F.col("id").alias("chosen_id")).distinct()
     marked = members.join(chosen, F.col("id") == F.col("chosen_id"), "left")
-    found = marked.groupBy("group_id").agg(F.min_by("id", F.when(F.col("chosen_id").isNotNull(), F.col("place"))).alias("picked"), F.min_by("id", "place").alias("first"))
+    order = F.struct("place", "id")
+    found = marked.groupBy("group_id").agg(F.min_by("id", F.when(F.col("chosen_id").isNotNull(), order)).alias("picked"), F.min_by("id", order).alias("first"))
     s = suggested.select(F.col("group_id").alias("of"), "suggested_keep_id")
     return found.join(s, F.col("group_id").eqNullSafe(F.col("of")), "left").select("group_id", F.coalesce("picked", "suggested_keep_id", "first").alias("keep_id"))

@@ -29,12 +29,12 @@ SETTINGS = [
 def upsert_videos(videos: DataFrame, incoming: DataFrame, now_ms: Column, folder: str = "folder_id") -> DataFrame:
     """The merged catalogue with ``created`` and ``changed``.
 
-    Keyed by path_key; of several incoming rows with one key the last by mtime, then size, counts. A changed file is one
+    Keyed by path_key; of several incoming rows with one key the last by mtime, size, then path and the other columns, counts. A changed file is one
     whose size, time, duration, picture or codec differ, or whose digest became known. An unknown folder keeps the old
     one; the digest is always the incoming one. New ids follow the largest, in order of path_key.
     """
     key = paths.path_key(F.col("path"))
-    last = Window.partitionBy("in_key").orderBy(F.desc("mtime_ms"), F.desc("size"))
+    last = Window.partitionBy("in_key").orderBy(*[F.desc(c) for c in ("mtime_ms", "size", "path", "file_hash", "duration", "width", "height", "video_codec", folder)])
     fresh = incoming.withColumn("in_key", key).withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
     fresh = fresh.select(*[F.col(c).alias(f"in_{c}") for c in ("path", *COMPARED, folder, "file_hash")], "in_key")
     both = videos.join(fresh, F.col("path_key") == F.col("in_key"), "full_outer")
@@ -147,8 +147,12 @@ def cleared(*tables: DataFrame) -> list[DataFrame]:
 
 
 def update_rows(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """``rows`` with the columns that ``changes`` (key and some columns) has, where it has their key; one change a key."""
+    """``rows`` with the columns that ``changes`` (key and some columns) has, where it has their key.
+
+    No row is multiplied: of several changes of one key the one with the largest columns, taken from left to right, counts.
+    """
     given = [c for c in changes.columns if c != key]
+    changes = changes.groupBy(key).agg(F.max(F.struct(*given)).alias("last")).select(key, "last.*")
     joined = rows.join(changes.select(F.col(key).alias("changed_key"), *[F.col(c).alias(f"changed_{c}") for c in given]), F.col(key) == F.col("changed_key"), "left")
     return joined.select(*[F.when(F.col("changed_key").isNotNull(), F.col(f"changed_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in rows.columns])
 
@@ -182,10 +186,11 @@ def remove_folder(folders: DataFrame, videos: DataFrame, folder_id: int) -> tupl
 
 
 def commit_frames(frames: DataFrame, batch: DataFrame, keys: tuple[str, ...] = ("video_id", "frame_index"), order: str | None = None) -> DataFrame:
-    """Frames with the batch's in place of those with the same key; within the batch the last one by ``order`` counts."""
+    """Frames with the batch's in place of those with the same key; within the batch the last one by ``order`` counts, of equal
+    ones that with the largest columns, taken from left to right."""
     latest = batch
     if order:
-        n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+        n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(F.struct(*frames.columns))))
         latest = batch.withColumn("n", n).where("n = 1").drop("n")
     return frames.join(latest.select(*keys), list(keys), "left_anti").unionByName(latest.select(*frames.columns))
 

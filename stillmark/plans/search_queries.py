@@ -171,13 +171,13 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH g AS (SELECT l_orderkey AS group_id, list(l_partkey ORDER BY l_linenumber) AS members, arg_max(l_partkey, l_extendedprice) AS suggested_keep_id FROM lineitem GROUP BY l_orderkey)
+    """WITH g AS (SELECT l_orderkey AS group_id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS members, arg_max(l_partkey, {'price': l_extendedprice, 'part': -l_partkey}) AS suggested_keep_id FROM lineitem GROUP BY l_orderkey)
 SELECT group_id, coalesce(list_filter(members, lambda m: m % 100 = 7)[1], suggested_keep_id, members[1]) AS keep_id FROM g"""
 )
 def kept_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     members = li.selectExpr("l_orderkey AS group_id", "l_partkey AS id", "l_linenumber AS place")
-    suggested = li.groupBy(F.col("l_orderkey").alias("group_id")).agg(F.max_by("l_partkey", "l_extendedprice").alias("suggested_keep_id"))
+    suggested = li.groupBy(F.col("l_orderkey").alias("group_id")).agg(F.max_by("l_partkey", F.struct("l_extendedprice", -F.col("l_partkey"))).alias("suggested_keep_id"))
     chosen = table(spark, sf_dir, "part").where("p_partkey % 100 = 7").select(F.col("p_partkey").alias("id"))
     return duplicates.kept_members(members, suggested, chosen)
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def last_changes(events: DataFrame, key: str = "id", revision: str = "revision") -> DataFrame:
-    """The event with the highest revision for each key (all columns)."""
+    """The event with the highest revision for each key (all columns); of equal revisions the one with the largest columns,
+    taken from left to right."""
     rest = F.struct(*[c for c in events.columns if c != key])
-    return events.groupBy(key).agg(F.max_by(rest, revision).alias("last")).select(key, "last.*")
+    return events.groupBy(key).agg(F.max_by(rest, F.struct(F.col(revision), rest)).alias("last")).select(key, "last.*")
 
 
 def apply_changes(rows: DataFrame, events: DataFrame, key: str = "id", status: str | None = None, insert: bool = True) -> DataFrame:

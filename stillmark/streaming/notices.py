@@ -24,9 +24,10 @@ def notices(events: DataFrame, keys: list[str], time_ms: str, window_ms: int = N
 
 
 def shown(found: DataFrame, at_ms: int) -> DataFrame:
-    """The notices on show at a time: not past their level's life, the newest four."""
+    """The notices on show at a time: not past their level's life, the newest four (of equally new ones those
+    that began later, then by level and message)."""
     ttl = F.coalesce(*[F.when(F.col("level") == k, F.lit(v)) for k, v in TTL_MS.items()], F.lit(TTL_MS["info"]))
-    return found.where((F.col("first_ms") <= at_ms) & (F.col("last_ms") + ttl > at_ms)).orderBy(F.desc("last_ms")).limit(MAX_NOTICES)
+    return found.where((F.col("first_ms") <= at_ms) & (F.col("last_ms") + ttl > at_ms)).orderBy(F.desc("last_ms"), F.desc("first_ms"), "level", "message").limit(MAX_NOTICES)
 
 
 def emitted(events: DataFrame, key: str, time_ms: str, window_ms: int = REPEAT_WINDOW_MS) -> DataFrame:
