@@ -1,6 +1,6 @@
 """Changes to the catalogue as whole-table transformations: keyed merges, cascades and idempotent batch writes.
 
-Plain Parquet has no transactions: each function gives the new table, and ``replace_table`` swaps it in as a whole.
+Each function gives the new table; ``snapshots`` commits one, so that readers see it before or after a change.
 """
 
 from __future__ import annotations
@@ -265,18 +265,3 @@ def remove_from_index(frames: DataFrame, video_ids: DataFrame) -> DataFrame:
 def replace_in_index(frames: DataFrame, video_ids: DataFrame, fresh: DataFrame) -> DataFrame:
     """Frames of those videos go, the fresh ones come; a video without fresh frames is simply gone."""
     return remove_from_index(frames, video_ids).unionByName(fresh.join(video_ids.select("video_id").distinct(), "video_id", "left_semi").select(*frames.columns))
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table, then rename: readers see the old table or the new one, and a failed job leaves the old."""
-    spark = df.sparkSession
-    new, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(new)
-    P = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = P(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(P(old), True)
-    if fs.exists(P(path)):
-        fs.rename(P(path), P(old))
-    if not fs.rename(P(new), P(path)):
-        raise OSError(f"could not put {new} in place")
-    fs.delete(P(old), True)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import formats
 from ..functions import similarity as S
-from ..operators import catalog, duplicates, mutations, recall
+from ..operators import catalog, duplicates, frame_index, mutations, recall, snapshots
+from ..operators.shared import fresh_path
 from .registry import query, table
 
 STRUCT, DHASH = ["s0", "s1"], ["d0", "d1"]
@@ -90,6 +91,34 @@ def recall_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(recall.recall(frames, asked, STRUCT, min_score=FLOOR, **LIMITS))
 
 
+KEPT_INDEX = f"""{FRAMES.replace('frames AS (', 'every AS (')},
+frames AS (SELECT * FROM every WHERE video_id % 4 <> 2 AND NOT (video_id % 4 = 1 AND frame_index % 2 = 1))"""
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> str:
+    """An index of even videos, to which odd ones are added; then some lose every other frame and some go."""
+    frames = frames_of(table(spark, sf_dir, "embeddings"))
+    index = frame_index.build(frames.where("video_id % 2 = 0"), fresh_path(spark, "frame-index"), buckets=16)
+    index = frame_index.add(frames.where("video_id % 2 = 1"), index)
+    ids = frames.select("video_id")
+    index = frame_index.replace(frames.where("frame_index % 2 = 0"), ids.where("video_id % 4 = 1"), index)
+    return frame_index.remove(ids.where("video_id % 4 = 2"), index).root
+
+
+@query(f"WITH {KEPT_INDEX}, queries AS (SELECT frame_index AS query_id, * FROM every WHERE frame_index % 20 = 0), {scored('scores', 'queries', FLOOR)}, {top_two('hits', 'scores')} {RECALL_END}")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth frame against an index that was built, added to, replaced in and reduced."""
+    asked = frames_of(table(spark, sf_dir, "embeddings")).where("frame_index % 20 = 0").withColumn("query_id", F.col("frame_index"))
+    return shown(frame_index.search(asked, kept_index(spark, sf_dir), STRUCT, min_score=FLOOR, **LIMITS))
+
+
+@query(f"WITH {KEPT_INDEX} SELECT video_id, count(*) AS n, sum(s0)::BIGINT AS words, min(time_ms) AS first_ms, max(time_ms) AS last_ms FROM frames GROUP BY video_id")
+def index_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the kept index has of each video."""
+    kept = frame_index.frames(spark, snapshots.current(spark, kept_index(spark, sf_dir)))
+    return kept.groupBy("video_id").agg(F.count("*").alias("n"), F.sum("s0").alias("words"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"))
+
+
 @query(f"WITH {FRAMES} SELECT video_id, frame_index, s0, s1, d0, d1, color_total, list_sum(spatial)::BIGINT AS spatial_total, round(list_max(color) / 255::DOUBLE, 6) AS dominant_share FROM frames")
 def frame_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = frames_of(table(spark, sf_dir, "embeddings"))

@@ -58,13 +58,16 @@ def running_highest(events: DataFrame, key: str, order: str, value: str) -> Data
     return events.withColumn("highest", F.max(value).over(before)).where(F.col("highest").isNull() | (F.col(value) > F.col("highest"))).drop("highest")
 
 
-def upsert_batch(path: str, key: str = "id"):
-    """A foreachBatch function that folds a batch into a Parquet table; folding a batch twice changes nothing."""
-    from ..operators.mutations import replace_table
+def upsert_batch(root: str, key: str = "id"):
+    """A foreachBatch function that folds a batch into a table of ``snapshots``; folding a batch twice changes nothing.
+
+    Only the buckets of the batch's keys are read and written again. A batch that stops anywhere leaves the table as it was
+    or as it will be.
+    """
+    from ..operators import snapshots
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = spark.read.parquet(path)
-        replace_table(apply_changes(rows, batch, key), path)
+        now = snapshots.current(batch.sparkSession, root)
+        snapshots.rewrite(batch.select(key), now, lambda rows: apply_changes(rows, batch, key))
 
     return apply
