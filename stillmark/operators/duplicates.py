@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
-from .recall import recall
+from . import pivots as P
+from .recall import MAX_STRUCT, recall
 from .shared import saved
 
 DEFAULT_THRESHOLD = 0.88
@@ -66,14 +67,20 @@ def representatives(frames: DataFrame, most: int) -> DataFrame:
     return placed.where(F.array_contains(chosen, F.col("place").cast("long"))).drop("place", "n", "size_id")
 
 
-def coverage_pairs(frames: DataFrame, struct: list[str], threshold: float = DEFAULT_THRESHOLD, **limits) -> DataFrame:
+def coverage_pairs(frames: DataFrame, struct: list[str], threshold: float = DEFAULT_THRESHOLD, most_met: float = 0.5, **limits) -> DataFrame:
     """Pairs of videos whose sample frames find each other: score = average * (0.5 + 0.5 * coverage), if it reaches the threshold.
 
     Each video's middle frame finds its nearest other video among the first 8; then the video's samples (at most 8) are
     looked up in all frames, and the share that finds the partner within the first 50 is the coverage. Sample frames are
-    the stated query set; they go out in blocks against all frames, whose fingerprints are written once.
+    the stated query set. The threshold bounds the structure distance, so samples and frames meet in cells around pivots;
+    where by a bounded sample more than ``most_met`` of all pairs would meet there, the samples go out in blocks against
+    all frames instead. Either way gives the same pairs.
     """
     frames = saved(frames, "fingerprints")
+    radius = P.radius_of(threshold, limits.get("max_struct", MAX_STRUCT), limits.get("bits") or 64 * len(struct))
+    chosen = P.choose(frames, struct, radius)
+    if chosen.share <= most_met:
+        limits = {**limits, "pivots": chosen}
     middle = representatives(frames, 1).withColumn("query_id", F.col("video_id"))
     first = recall(frames, middle, struct, k=NEAR_VIDEOS, min_score=threshold, **limits).where("video_id <> query_id")
     order = Window.partitionBy("query_id").orderBy("rank")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprint, sampling
 from ..functions import similarity as S
+from .pivots import Pivots, with_cell, with_visits
 from .shared import appended, saved
 
 MAX_DHASH, MAX_STRUCT, MIN_SCORE, MAX_RESULTS = 24, 448, 0.6, 40
@@ -17,18 +18,25 @@ QUERY_BLOCK = 16384
 
 
 def score_frames(
-    frames: DataFrame, queries: DataFrame, struct: list[str], dhash: list[str] = ["dhash"], max_dhash: int = MAX_DHASH, max_struct: int = MAX_STRUCT, min_score: float = MIN_SCORE, bits: int | None = None
+    frames: DataFrame, queries: DataFrame, struct: list[str], dhash: list[str] = ["dhash"], max_dhash: int = MAX_DHASH, max_struct: int = MAX_STRUCT, min_score: float = MIN_SCORE, bits: int | None = None, pivots: Pivots | None = None
 ) -> DataFrame:
     """query_id and frame for every pair that passes the prunes: cheap hash first, then structure, then colours.
 
     ``queries`` (query_id and the fingerprint columns) is a stated set: each block of it is broadcast, never the frames.
+    With ``pivots``, whose radius covers ``max_struct`` and ``min_score``, both sides are joined by cells instead: the same
+    pairs come out, and neither side is broadcast for that.
     """
     bits = bits or 64 * len(struct)
     renamed = [c for c in dict.fromkeys([*dhash, *struct, "color", "color_total", "spatial"])]
-    q = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in renamed], S.color_weight(S.dominant_share(F.col("color"))).alias("weight"))
+    cell = ["pivot", "ring"] if pivots else []
+    if pivots:
+        frames, queries = with_cell(frames, pivots), with_visits(queries, pivots)
+    q = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in renamed], S.color_weight(S.dominant_share(F.col("color"))).alias("weight"), *[F.col(c).alias(f"q_{c}") for c in cell])
     near = S.hamming([F.col(c) for c in dhash], [F.col(f"q_{c}") for c in dhash]) <= max_dhash
     distance = S.hamming([F.col(c) for c in struct], [F.col(f"q_{c}") for c in struct])
-    pairs = frames.join(F.broadcast(q), near & (distance <= max_struct)).withColumn("hash_distance", distance)
+    for c in cell:
+        near = (F.col(c) == F.col(f"q_{c}")) & near
+    pairs = frames.join(q if pivots else F.broadcast(q), near & (distance <= max_struct)).withColumn("hash_distance", distance)
     pairs = pairs.withColumn("hash_score", S.struct_similarity(F.col("hash_distance"), bits)).where(F.col("hash_score") >= min_score)
     color = S.color_score(S.histogram_similarity(F.col("q_color"), F.col("q_color_total"), F.col("color"), F.col("color_total")), S.spatial_similarity(F.col("q_spatial"), F.col("spatial")))
     pairs = pairs.withColumn("color_score", color)
@@ -66,9 +74,9 @@ def recall(frames: DataFrame, queries: DataFrame, struct: list[str], k: int = MA
 
     Queries are taken in blocks of at most about 16,384 (some 12 MB), whose number is checked by a count, each against all
     frames. Beyond one block both sides are written first and each block's hits as they come, so no plan or task grows
-    with the number of queries.
+    with the number of queries. With ``pivots`` there are no blocks, as queries are dealt to cells.
     """
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    blocks = 1 if limits.get("pivots") else -(-queries.count() // QUERY_BLOCK) or 1
     hits = lambda part: top_two(score_frames(frames, part, struct, **limits), ["query_id", "video_id"])
     if blocks == 1:
         found = hits(queries)

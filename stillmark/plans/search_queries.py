@@ -13,7 +13,7 @@ from .registry import query, table
 
 STRUCT, DHASH = ["s0", "s1"], ["d0", "d1"]
 LIMITS = {"dhash": DHASH, "max_dhash": 40, "max_struct": 40, "bits": 64}
-FLOOR, PAIR_FLOOR = 0.4, 0.55
+FLOOR, PAIR_FLOOR, CLOSE_FLOOR = 0.4, 0.55, duplicates.DEFAULT_THRESHOLD
 
 
 def frames_of(embeddings: DataFrame) -> DataFrame:
@@ -152,25 +152,48 @@ def representative_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.representatives(frames, duplicates.SAMPLES)
 
 
-@query(
-    f"""WITH {FRAMES}, {REPRESENTATIVES}, {scored('first_scores', 'middle', PAIR_FLOOR)}, {top_two('first_hits', 'first_scores')},
+def coverage_sql(floor: float) -> str:
+    return f"""WITH {FRAMES}, {REPRESENTATIVES}, {scored('first_scores', 'middle', floor)}, {top_two('first_hits', 'first_scores')},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id) AS rank FROM first_hits),
 partner AS (SELECT query_id AS id_a, video_id AS id_b, hash_score, color_score, time_ms / 1000 AS time_seconds
             FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM ranked WHERE rank <= 8 AND video_id <> query_id) WHERE n = 1),
 asked AS (SELECT s.*, {{'of': s.video_id, 'at': s.frame_index}} AS query_id FROM samples s WHERE s.video_id IN (SELECT id_a FROM partner)),
-{scored('sample_scores', 'asked', PAIR_FLOOR)}, {top_two('sample_hits', 'sample_scores')},
+{scored('sample_scores', 'asked', floor)}, {top_two('sample_hits', 'sample_scores')},
 found AS (SELECT query_id.of AS id_a, video_id AS id_b, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id) AS rank FROM sample_hits) WHERE rank <= 50),
 sampled AS (SELECT video_id AS id_a, count(*) AS n_samples FROM asked GROUP BY video_id),
 judged AS (SELECT p.*, count(*) AS matched, avg(f.score) AS average FROM found f JOIN partner p USING (id_a, id_b) GROUP BY ALL),
 kept AS (SELECT *, average * (0.5::DOUBLE + 0.5::DOUBLE * matched / n_samples) AS score FROM judged JOIN sampled USING (id_a))
 SELECT id_a, id_b, round(score, 6) AS score, round(hash_score, 6) AS hash_score, round(color_score, 6) AS color_score, time_seconds
-FROM (SELECT *, row_number() OVER (PARTITION BY least(id_a, id_b), greatest(id_a, id_b) ORDER BY id_a) AS n FROM kept WHERE score >= {PAIR_FLOOR}) WHERE n = 1"""
-)
+FROM (SELECT *, row_number() OVER (PARTITION BY least(id_a, id_b), greatest(id_a, id_b) ORDER BY id_a) AS n FROM kept WHERE score >= {floor}) WHERE n = 1"""
+
+
+def coverage(frames: DataFrame, floor: float, **options) -> DataFrame:
+    pairs = duplicates.coverage_pairs(frames, STRUCT, floor, **LIMITS, **options)
+    return pairs.select("id_a", "id_b", *[F.round(c, 6).alias(c) for c in ("score", "hash_score", "color_score")], "time_seconds")
+
+
+@query(coverage_sql(PAIR_FLOOR))
 def duplicate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate videos by how many of their sample frames find the partner."""
-    frames = frames_of(table(spark, sf_dir, "embeddings"))
-    pairs = duplicates.coverage_pairs(frames, STRUCT, PAIR_FLOOR, **LIMITS)
-    return pairs.select("id_a", "id_b", *[F.round(c, 6).alias(c) for c in ("score", "hash_score", "color_score")], "time_seconds")
+    return coverage(frames_of(table(spark, sf_dir, "embeddings")), PAIR_FLOOR)
+
+
+CLIPS = """clips AS (
+  SELECT vec_id // 4 AS label, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings
+  UNION ALL SELECT vec_id // 4 + 1000000, vec_id + 4000000, list_transform(embedding, lambda x: floor(x::DOUBLE * 64) / 64) FROM embeddings WHERE vec_id % 3 > 0)"""
+
+
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short videos of four frames, and coarser copies of them that lack some frames."""
+    e = table(spark, sf_dir, "embeddings").selectExpr("floor(vec_id / 4) AS label", "vec_id", "transform(embedding, x -> double(x)) AS embedding")
+    coarse = e.where("vec_id % 3 > 0").selectExpr("label + 1000000 AS label", "vec_id + 4000000 AS vec_id", "transform(embedding, x -> floor(x * 64) / 64D) AS embedding")
+    return e.unionByName(coarse)
+
+
+@query(coverage_sql(CLOSE_FLOOR).replace("WITH ", f"WITH {CLIPS}, ", 1).replace("x::DOUBLE) AS v FROM embeddings", "x::DOUBLE) AS v FROM clips"))
+def close_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short videos and their coarser copies by the default threshold; pairs meet in cells around pivots."""
+    return coverage(frames_of(clips(spark, sf_dir)), CLOSE_FLOOR, most_met=1.0)
 
 
 PAIRS_SQL = """pairs AS (SELECT o_custkey AS id_a, CASE WHEN o_orderkey % 40 = 0 THEN o_orderkey % 997 + 100000 ELSE o_orderkey + 1000000 END AS id_b, (o_orderkey % 100) / 100.0::DOUBLE AS score, o_orderkey % 7 = 0 AS identical_file FROM orders),
