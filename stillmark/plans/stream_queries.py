@@ -71,6 +71,36 @@ def repeat_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notices.emitted(timed(spark, sf_dir).select("user_id", "at_ms"), "user_id", "at_ms", 30_000_000)
 
 
+@query(
+    """WITH RECURSIVE life(level, ttl) AS (VALUES ('info', 5000), ('warn', 8000), ('error', 12000)),
+t AS (SELECT *, row_number() OVER (PARTITION BY viewer ORDER BY ms, level, message) AS i FROM (
+  SELECT user_id % 3 AS viewer, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'info' ELSE 'warn' END AS level, event_type || user_id % 2 AS message, (epoch_us(ts) // 1000) // 100000 AS ms FROM events)),
+fold(viewer, i, stack, ended) AS (
+  SELECT viewer, i, [{'level': level, 'message': message, 'f': ms, 'l': ms, 'n': 1}], [{'level': '', 'message': '', 'f': 0::BIGINT, 'l': 0::BIGINT, 'n': 1, 'e': 0::BIGINT}][1:0] FROM t WHERE i = 1
+  UNION ALL
+  SELECT viewer, i, CASE WHEN same IS NULL THEN list_concat([{'level': level, 'message': message, 'f': ms, 'l': ms, 'n': 1}], alive[1:3])
+                         ELSE list_concat([{'level': level, 'message': message, 'f': same.f, 'l': ms, 'n': same.n + 1}], list_filter(alive, lambda x: x != same)) END,
+         list_concat(list_transform(over, lambda x: {'level': x.level, 'message': x.message, 'f': x.f, 'l': x.l, 'n': x.n, 'e': x.l + CASE x.level WHEN 'info' THEN 5000 WHEN 'warn' THEN 8000 ELSE 12000 END}),
+                     CASE WHEN same IS NULL THEN list_transform(alive[4:], lambda x: {'level': x.level, 'message': x.message, 'f': x.f, 'l': x.l, 'n': x.n, 'e': ms}) ELSE [] END)
+  FROM (SELECT *, list_filter(alive, lambda x: x.level = lv AND x.message = mg AND ms - x.l < 2000)[1] AS same FROM (
+    SELECT t.*, t.level AS lv, t.message AS mg,
+      list_filter(f.stack, lambda x: x.l + CASE x.level WHEN 'info' THEN 5000 WHEN 'warn' THEN 8000 ELSE 12000 END > t.ms) AS alive,
+      list_filter(f.stack, lambda x: x.l + CASE x.level WHEN 'info' THEN 5000 WHEN 'warn' THEN 8000 ELSE 12000 END <= t.ms) AS over
+    FROM fold f JOIN t ON f.viewer = t.viewer AND t.i = f.i + 1))),
+told AS (
+  SELECT viewer, unnest(ended) AS x FROM fold
+  UNION ALL SELECT viewer, {'level': x.level, 'message': x.message, 'f': x.f, 'l': x.l, 'n': x.n, 'e': x.l + ttl}
+  FROM (SELECT viewer, unnest(stack) AS x FROM fold QUALIFY i = max(i) OVER (PARTITION BY viewer)) JOIN life ON x.level = life.level)
+SELECT viewer, x.level AS level, x.message AS message, x.f AS first_ms, x.l AS last_ms, x.n AS n, x.e AS ended_ms FROM told"""
+)
+def notice_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every notice that was on show to each of three viewers, events taken as one in a hundred seconds."""
+    level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "info").otherwise("warn")
+    message = F.concat("event_type", (F.col("user_id") % 2).cast("string"))
+    rows = timed(spark, sf_dir).select((F.col("user_id") % 3).alias("viewer"), level.alias("level"), message.alias("message"), F.floor(F.col("at_ms") / 100000).alias("at_ms"))
+    return notices.notice_log(rows, "viewer")
+
+
 VIEW_SQL = """rows AS (SELECT o_orderkey AS id, o_orderstatus AS status, floor(o_totalprice)::BIGINT AS size FROM orders),
 changed AS (SELECT event_id AS revision, user_id * 4 AS id, CASE WHEN event_type = 'error' THEN 'deleted' ELSE 'updated' END AS type, CASE WHEN event_type = 'view' THEN 'P' ELSE 'F' END AS status, floor(value * 100)::BIGINT AS size FROM events),
 last AS (SELECT id, arg_max(type, revision) AS type, arg_max(status, revision) AS status, arg_max(size, revision) AS size FROM changed {} GROUP BY id)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-NOTICE_WINDOW_MS, REPEAT_WINDOW_MS, MAX_NOTICES = 2000, 30_000, 4
+NOTICE_WINDOW_MS, REPEAT_WINDOW_MS, FORGET_MS, MAX_NOTICES = 2000, 30_000, 3_600_000, 4
 TTL_MS = {"info": 5000, "warn": 8000, "error": 12000}
 
 
@@ -30,11 +31,105 @@ def shown(found: DataFrame, at_ms: int) -> DataFrame:
     return found.where((F.col("first_ms") <= at_ms) & (F.col("last_ms") + ttl > at_ms)).orderBy(F.desc("last_ms"), F.desc("first_ms"), "level", "message").limit(MAX_NOTICES)
 
 
-def emitted(events: DataFrame, key: str, time_ms: str, window_ms: int = REPEAT_WINDOW_MS) -> DataFrame:
+class NoticeStack:
+    """What one viewer has on show, newest first: ``MAX_NOTICES`` at most, whatever has been pushed.
+
+    An equal notice less than ``window_ms`` old is refreshed and comes to the front; any other push takes a place, and the
+    last one beyond the limit goes. One that was pushed out or has lived its time is not there to be refreshed.
+    """
+
+    def __init__(self, entries: list[list], window_ms: int):
+        self.entries, self.window_ms = entries, window_ms
+
+    def expire(self, now: int) -> list[tuple]:
+        """(entry..., end) of those whose time is over."""
+        over = [e for e in self.entries if self.end(e) <= now]
+        self.entries = [e for e in self.entries if self.end(e) > now]
+        return [(*e, self.end(e)) for e in over]
+
+    def push(self, level: str, message: str, now: int) -> list[tuple]:
+        ended = self.expire(now)
+        same = next((e for e in self.entries if e[:2] == [level, message] and now - e[3] < self.window_ms), None)
+        if same:
+            self.entries = [[level, message, same[2], now, same[4] + 1], *[e for e in self.entries if e is not same]]
+            return ended
+        ended += [(*e, now) for e in self.entries[MAX_NOTICES - 1 :]]
+        self.entries = [[level, message, now, now, 1], *self.entries[: MAX_NOTICES - 1]]
+        return ended
+
+    @staticmethod
+    def end(entry: list) -> int:
+        return entry[3] + TTL_MS.get(entry[0], TTL_MS["info"])
+
+
+def _log_schema(key: T.StructField) -> T.StructType:
+    return T.StructType([key, *T.StructType.fromDDL("level string, message string, first_ms long, last_ms long, n long, ended_ms long").fields])
+
+
+def notice_log(events: DataFrame, viewer: str, window_ms: int = NOTICE_WINDOW_MS) -> DataFrame:
+    """viewer, level, message, first_ms, last_ms, n, ended_ms: every notice that was on show, from events (viewer, level,
+    message, at_ms), in order of time, level and message. A task holds one viewer's stack and a batch of entries at a time.
+
+    Null times are left out; a null level lives as ``info`` does.
+    """
+    schema = _log_schema(events.schema[viewer])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, stack = None, NoticeStack([], window_ms)
+
+        def told(rows: list) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [kind, pa.string(), pa.string(), *[pa.int64()] * 4])], schema.names)
+
+        for batch in batches:
+            out, kind = [], batch.schema.field(0).type
+            for key, level, message, at in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != of:
+                    out += [(of, *e, stack.end(e)) for e in stack.entries]
+                    of, stack = key, NoticeStack([], window_ms)
+                out += [(of, *e) for e in stack.push(level, message, at)]
+            yield told(out)
+        if stack.entries:
+            yield told([(of, *e, stack.end(e)) for e in stack.entries])
+
+    rows = events.select(viewer, "level", "message", F.col("at_ms").cast("long").alias("at_ms")).where("at_ms is not null")
+    return rows.repartition(F.col(viewer)).sortWithinPartitions(viewer, "at_ms", "level", "message").mapInArrow(fold, schema)
+
+
+def notice_log_stream(events: DataFrame, viewer: str, window_ms: int = NOTICE_WINDOW_MS, delay: str = "10 seconds") -> DataFrame:
+    """The same on a stream, by event time: a notice comes out when it ends. A viewer without notices leaves no state.
+
+    A viewer's entries count in the order of micro-batches, and of time within one; those ``delay`` or more behind the newest
+    of earlier micro-batches are left out.
+    """
+    schema = _log_schema(events.schema[viewer])
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        stack = NoticeStack(json.loads(state.get[0]) if state.exists else [], window_ms)
+        out = []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["at_ms", "level", "message"], kind="stable")
+            for level, message, at in zip(rows["level"], rows["message"], rows["at_ms"].tolist()):
+                out += stack.push(level, message, at)
+        out += stack.expire(now)
+        if stack.entries:
+            state.update((json.dumps(stack.entries),))
+            state.setTimeoutTimestamp(min(map(stack.end, stack.entries)))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(key[0], *e) for e in out], columns=schema.names)
+
+    timed = events.where("at_ms is not null").withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", delay)
+    return timed.groupBy(viewer).applyInPandasWithState(step, schema, "stack string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def emitted(events: DataFrame, key: str, time_ms: str, window_ms: int = REPEAT_WINDOW_MS, forget_ms: int | None = None) -> DataFrame:
     """key, at_ms, suppressed: entries that come through, with how many were held back since the one before.
 
-    An entry is held back if less than ``window_ms`` passed since the last that came through. That anchor makes it a fold
-    in order of time: the task that reads a key's entries, sorted, holds one batch, the anchor and a count.
+    An entry is held back if less than ``window_ms`` passed since the last that came through. With ``forget_ms``, the number
+    is dropped once that long has passed. The anchor makes it a fold in order of time: the task that reads a key's
+    entries, sorted, holds one batch, the anchor and a count.
     """
     kind = T.StructType([events.schema[key], T.StructField("at_ms", T.LongType()), T.StructField("suppressed", T.LongType())])
 
@@ -43,10 +138,11 @@ def emitted(events: DataFrame, key: str, time_ms: str, window_ms: int = REPEAT_W
         for batch in batches:
             out = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if begun and k == of and t - last < window_ms:
+                known = begun and k == of and (forget_ms is None or t - last < forget_ms)
+                if known and t - last < window_ms:
                     held += 1
                     continue
-                out.append((k, t, held if begun and k == of else 0))
+                out.append((k, t, held if known else 0))
                 begun, of, last, held = True, k, t, 0
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.int64()))], [key, "at_ms", "suppressed"])
@@ -55,19 +151,34 @@ def emitted(events: DataFrame, key: str, time_ms: str, window_ms: int = REPEAT_W
     return rows.repartition(F.col(key)).sortWithinPartitions(key, "t").mapInArrow(fold, kind)
 
 
-def emitted_stream(events: DataFrame, window_ms: int = REPEAT_WINDOW_MS) -> DataFrame:
-    """The same on a stream (repeat_key, at_ms), with the anchor and the count as state."""
+def emitted_stream(events: DataFrame, window_ms: int = REPEAT_WINDOW_MS, forget_ms: int = FORGET_MS, delay: str = "10 seconds") -> DataFrame:
+    """The same on a stream (repeat_key, at_ms), by event time, with the anchor and the count as state.
+
+    A key leaves the state ``forget_ms`` (``window_ms`` at least) after its last entry that came through, so state holds
+    the keys of that time and not all that ever were. Entries ``delay`` or more behind the newest of earlier
+    micro-batches are left out; one that comes in a later micro-batch than a newer one is a repeat of that.
+    """
+    forget = max(forget_ms, window_ms)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, held = state.get if state.exists else (None, 0)
         out = []
         for at in sorted(t for b in batches for t in b["at_ms"].tolist()):
-            if last is not None and at - last < window_ms:
+            known = last is not None and at - last < forget
+            if known and at - last < window_ms:
                 held += 1
             else:
-                out.append((key[0], at, held))
+                out.append((key[0], at, held if known else 0))
                 last, held = at, 0
-        state.update((last, held))
+        if last + forget > state.getCurrentWatermarkMs():
+            state.update((last, held))
+            state.setTimeoutTimestamp(last + forget)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["repeat_key", "at_ms", "suppressed"])
 
-    return events.groupBy("repeat_key").applyInPandasWithState(step, "repeat_key string, at_ms long, suppressed long", "last long, held long", "append", GroupStateTimeout.NoTimeout)
+    timed = events.where("at_ms is not null").withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", delay)
+    return timed.groupBy("repeat_key").applyInPandasWithState(step, "repeat_key string, at_ms long, suppressed long", "last long, held long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -3,6 +3,7 @@
 import gzip
 import json
 import os
+import random
 import time
 
 import pytest
@@ -51,17 +52,74 @@ def test_a_list_kept_by_a_stream_survives_a_restart(spark, tmp_path):
 
 
 def test_repeated_entries_of_a_stream(spark, tmp_path):
-    put(tmp_path / "in", "a", [{"repeat_key": "x", "at_ms": t} for t in (0, 10, 20)] + [{"repeat_key": "y", "at_ms": 5}])
-    put(tmp_path / "in", "b", [{"repeat_key": "x", "at_ms": t} for t in (90, 105, 107)])
+    put(tmp_path / "in", "a", [{"repeat_key": "x", "at_ms": 1000 + t} for t in (0, 10, 20)] + [{"repeat_key": "y", "at_ms": 1005}])
+    put(tmp_path / "in", "b", [{"repeat_key": "x", "at_ms": 1000 + t} for t in (90, 105, 107)])
     out = notices.emitted_stream(files_stream(spark, tmp_path / "in", "repeat_key string, at_ms long"), window_ms=100)
     query = out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == [("x", 0, 0), ("x", 105, 3), ("y", 5, 0)]
+    assert got == [("x", 1000, 0), ("x", 1105, 3), ("y", 1005, 0)]
     batch = spark.createDataFrame([("x", t) for t in (0, 10, 20, 90, 105, 107)], "k string, t long")
     assert sorted(tuple(r) for r in notices.emitted(batch, "k", "t", 100).collect()) == [("x", 0, 0), ("x", 105, 3)]
 
 
+def run_stream(out, tmp_path):
+    """All that is there, file by file; the rows of state that are left."""
+    query = out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_repeated_entries_leave_the_state_in_time(spark, tmp_path):
+    rng = random.Random(2)
+    at, rows = 0, []
+    for _ in range(120):
+        at += rng.choice([1, 5, 20, 60, 200, 900])
+        rows.append((rng.choice("abcdef"), at))
+    out = lambda: notices.emitted_stream(files_stream(spark, tmp_path / "in", "repeat_key string, at_ms long"), window_ms=100, forget_ms=1000, delay="1 millisecond")
+    for i in range(0, 120, 12):
+        put(tmp_path / "in", f"p{i:03}", [{"repeat_key": k, "at_ms": t} for k, t in rows[i : i + 12]])
+        if i == 48:
+            run_stream(out(), tmp_path)  # and again from where it stopped
+    put(tmp_path / "in", "z1", [{"repeat_key": "z", "at_ms": at + 5000}])
+    put(tmp_path / "in", "z2", [{"repeat_key": "z", "at_ms": at + 9000}])
+    assert run_stream(out(), tmp_path) <= 2  # only the last key is young enough
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    batch = spark.createDataFrame([*rows, ("z", at + 5000), ("z", at + 9000)], "k string, t long")
+    assert got == sorted(tuple(r) for r in notices.emitted(batch, "k", "t", 100, forget_ms=1000).collect())
+    assert got != sorted(tuple(r) for r in notices.emitted(batch, "k", "t", 100).collect()) and any(r[2] for r in got)
+
+
+def test_notices_of_a_stream_end_as_in_a_batch(spark, tmp_path):
+    rng = random.Random(7)
+    at, rows = 10, []
+    for _ in range(150):
+        at += rng.choice([1, 100, 300, 900, 1999, 2000, 2500])
+        rows.append((rng.randrange(2), rng.choice(["info", "warn", "error"]), rng.choice("abc"), at))
+    ends = [(v, "info", "end", at + 100_000 * (1 + i)) for i in range(3) for v in (0, 1, 2)]
+    schema = "viewer long, level string, message string, at_ms long"
+    batch = sorted(tuple(r) for r in notices.notice_log(spark.createDataFrame(rows + ends, schema).repartition(4), "viewer").collect())
+    out = lambda: notices.notice_log_stream(files_stream(spark, tmp_path / "in", schema), "viewer", delay="1 millisecond")
+    names = ["viewer", "level", "message", "at_ms"]
+    for i in range(0, 150, 15):
+        put(tmp_path / "in", f"p{i:03}", [dict(zip(names, r)) for r in rows[i : i + 15]])
+        if i == 60:
+            run_stream(out(), tmp_path)
+    for i in range(3):
+        put(tmp_path / "in", f"z{i}", [dict(zip(names, r)) for r in ends[3 * i : 3 * i + 3]])
+    left = run_stream(out(), tmp_path)
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    still = [r for r in batch if r[3] == at + 300_000]  # on show when the stream stops
+    assert left == len(still) == 3 and got == [r for r in batch if r not in still]
+
+
+def test_a_notice_that_was_pushed_out_begins_anew(spark):
+    rows = [(1, "info", m, t) for t, m in enumerate(["a", "b", "c", "d", "e", "a"])] + [(2, "info", m, t) for t, m in enumerate(["a", "b", "c", "a", "d", "a"])]
+    got = sorted(tuple(r) for r in notices.notice_log(spark.createDataFrame(rows, "viewer long, level string, message string, at_ms long"), "viewer").collect())
+    assert [r for r in got if r[2] == "a"] == [(1, "info", "a", 0, 0, 1, 4), (1, "info", "a", 5, 5, 1, 5005), (2, "info", "a", 0, 5, 3, 5005)]
+    assert len(got) == 10
+
+
 def test_due_imports_of_a_stream(spark, tmp_path):
     event = lambda p, kind, t: {"path_key": p, "path": p, "folder_id": 1, "kind": kind, "at_ms": t}
     put(tmp_path / "in", "a", [event("/a", "create", 1), event("/a", "modify", 2), event("/b", "create", 1), event("/c", "create", 1)])
