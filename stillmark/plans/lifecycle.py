@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sampling
-from ..operators import catalog, duplicates, mutations, recall
+from ..operators import catalog, duplicates, frame_index, mutations, recall, snapshots
+from ..operators.shared import saved
+from ..operators.snapshots import Snapshot
 from ..schemas import STRUCT_WORDS
 from ..sources import media
 
@@ -68,6 +70,52 @@ def pending_plan(videos: DataFrame, frames: DataFrame, plan: DataFrame) -> DataF
     return out.select("video_id", "path", F.slice("seconds", F.col("resume_at") + 1, F.size("seconds")).alias("seconds"), "resume_at", "full_scan")
 
 
+def index_in_batches(videos: Snapshot, index: Snapshot, plan: DataFrame, decode: Callable, now_ms, batch: int = sampling.SEEK_BATCH) -> tuple[Snapshot, Snapshot]:
+    """Decode what is pending in rounds: in each, every unfinished video's next ``batch`` seeks, committed before the next.
+
+    Frames are committed first, then how far each video is; a run that stops anywhere goes on behind the last committed batch.
+    Frames beyond a video's committed progress are of such a run and go first. A video whose batch fails keeps its earlier
+    ones, has status ``error`` and takes no part in later rounds. A video that is scanned whole is one batch.
+    """
+    spark = plan.sparkSession
+    table = snapshots.read(spark, videos).drop("bucket")
+    every = plan.select(F.col("video_id").alias("of"), F.col("seconds").alias("every"))
+    unfinished = table.where(F.col("status").isin("pending", "indexing")).select(F.col("id").alias("video_id"), F.size("processed_timestamps").alias("known"))
+    index = _without_beyond(index, unfinished)
+    todo = saved(pending_plan(table, frame_index.frames(spark, index), plan).join(every, F.col("video_id") == F.col("of")).drop("of"), "to-decode")
+    index = _without_beyond(index, todo.select("video_id", F.col("resume_at").alias("known")))
+    left = F.size("seconds")
+    rounds = todo.agg(F.max(F.when(F.col("full_scan"), 1).otherwise(F.ceil(left / batch)))).first()[0] or 0
+    failed = spark.createDataFrame([], "id long, error string")
+    for k in range(rounds):
+        mine = F.when(F.col("full_scan"), F.col("seconds")).otherwise(F.slice("seconds", k * batch + 1, batch))
+        part = todo.where((left > k * batch) & (~F.col("full_scan") | F.lit(k == 0))).join(failed.select(F.col("id").alias("video_id")), "video_id", "left_anti")
+        part = part.withColumn("first", (F.col("resume_at") + k * batch).cast("long")).withColumn("seconds", mine)
+        out = saved(media.decode_batches(part.repartition("video_id"), decode), "decoded")
+        index = frame_index.add(out.where("error is null"), index)
+        broken = out.where("error is not null").select(F.col("video_id").alias("id"), "error")
+        failed = saved(failed.unionByName(broken), "failed")
+        went = part.join(broken.select(F.col("id").alias("video_id")), "video_id", "left_anti")
+        ms = sampling.planned_ms(F.slice("every", F.lit(1), F.when(F.col("full_scan"), F.size("every")).otherwise(F.least(F.size("every"), F.col("first") + batch)).cast("int")))
+        progress = went.select("video_id", ms.alias("saved"), F.lit(0).cast("long").alias("elapsed"))
+        videos = snapshots.rewrite(progress.select("video_id"), videos, lambda rows, p=progress: mutations.record_progress(rows, p))
+    done = saved(todo.select(F.col("video_id").alias("id")).join(failed, "id", "left_anti"), "done")
+    counted = frame_index.frames(spark, index)
+    videos = snapshots.rewrite(done, videos, lambda rows: mutations.mark_ready(rows, counted, done, now_ms))
+    errors = failed.select("id", F.lit("error").alias("status"), "error")
+    return snapshots.rewrite(errors, videos, lambda rows: mutations.set_status(rows, errors)), index
+
+
+def _without_beyond(index: Snapshot, known: DataFrame) -> Snapshot:
+    """known: video_id, known. Frames of these videos from number ``known`` on go."""
+    spark = known.sparkSession
+    beyond = frame_index.frames(spark, index).join(known, "video_id").where("frame_index >= known")
+    stray = saved(beyond.select("video_id", "frame_index").distinct(), "stray")
+    if stray.isEmpty():
+        return index
+    return snapshots.rewrite(stray.select("video_id"), index, lambda rows: rows.join(stray, ["video_id", "frame_index"], "left_anti"))
+
+
 def commit_unchanged(videos: DataFrame, frames: DataFrame, fresh: DataFrame, seen: DataFrame, now_ms) -> tuple[DataFrame, DataFrame]:
     """(videos, frames) after a batch. ``seen`` (video_id, size, mtime_ms) is what the files were after decoding.
 

@@ -139,3 +139,33 @@ def decode_frames(plan: DataFrame, decode: Callable[[str, list[float], bool], It
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return plan.select("video_id", "path", "seconds", "full_scan").mapInArrow(run, schema)
+
+
+def decode_batches(plan: DataFrame, decode: Callable[[str, list[float], bool], Iterable[tuple[float, object]]]) -> DataFrame:
+    """plan (video_id, path, seconds, full_scan, first) to the fingerprinted frames of each row, numbered from ``first``.
+
+    A row is a batch of seeks, or a whole video if it is scanned: all its frames come, or one row with ``error`` and nothing
+    else, so one broken file doesn't stop the others.
+    """
+    schema = f"video_id long, frame_index long, time_ms long, {fingerprint.SIGNATURE}, error string"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def frames(row: dict) -> list[dict]:
+        out = []
+        for i, (time, pixels) in enumerate(decode(row["path"], row["seconds"], row["full_scan"])):
+            t = time if row["full_scan"] else row["seconds"][i]
+            out.append({"video_id": row["video_id"], "frame_index": row["first"] + i, "time_ms": int(t * 1000 + 0.5), **fingerprint.signature(pixels)})
+        if not row["full_scan"] and len(out) != len(row["seconds"]):
+            raise ValueError(f"{len(out)} of {len(row['seconds'])} frames")
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                try:
+                    out = frames(row)
+                except Exception as error:  # whatever a decoder raises is the file's failure
+                    out = [{"video_id": row["video_id"], "error": f"{type(error).__name__}: {error}"}]
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return plan.select("video_id", "path", "seconds", "full_scan", "first").mapInArrow(run, schema)
