@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import os
+import pathlib
 import re
 from collections.abc import Callable, Iterable
 
@@ -12,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import fingerprint, paths
+from ..operators.shared import saved
 
 # Extensions, names and directories that a scan treats specially.
 VIDEO_EXTENSIONS = "mp4 mkv avi mov wmv flv webm m4v mpg mpeg ts m2ts rmvb rm 3gp vob ogv m3u8".split()
@@ -39,19 +44,84 @@ def has_extension(path: Column, extensions: list[str]) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^.]*)$", 1)).isin(*extensions)
 
 
+LISTED = "path string, name string, is_dir boolean, size long, mtime_ms long, text string"
+PLAYLIST_BYTES, LISTED_TOGETHER = 2 << 20, 5000
+
+
+def _entries(folder: str):
+    """(path, name, is_dir, size, mtime_ms, playlist text) of a directory. Links are passed over, and so is what goes while
+    it is looked at; a directory that can't be listed is an error, a playlist that can't be read has no text."""
+    import pyarrow.fs as pafs
+
+    def text(name, size, read):
+        if not name.lower().endswith(".m3u8") or size > PLAYLIST_BYTES:
+            return None
+        try:
+            return read().decode()
+        except (OSError, UnicodeDecodeError):
+            return None
+
+    plain = lambda x: x.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    if "://" in folder:
+        fs, inside = pafs.FileSystem.from_uri(folder)
+        scheme = folder[: folder.index("://") + 3]
+        host = folder[len(scheme) :].split("/", 1)[0] if scheme[:-3] in ("hdfs", "viewfs") else ""
+        for e in fs.get_file_info(pafs.FileSelector(inside)):
+            is_dir, size = e.type == pafs.FileType.Directory, e.size or 0
+            read = lambda e=e: fs.open_input_stream(e.path).read()
+            yield scheme + host + e.path, e.base_name, is_dir, size, (e.mtime_ns or 0) // 1_000_000, text(e.base_name, size, read)
+        return
+    with os.scandir(folder) as found:
+        for e in found:
+            try:
+                if e.is_symlink() or not (e.is_dir() or e.is_file()):
+                    continue
+                stat = e.stat()
+            except FileNotFoundError:
+                continue
+            read = lambda e=e: pathlib.Path(e.path).read_bytes()
+            yield plain(e.path), plain(e.name), e.is_dir(), stat.st_size, stat.st_mtime_ns // 1_000_000, None if e.is_dir() else text(e.name, stat.st_size, read)
+
+
+def _listing(batches):
+    arrow = pa.schema([("path", pa.string()), ("name", pa.string()), ("is_dir", pa.bool_()), ("size", pa.int64()), ("mtime_ms", pa.int64()), ("text", pa.string())])
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            rows = _entries(folder)
+            while some := list(itertools.islice(rows, LISTED_TOGETHER)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), arrow)], schema=arrow)
+
+
 def scan_folder(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """path, size, mtime_ms of the candidate files below ``root``; contents are not read.
+    """path, size, mtime_ms of the candidate files below ``root``, a folder that all executors see; else it is an error.
 
-    Levels below 24 and some system directories are left out, and so are files that a playlist of the same scan names.
+    Directories are listed by tasks, level by level, so the driver holds none of them; no contents but those of playlists are
+    read. Links, levels below 24 and some system directories are left out, and so are files that a playlist of the same
+    scan names; a playlist that isn't UTF-8 names none.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    found = files.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"))
-    base = re.sub(r"^file:/*", "/", root.rstrip("/"))  # as the paths above have it
-    below = F.split(F.regexp_replace("path", "^" + re.escape(base) + "/*", ""), "/")
-    allowed = (F.size(below) - 1 <= MAX_DEPTH) & ~F.exists(F.slice(below, F.lit(1), F.size(below) - 1), lambda d: F.lower(d).isin(*SKIPPED_DIRECTORIES))
-    found = found.where(allowed & is_candidate(F.col("path")))
-    lists = files.where(F.lower("path").endswith(".m3u8") & (F.col("length") <= 2 << 20)).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("text"))
-    return without_playlist_parts(found, playlist_parts(lists))
+    root = re.sub(r"^file:/*", "/", root)
+    root = root.rstrip("/") or "/"
+    if not _is_folder(root):
+        raise NotADirectoryError(f"no directory, or not readable: {root}")
+    level = spark.createDataFrame([(root,)], "path string")
+    levels = []
+    for _ in range(MAX_DEPTH + 1 if recursive else 1):
+        levels.append(saved(level.repartition("path").mapInArrow(_listing, LISTED), "scan-level"))
+        level = levels[-1].where(F.col("is_dir") & ~F.lower("name").isin(*SKIPPED_DIRECTORIES)).select("path")
+        if level.isEmpty():
+            break
+    files = functools.reduce(DataFrame.unionByName, levels).where(~F.col("is_dir"))
+    found = files.where(is_candidate(F.col("path"))).select("path", "size", "mtime_ms")
+    return without_playlist_parts(found, playlist_parts(files.where(F.col("text").isNotNull()).select("path", "text")))
+
+
+def _is_folder(path: str) -> bool:
+    import pyarrow.fs as pafs
+
+    if "://" not in path:
+        return os.path.isdir(path)
+    fs, inside = pafs.FileSystem.from_uri(path)
+    return fs.get_file_info(inside).type == pafs.FileType.Directory
 
 
 def playlist_parts(lists: DataFrame) -> DataFrame:

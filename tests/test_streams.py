@@ -187,6 +187,55 @@ def test_scanning_a_folder(spark, tmp_path):
     assert {os.path.relpath(r.path, tmp_path) for r in media.scan_folder(spark, str(tmp_path), recursive=False).collect()} == {"a.mp4", "up.ts"}
 
 
+def scanned(spark, root, **options):
+    return sorted(os.path.relpath(r.path, root) for r in media.scan_folder(spark, str(root), **options).collect())
+
+
+def test_a_scan_passes_over_broken_playlists_and_links(spark, tmp_path):
+    root = tmp_path / "root"
+    (root / "in").mkdir(parents=True)
+    for name in ("a.mp4", "b.ts", "in/c.ts"):
+        (root / name).write_text(name)
+    (root / "latin.m3u8").write_bytes("#EXTM3U\nb.ts\nétoile.ts\n".encode("latin-1"))
+    (root / "good.M3U8").write_text("#EXTM3U\nin/c.ts\n")
+    (root / "large.m3u8").write_text("#EXTM3U\na.mp4\n" + "#" * media.PLAYLIST_BYTES)
+    (root / "folder.m3u8").mkdir()
+    os.symlink(root / "a.mp4", root / "link.mp4")
+    os.symlink(root, root / "in" / "loop")
+    os.symlink(root / "gone", root / "dangling.mp4")
+    os.mkfifo(root / "pipe.mp4")
+    assert scanned(spark, root) == ["a.mp4", "b.ts", "good.M3U8", "large.m3u8", "latin.m3u8"]
+
+
+def test_a_scan_needs_a_folder(spark, tmp_path):
+    (tmp_path / "file.mp4").write_text("x")
+    for root in (tmp_path / "file.mp4", tmp_path / "none"):
+        with pytest.raises(NotADirectoryError):
+            media.scan_folder(spark, str(root))
+    (tmp_path / "empty").mkdir()
+    assert scanned(spark, tmp_path / "empty") == []
+
+
+def test_a_scan_ends_below_24_levels(spark, tmp_path):
+    folder = tmp_path / "deep"
+    for k in range(26):
+        folder.mkdir()
+        (folder / f"v{k}.mp4").write_text("x")
+        folder = folder / "d"
+    assert [os.path.basename(p) for p in sorted(scanned(spark, tmp_path / "deep"), key=len)] == [f"v{k}.mp4" for k in range(25)]
+    assert scanned(spark, tmp_path / "deep", recursive=False) == ["v0.mp4"]
+
+
+def test_directories_are_listed_by_tasks(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / "wide" / f"d{i}").mkdir(parents=True)
+        for k in range(7):
+            (tmp_path / "wide" / f"d{i}" / f"{k}.mp4").write_text("x" * k)
+    found = media.scan_folder(spark, str(tmp_path / "wide"))
+    assert found.count() == 210 and found.agg(F.sum("size")).first()[0] == 30 * 21
+    assert "BinaryFile" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_probing_and_fetching(spark):
     files = spark.createDataFrame([("/a",), ("/b",)], "path string")
     info = {r.path: r.info for r in media.probe(files, lambda p: '{"streams":[{"duration":"3","width":4,"height":2,"codec_name":"h"}]}' if p == "/a" else "broken").collect()}
