@@ -21,7 +21,11 @@ def normalize_path(p: Column) -> Column:
 
 def path_key(p: Column) -> Column:
     """Comparison key: Unix paths as they are, Windows paths in lower case."""
-    n = normalize_path(p)
+    return normal_key(normalize_path(p))
+
+
+def normal_key(n: Column) -> Column:
+    """The key of a path in normal form already."""
     return F.when(_windows(n), F.lower(n)).otherwise(n)
 
 

@@ -34,6 +34,47 @@ def identical_candidates(videos: DataFrame, tolerance: float = 0.5) -> DataFrame
     return a.join(b, ["size", "cell"]).where(near).select("id_a", "id_b")
 
 
+def with_twins(videos: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """id of every video that some other one equals in size and, to less than ``tolerance``, in duration.
+
+    Rows of a (size, duration cell) are first summed up to one, so neither copies nor a common size make a hot key; the
+    sums look at themselves and at the cells next to them. In one cell all are near enough.
+    """
+    v = videos.select("id", "size", "duration").where("duration is not null and size is not null").withColumn("cell", F.floor(F.col("duration") / tolerance))
+    cells = v.groupBy("size", "cell").agg(F.count("*").alias("n"), F.min("duration").alias("low"), F.max("duration").alias("high"))
+    around = cells.select("size", F.explode(F.array(F.col("cell") - 1, F.col("cell") + 1)).alias("cell"), F.col("low").alias("near_low"), F.col("high").alias("near_high"))
+    near = around.groupBy("size", "cell").agg(F.max(F.struct("near_high", "near_low")).alias("above"), F.min(F.struct("near_low", "near_high")).alias("under"))
+    seen = cells.join(near, ["size", "cell"], "left").select("size", "cell", "n", "above", "under")
+    joined = v.join(seen, ["size", "cell"])
+    by_next = (F.col("above.near_low") - F.col("duration") < tolerance) & (F.col("above.near_low") > F.col("duration"))
+    by_last = (F.col("duration") - F.col("under.near_high") < tolerance) & (F.col("under.near_high") < F.col("duration"))
+    return joined.where((F.col("n") > 1) | F.coalesce(by_next, F.lit(False)) | F.coalesce(by_last, F.lit(False))).select("id")
+
+
+def identical_classes(videos: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """class_id (smallest id), id of every file that has an identical one: a row for each file and not for each pair.
+
+    Identical are files of equal size and digest whose durations go on in steps of less than ``tolerance``: what
+    ``identical_pairs`` links. Cells of equal files are summed up before they are put in order, so a task sees a row for each
+    cell of a digest; the files themselves only meet one row of their cell.
+    """
+    keys = ["size", "file_hash"]
+    v = videos.select("id", *keys, "duration").where("duration is not null and size is not null and file_hash is not null").withColumn("cell", F.floor(F.col("duration") / tolerance))
+    cells = v.groupBy(*keys, "cell").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("duration").alias("low"), F.max("duration").alias("high"))
+    order = Window.partitionBy(*keys).orderBy("cell")
+    begins = F.coalesce(F.col("low") - F.lag("high").over(order) >= tolerance, F.lit(True)).cast("int")
+    chains = cells.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*keys, "chain")
+    classes = chains.select(*keys, "cell", F.min("first").over(whole).alias("class_id"), F.sum("n").over(whole).alias("members")).where("members > 1")
+    return v.join(classes, [*keys, "cell"]).select("class_id", "id")
+
+
+def identical_links(classes: DataFrame) -> DataFrame:
+    """Classes as exact pairs of the representative and each other member: enough for groups, one fewer than the files."""
+    pairs = classes.where("id <> class_id").select(F.col("class_id").alias("id_a"), F.col("id").alias("id_b"))
+    return pairs.select("id_a", "id_b", *[F.lit(1.0).alias(c) for c in ("score", "hash_score", "color_score")], F.lit(0.0).alias("time_seconds"), F.lit(True).alias("identical_file"))
+
+
 def with_hash(videos: DataFrame, files: DataFrame, ids: DataFrame) -> DataFrame:
     """file_hash kept where known, else the digest of the content, computed only for the candidates in ``ids``."""
     wanted = videos.join(ids, "id", "left_semi")

@@ -240,9 +240,15 @@ def merge_settings(settings: DataFrame, patch: DataFrame) -> DataFrame:
     return settings.join(patch.select("key"), "key", "left_anti").unionByName(patch.select("key", "value"))
 
 
-def typed_settings(settings: DataFrame) -> DataFrame:
-    """One row of typed settings: unreadable or missing values take the default, numbers are clamped."""
-    values = settings.groupBy().agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k, *_ in SETTINGS])
+JSON_LONG = r"^\s*-?(0|[1-9][0-9]*)\s*$"
+JSON_DOUBLE = r"^\s*-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?\s*$"
+
+
+def typed_settings(settings: DataFrame, by: list[str] = [], order: str | None = None) -> DataFrame:
+    """One row of typed settings, for each ``by`` if there is any: values that aren't JSON of the type, or are missing, take
+    the default, numbers are clamped. Of a key's several values the last by ``order`` counts, then the largest text."""
+    at = F.struct(F.col(order), F.col("value")) if order else F.struct("value")
+    values = settings.groupBy(*by).agg(*[F.max_by("value", F.when(F.col("key") == k, at)).alias(k) for k, *_ in SETTINGS])
     out = []
     for key, kind, default, low, high in SETTINGS:
         raw = F.col(key)
@@ -251,11 +257,11 @@ def typed_settings(settings: DataFrame) -> DataFrame:
         elif kind == "boolean":
             value = F.coalesce(F.when(F.trim(raw).isin("true", "false"), F.trim(raw) == "true"), F.lit(default))
         else:
-            number = F.trim(raw).try_cast(kind)
+            number = F.when(raw.rlike(JSON_LONG if kind == "long" else JSON_DOUBLE), F.trim(raw).try_cast(kind))
             number = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number) if kind == "double" else number
             value = F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(number, F.lit(default)))).cast(kind)
         out.append(value.alias(key))
-    return values.select(*out)
+    return values.select(*by, *out)
 
 
 def remove_from_index(frames: DataFrame, video_ids: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, paths, sampling
-from ..operators import catalog, duplicates, mutations, scenes
+from ..operators import catalog, duplicates, explorer, mutations, scenes
 from ..sources import media, web
 from .registry import query, table
 
@@ -80,6 +80,14 @@ def identical_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.identical_pairs(hashed, candidates).select("id_a", "id_b", "score", "identical_file")
 
 
+@query("SELECT min(doc_id) OVER same AS class_id, doc_id AS id FROM (SELECT doc_id, n_chars, sha256(text) AS h FROM documents) WINDOW same AS (PARTITION BY n_chars, h) QUALIFY count(*) OVER same > 1")
+def identical_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal files with the smallest id of each class: a row for each file, however many copies there are."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "concat('/', doc_id) AS path", "n_chars AS size", "1D AS duration", "CAST(NULL AS STRING) AS file_hash", "CAST(text AS BINARY) AS content")
+    hashed = duplicates.with_hash(docs.drop("content"), docs.select("path", "content"), duplicates.with_twins(docs))
+    return duplicates.identical_classes(hashed)
+
+
 PAGE_PATH = "rtrim(regexp_replace('/' || regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/')"
 PAGES_SQL = f"""pages_at AS (SELECT page_id AS id, {PAGE_PATH} AS path FROM pages),
 parts AS (SELECT id, path, string_split(path, '/') AS s FROM pages_at),
@@ -129,6 +137,41 @@ def tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.tree_rows(pages_and_folders(spark, sf_dir)[0])
 
 
+LETTERS, SIGNS = "aeimnst", "啊é中íñ市ŧ"
+EXPLORER_SQL = f"""WITH RECURSIVE {PAGES_SQL.replace("WITH ", "")},
+f AS (SELECT id, translate(path_key, '{LETTERS}', '{SIGNS}') AS path FROM folders),
+tops AS (SELECT f.id, f.path, coalesce(arg_min(g.path, length(g.path)), f.path) AS root FROM f LEFT JOIN f g ON starts_with(f.path, g.path || '/') GROUP BY f.id, f.path),
+v AS (SELECT c.id, translate(CASE WHEN len(string_split(c.path, '/')) = 2 THEN '/' ELSE regexp_replace(c.path, '/[^/]*$', '') END, '{LETTERS}', '{SIGNS}') AS dir, CASE WHEN c.id % 11 > 0 THEN closest_id END AS folder_id FROM closest c),
+held AS (SELECT v.id, v.dir, t.root FROM v LEFT JOIN tops t ON v.folder_id = t.id AND (v.dir = t.path OR starts_with(v.dir, t.path || '/'))),
+needs AS (SELECT root, dir, id FROM held WHERE root IS NOT NULL UNION ALL SELECT root, path, NULL FROM tops),
+up(root, node, id) AS (SELECT root, dir, id FROM needs UNION ALL SELECT root, regexp_replace(node, '/[^/]*$', ''), id FROM up WHERE node <> root),
+nodes AS (SELECT root, node, CASE WHEN node <> root THEN regexp_replace(node, '/[^/]*$', '') END AS parent, string_split(node, '/')[-1] AS name, count(id) AS n,
+          length(node) % 3 < 2 AND length(node) % 7 > 0 AS opened FROM up GROUP BY root, node),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY name COLLATE zh, CASE WHEN parent IS NULL THEN node ELSE name END) AS r FROM nodes),
+seen(node, depth, key, n, name, opened) AS (
+  SELECT node, 0, [0::BIGINT, r], n, name, opened FROM ranked WHERE parent IS NULL
+  UNION ALL SELECT k.node, depth + 1, list_concat(key, [0::BIGINT, k.r]), k.n, k.name, k.opened FROM seen s JOIN ranked k ON k.parent = s.node WHERE s.opened),
+shown AS (
+  SELECT 'folder' AS type, node AS path, NULL::BIGINT AS video_id, name, depth, n, key FROM seen
+  UNION ALL SELECT 'empty', node, NULL, NULL, depth + 1, NULL, list_concat(key, [2::BIGINT, 0]) FROM seen WHERE opened AND n = 0
+  UNION ALL SELECT 'video', NULL, h.id, NULL, depth + 1, NULL, list_concat(key, [1::BIGINT, -h.id]) FROM held h JOIN seen ON h.dir = node AND opened WHERE h.root IS NOT NULL
+  UNION ALL SELECT 'video', NULL, id, NULL, 0, NULL, [1::BIGINT, -id] FROM held WHERE root IS NULL)
+SELECT type, path, video_id, name, depth::INT AS depth, n, row_number() OVER (ORDER BY key) AS position FROM shown"""
+
+
+@query(EXPLORER_SQL)
+def explorer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as videos in a tree with Chinese and accented names, some directories closed; the newest video comes first."""
+    pages, folders = pages_and_folders(spark, sf_dir)
+    owned = catalog.closest_folder(pages, folders)
+    sign = lambda c: F.translate(c, LETTERS, SIGNS)
+    videos = owned.select("id", sign(paths.dir_name(F.col("path"))).alias("dir"), F.when(F.col("id") % 11 > 0, F.col("closest_id")).alias("folder_id"), (-F.col("id")).alias("position"))
+    f = folders.select("id", sign(F.col("path_key")).alias("path")).withColumn("name", paths.file_name(F.col("path")))
+    every = videos.select(F.col("dir").alias("path")).unionByName(f.select("path")).distinct()
+    every = every.select("path", F.explode(paths.ancestors(F.concat("path", F.lit("/x")))).alias("path_key")).select("path_key").distinct()
+    return explorer.explorer_rows(f, videos, every.where("length(path_key) % 3 < 2"), every.where("length(path_key) % 7 = 0"))
+
+
 @query(f"WITH {PAGES_SQL}, host AS (SELECT min('/' || s[2]) AS h FROM parts) SELECT p.id, starts_with(path, h || '/') AS is_under, path = h OR starts_with(path, h || '/') AS is_contained FROM pages_at p, host")
 def path_under(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, _ = pages_and_folders(spark, sf_dir)
@@ -404,10 +447,34 @@ def migrate_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.migrate_sampling(rows, "uniform", "scene")
 
 
-@query("""SELECT 1::BIGINT AS "uniformIntervalSeconds", 8::BIGINT AS concurrency, 1.0::DOUBLE AS "minHashScore", 200::BIGINT AS "maxResults", 0::BIGINT AS "awaitWriteMs", false AS "pruneOnDelete", 'uniform' AS "samplingMode", true AS "updateCheck", false AS "keepFrameImages" """)
+SETTING_KEYS = [k for k, *_ in mutations.SETTINGS]
+SETTING_VALUES = ["{n}", "-{n}", '{{"broken', " 5 ", "true", '"scene"', "0.25", "1e3", "007", "1e999"]
+
+
+def settings_sql() -> str:
+    def value(key, kind, default, low, high):
+        if kind == "string":
+            return f"""CASE WHEN trim("{key}") = '"scene"' THEN 'scene' ELSE 'uniform' END"""
+        if kind == "boolean":
+            return f"""CASE trim("{key}") WHEN 'true' THEN true WHEN 'false' THEN false ELSE {default} END"""
+        form = r"^\s*-?(0|[1-9][0-9]*)\s*$" if kind == "long" else r"^\s*-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?\s*$"
+        sql = "BIGINT" if kind == "long" else "DOUBLE"
+        number = f"""CASE WHEN regexp_matches("{key}", '{form}') THEN try_cast(trim("{key}") AS {sql}) END"""
+        return f"greatest({low}, least({high}, coalesce(CASE WHEN isfinite(({number})::DOUBLE) THEN {number} END, {default})))::{sql}"
+
+    texts = " ".join(f"WHEN {i} THEN " + "'" + v.replace("{{", "{").replace("{n}", "' || event_id || '") + "'" for i, v in enumerate(SETTING_VALUES))
+    keys = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(SETTING_KEYS))
+    last = ", ".join(f"""max(CASE WHEN key = '{k}' THEN value END) AS "{k}" """ for k in SETTING_KEYS)
+    typed = ", ".join(f'{value(*s)} AS "{s[0]}"' for s in mutations.SETTINGS)
+    return f"""WITH rows AS (SELECT user_id AS profile, CASE event_id % {len(SETTING_KEYS)} {keys} END AS key, CASE event_id % {len(SETTING_VALUES)} {texts} END AS value, event_id FROM events),
+one AS (SELECT profile, key, arg_max(value, event_id) AS value FROM rows GROUP BY ALL), wide AS (SELECT profile, {last} FROM one GROUP BY profile) SELECT profile, {typed} FROM wide"""
+
+
+@query(settings_sql())
 def settings_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-range and broken values, merged over stored ones."""
-    rows = lambda d: spark.createDataFrame(list(d.items()), "key string, value string")
-    stored = rows({"uniformIntervalSeconds": "30", "concurrency": "3", "pruneOnDelete": "false", "updateCheck": "broken"})
-    patch = rows({"uniformIntervalSeconds": "-5", "concurrency": "1000", "minHashScore": "2.5", "maxResults": "100000", "awaitWriteMs": "-1", "samplingMode": '"bogus"'})
-    return mutations.typed_settings(mutations.merge_settings(stored, patch))
+    """Settings of every profile: the last value of each key, unreadable ones and those out of range put right."""
+    at = lambda values, n: F.element_at(F.array(*values), (F.col("event_id") % n + 1).cast("int"))
+    n = F.col("event_id").cast("string")
+    texts = [F.concat(F.lit("-"), n) if v == "-{n}" else n if v == "{n}" else F.lit(v.replace("{{", "{")) for v in SETTING_VALUES]
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("profile"), "event_id", at(map(F.lit, SETTING_KEYS), len(SETTING_KEYS)).alias("key"), at(texts, len(texts)).alias("value"))
+    return mutations.typed_settings(rows, by=["profile"], order="event_id")
