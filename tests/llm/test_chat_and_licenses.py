@@ -40,18 +40,21 @@ def dialogue(messages, participant):
     return rendered, masked
 
 
-@pytest.mark.parametrize("per_piece", [4096, 7])
-def test_whole_dialogues_with_repeats_and_long_texts(spark, per_piece):
+@pytest.mark.parametrize("piece_chars", [4_000_000, 300, 1])
+def test_whole_dialogues_with_repeats_and_long_texts(spark, piece_chars):
     rng = random.Random(2)
-    rows = [(c, rng.choice([None, *range(90)]), rng.choice([None, "system", "ann", "bob", "eve"]), rng.choice(["ok", "yes", None, "<|x", str(rng.random())])) for c in (1, 2, None) for _ in range(150)]
+    rows = [(c, rng.choice([None, *range(90)]), rng.choice([None, "system", "ann", "bob", "eve"]), rng.choice(["ok", "yes", None, "<|x", "日本", str(rng.random())])) for c in (1, 2, None) for _ in range(150)]
     rows += [(2, 5, "ann", "long " * 100_000)] + [(9, 1, "ann", "ok")] * 40
     talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
-    got = {}
-    for r in chat.rotate_perspectives(talk, messages_per_piece=per_piece).orderBy("piece").collect():
-        text, masked = got.get((r.conv_id, r.participant), ("", []))
-        got[r.conv_id, r.participant] = text + r.rendered, masked + [r.rendered[s["from"] : s["to"]] for s in r.mask_spans]
+    got, pieces = {}, 0
+    for r in chat.rotate_perspectives(talk, piece_chars=piece_chars).orderBy("piece").collect():
+        text, spans = got.get((r.conv_id, r.participant), ("", []))
+        got[r.conv_id, r.participant] = text + r.rendered, spans + [(s["from"], s["to"]) for s in r.mask_spans]
+        pieces += 1
+        assert len(r.rendered) <= 3 * piece_chars + 600_000 and (piece_chars > 1 or r.n_messages == 1)
+    masked = {k: (text, [text[a:b] for a, b in spans]) for k, (text, spans) in got.items()}
     want = {(c, p): dialogue([m[1:] for m in rows if m[0] == c], p) for c in (1, 2, None) for p in ("ann", "bob", "eve")} | {(9, "ann"): dialogue([r[1:] for r in rows[-40:]], "ann")}
-    assert got == want
+    assert masked == want and (pieces == len(want)) == (piece_chars > 1000)
 
 
 def test_licences_are_found_in_any_dress(documents):
