@@ -92,10 +92,8 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE
 COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT,
 TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-KNOWN_LICENSES = {
+_TEXTS = {
     "MIT": _MIT,
-    "MIT (titled)": "MIT License\n\n" + _MIT,
-    "MIT (titled, with name)": "The MIT License (MIT)\n\n" + _MIT,
     "Unlicense": _UNLICENSE,
     "BSL-1.0": _BOOST,
     "ISC": _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_DISCLAIMER,
@@ -107,6 +105,17 @@ KNOWN_LICENSES = {
     "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 (notice)": "Licensed under CC BY-NC 4.0.",
 }
+# The names that licences are published under, as headings before their text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "Expat License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD", "BSD Zero Clause License (0BSD)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "FreeBSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "Revised BSD License", "BSD-3-Clause"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "zlib"],
+}
+KNOWN_LICENSES = _TEXTS | {f"{name} (titled: {title})": f"{title}\n\n{_TEXTS[name]}" for name, titles in TITLES.items() for title in titles}
 # Digests of the canonical form of long licences as published, the copies that systems ship.
 KNOWN_DIGESTS = {
     "Apache-2.0": "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184",
@@ -180,6 +189,9 @@ def known_digests(spark: SparkSession, licenses: dict[str, str] | DataFrame | No
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id, is_license for every document: does its entire text equal a known licence's?
 
+    A licence under a heading with its published name is known as such (``BSD-3-Clause (titled: ...)``), and so are a few
+    one-line notices (``... (notice)``), which aren't whole licences.
+
     Every whole text is normalised and hashed in one pass; the join is on the digest. The known side is a table of fixed
     size by default; a large one is joined by shuffle like any other, as no hint is given.
 

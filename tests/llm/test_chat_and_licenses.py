@@ -76,6 +76,17 @@ def test_licences_are_found_in_any_dress(documents):
     assert licenses.scan_licenses(documents([])).collect() == []
 
 
+def test_headings_of_published_licences(spark, documents):
+    known = licenses.KNOWN_LICENSES
+    cases = [("BSD 3-Clause License", "BSD-3-Clause"), ("The BSD 2-Clause License", "BSD-2-Clause"), ("ISC License", "ISC"), ("zlib License", "Zlib"), ("The MIT License (MIT)", "MIT"), ("BSD Zero Clause License", "0BSD"), ("The Unlicense", "Unlicense")]
+    rows = [(k, f"{title.upper()}\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n{known[name]}") for k, (title, name) in enumerate(cases)]
+    rows.append((100, "Another License\n\n" + known["ISC"]))
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(documents(rows)).collect()}
+    assert got.pop(100) is None and [got[k].split(" (titled: ")[0] for k in range(len(cases))] == [name for _, name in cases]
+    digests = licenses.known_digests(spark)
+    assert digests.count() == digests.select("license_digest").distinct().count()
+
+
 def test_wrapping_makes_no_licence_and_loses_none(spark, documents):
     import textwrap
 
