@@ -182,9 +182,30 @@ def parse_size(log: Column) -> Column:
     return F.when(found.isNotNull(), F.struct(F.substring_index(found, "x", 1).cast("long").alias("width"), F.substring_index(found, "x", -1).cast("long").alias("height")))
 
 
-def images(spark: SparkSession, path: str) -> DataFrame:
-    """path and ``image`` struct of the pictures that Spark can decode."""
-    return spark.read.format("image").option("dropInvalid", True).load(path).select(F.col("image.origin").alias("path"), "image")
+def images(spark: SparkSession, path: str, decode: Callable[[bytes], object] | None = None) -> DataFrame:
+    """path and ``image`` struct (as Spark's image source has it) of the pictures that can be decoded; others give no row.
+
+    Without ``decode`` these are the kinds that Spark reads. ``decode(content)`` gives an RGB array, or None, on the executors:
+    for webp, avif and whatever else a library there knows.
+    """
+    if decode is None:
+        return spark.read.format("image").option("dropInvalid", True).load(path).select(F.col("image.origin").alias("path"), "image")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(has_extension(F.col("path"), IMAGE_EXTENSIONS)).select("path", "content")
+    schema = "path string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    rgb = decode(content)
+                except Exception:  # a broken picture is left out, as Spark's own source does
+                    rgb = None
+                if rgb is not None:
+                    image = {"origin": name, "height": rgb.shape[0], "width": rgb.shape[1], "nChannels": 3, "mode": 16, "data": rgb[:, :, ::-1].tobytes()}
+                    yield pa.RecordBatch.from_pylist([{"path": name, "image": image}], schema=arrow)
+
+    return files.mapInArrow(run, schema)
 
 
 def decode_frames(plan: DataFrame, decode: Callable[[str, list[float], bool], Iterable[tuple[float, object]]]) -> DataFrame:
