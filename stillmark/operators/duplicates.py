@@ -118,10 +118,12 @@ def coverage_pairs(frames: DataFrame, struct: list[str], threshold: float = DEFA
     all frames instead. Either way gives the same pairs.
     """
     frames = saved(frames, "fingerprints")
-    radius = P.radius_of(threshold, limits.get("max_struct", MAX_STRUCT), limits.get("bits") or 64 * len(struct))
-    chosen = P.choose(frames, struct, radius)
-    if chosen.share <= most_met:
-        limits = {**limits, "pivots": chosen}
+    bits = limits.get("bits") or 64 * len(struct)
+    radius = P.radius_of(threshold, limits.get("max_struct", MAX_STRUCT), bits)
+    if 4 * radius < bits:  # from a quarter of the bits on it reaches across nearly all cells
+        chosen = P.choose(frames, struct, radius)
+        if chosen.share <= most_met:
+            limits = {**limits, "pivots": chosen}
     middle = representatives(frames, 1).withColumn("query_id", F.col("video_id"))
     first = recall(frames, middle, struct, k=NEAR_VIDEOS, min_score=threshold, **limits).where("video_id <> query_id")
     order = Window.partitionBy("query_id").orderBy("rank")
