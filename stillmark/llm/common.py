@@ -51,6 +51,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def range_parts(spark: SparkSession, total: int | None, each: int) -> int:
+    """Parts of about ``each`` bytes for ``total`` bytes, and the session's number of shuffle partitions at least."""
+    return max(partitions(spark), -(-(total or 0) // each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

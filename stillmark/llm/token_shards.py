@@ -25,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, open_fs, pack_arrays, partitions, saved, unpack_arrays
+from .common import fresh_path, open_fs, pack_arrays, partitions, range_parts, saved, unpack_arrays
 from .encoder import encoder, text_slices
 from .mph import PerfectHash
 
 MANIFEST = "shard int, file string, min_key long, max_key long, n_docs long, n_tokens long, id_bytes int"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
+DOC_BYTES = 64  # that a document counts for besides its text, so that very many empty ones fill a shard as well
 
 
 def _writer(folder: str, tokenizer: str, end_id: int):
@@ -75,17 +76,24 @@ def _writer(folder: str, tokenizer: str, end_id: int):
     return write
 
 
-def write_token_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1, shards: int | None = None) -> tuple[DataFrame, str]:
+def write_token_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1, shards: int | None = None, shard_bytes: int = 128 << 20) -> tuple[DataFrame, str]:
     """Encode every whole text and write the shards in ascending doc_id order; gives (manifest, folder).
 
     One range shuffle on doc_id orders the documents; equal doc_ids may be split over neighbouring shards, so no key is
-    ever too large for a task. A task holds 16 bytes for each document of its shard, never the payload.
+    ever too large for a task. Without a given number of ``shards`` there is one for about ``shard_bytes`` of text, so a
+    task's sort and its keys (16 bytes for each document, never the payload) stay as they are when the table grows.
+
+    Defined results: as at the top of this module; an empty table gives an empty manifest; other columns, whatever their
+    names, are ignored.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-shards")
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(shards or partitions(spark), *order).sortWithinPartitions(*order)
+    if shards is None:
+        size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + DOC_BYTES
+        shards = range_parts(spark, rows.agg(F.sum(size)).first()[0], shard_bytes)
+    ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     manifest = saved(ranged.mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST), "token-manifest")
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), folder
 

@@ -85,6 +85,17 @@ def test_nulls_and_repeated_ids(spark, documents):
     assert len(token_shards.lookup(manifest, folder, 4)) == 3
 
 
+def test_shards_grow_with_the_bytes(spark, documents):
+    """A shard for every few bytes of text: as many as that asks for, beyond the session's partitions, with the same rows."""
+    rows = [(i, "word " * (i % 7)) for i in range(300)] + ROWS[:4] + [(None, "x" * 90), (500, None)]
+    counted, folder = token_shards.write_token_shards(documents(rows), PATH, shard_bytes=1000)
+    whole, other = token_shards.write_token_shards(documents(rows), PATH, shards=1)
+    assert counted.count() > 20 and whole.count() == 1
+    assert counted.agg({"n_docs": "max"}).first()[0] < 40
+    got, want = (sorted(map(tuple, token_shards.read_token_shards(m, f).collect()), key=lambda r: r[1]) for m, f in ((counted, folder), (whole, other)))
+    assert got == want and len(got) == len(rows)
+
+
 def test_empty_table(spark, documents):
     manifest, folder = token_shards.write_token_shards(documents([]), PATH)
     assert token_shards.read_token_shards(manifest, folder).collect() == []
