@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
+from .common import range_parts, saved
 
 START, END, NAMED = "<|im_start|>", "<|im_end|>", "user name="
 MESSAGE_CHARS = 32  # that a message counts for besides its text, so that very many short ones fill a piece as well
 
 
-def rotate_perspectives(conversations: DataFrame, narrators: tuple[str, ...] = ("system",), piece_chars: int = 4_000_000) -> DataFrame:
+def rotate_perspectives(conversations: DataFrame, narrators: tuple[str, ...] = ("system",), piece_chars: int = 4_000_000, part_chars: int = 64_000_000) -> DataFrame:
     """conv_id, participant, piece, n_messages, rendered, mask_spans: each dialogue once for every participant.
 
     In a participant's rendering their own messages are the assistant's, everyone else is a named user, and roles in
@@ -21,8 +21,8 @@ def rotate_perspectives(conversations: DataFrame, narrators: tuple[str, ...] = (
     A rendering is the concatenation of its rows in order of ``piece``: a new piece begins where the messages before make up
     another ``piece_chars`` characters, so a row holds that many and one message at most, however long a dialogue is, and a
     conversation that holds any share of all rows is spread over tasks. Spans count from the start of the dialogue. Messages
-    are put in order without gathering a conversation: a range sort parts them (a row number parts equal ones), its parts
-    are summed up, and a message's place is that in its part plus the sums before. Piece numbers rise, not always by one.
+    are put in order without gathering a conversation: a range sort parts them, one part for about ``part_chars`` characters
+    (a row number parts equal ones), its parts are summed up, and a message's place is that in its part plus the sums before. Piece numbers rise, not always by one.
 
     Defined results: null conv_id is one conversation; messages without turn come first; null text is empty and null role
     is a user without a name and no participant; repeated messages all stay; ties in turn go by role, then text; very long
@@ -40,7 +40,8 @@ def rotate_perspectives(conversations: DataFrame, narrators: tuple[str, ...] = (
     )
     order = ["conv_id", "turn", "role", "text", "row"]
     sized = sent.withColumn("size", F.length("text").cast("long") + MESSAGE_CHARS)
-    rows = saved(sized.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id()), "messages")
+    total = conversations.agg(F.sum(F.coalesce(F.length(F.col("text").cast("string")), F.lit(0)).cast("long") + MESSAGE_CHARS)).first()[0]
+    rows = saved(sized.repartitionByRange(range_parts(spark, total, part_chars), *order).withColumn("part", F.spark_partition_id()), "messages")
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
     sums = sums.select(F.col("conv_id").alias("of"), F.col("part").alias("of_part"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "chars")])

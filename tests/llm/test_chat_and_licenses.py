@@ -40,14 +40,14 @@ def dialogue(messages, participant):
     return rendered, masked
 
 
-@pytest.mark.parametrize("piece_chars", [4_000_000, 300, 1])
-def test_whole_dialogues_with_repeats_and_long_texts(spark, piece_chars):
+@pytest.mark.parametrize("piece_chars, part_chars", [(4_000_000, 64_000_000), (300, 64_000_000), (300, 20_000), (1, 64_000_000)])
+def test_whole_dialogues_with_repeats_and_long_texts(spark, piece_chars, part_chars):
     rng = random.Random(2)
     rows = [(c, rng.choice([None, *range(90)]), rng.choice([None, "system", "ann", "bob", "eve"]), rng.choice(["ok", "yes", None, "<|x", "日本", str(rng.random())])) for c in (1, 2, None) for _ in range(150)]
     rows += [(2, 5, "ann", "long " * 100_000)] + [(9, 1, "ann", "ok")] * 40
     talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
     got, pieces = {}, 0
-    for r in chat.rotate_perspectives(talk, piece_chars=piece_chars).orderBy("piece").collect():
+    for r in chat.rotate_perspectives(talk, piece_chars=piece_chars, part_chars=part_chars).orderBy("piece").collect():
         text, spans = got.get((r.conv_id, r.participant), ("", []))
         got[r.conv_id, r.participant] = text + r.rendered, spans + [(s["from"], s["to"]) for s in r.mask_spans]
         pieces += 1
