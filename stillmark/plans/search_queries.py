@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats
 from ..functions import similarity as S
-from ..operators import catalog, duplicates, frame_index, mutations, recall, snapshots
+from ..operators import catalog, duplicates, evaluation, frame_index, mutations, recall, snapshots
 from ..operators.shared import fresh_path
 from .registry import query, table
 
@@ -277,3 +277,53 @@ FROM r GROUP BY GROUPING SETS ((), (family), (variant))"""
 def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").selectExpr("lang AS family", "source AS variant", "CASE WHEN n_chars % 5 > 0 THEN doc_id END AS expected", "CASE WHEN n_chars % 3 > 0 THEN n_chars % 9 + 1 END AS rank", "CASE WHEN n_chars % 3 > 0 THEN 1 ELSE 0 END AS n_hits")
     return catalog.evaluation_summary(rows)
+
+
+SEEN = """
+seen AS (
+  SELECT vec_id * 3 + n AS vec_id, label,
+    CASE n WHEN 0 THEN embedding::DOUBLE[] WHEN 1 THEN list_transform(embedding, lambda x: floor(x::DOUBLE * 16 + 0.5::DOUBLE) / 16) ELSE list_transform(embedding, lambda x, i: CASE WHEN i <= 8 THEN 0::DOUBLE ELSE x::DOUBLE END) END AS embedding
+  FROM embeddings, range(3) AS t(n))"""
+EVALUATED = f"""WITH {SEEN}, {FRAMES.replace('FROM embeddings', 'FROM seen').replace('frames AS (', 'every AS (')},
+frames AS (SELECT * FROM every WHERE frame_index % 3 = 0 AND video_id % 5 <> 4),
+queries AS (SELECT frame_index AS query_id, * FROM every WHERE frame_index // 3 % 20 = 0), {scored('scores', 'queries', FLOOR)}, {top_two('hits', 'scores')},
+found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id) AS rank FROM hits) WHERE rank <= 40),
+stated AS (SELECT query_id, 'group ' || (video_id % 3) AS family, CASE WHEN video_id % 5 = 4 THEN 'held-out' ELSE ['exact', 'coarse', 'covered'][query_id % 3 + 1] END AS variant, CASE WHEN video_id % 5 <> 4 THEN video_id END AS expected FROM queries),
+evaluated AS (
+  SELECT s.query_id, family, variant, expected, max(CASE WHEN video_id = expected THEN rank END) AS rank, count(video_id) AS n_hits,
+    coalesce(string_agg(CASE WHEN rank <= 5 THEN video_id::VARCHAR END, ',' ORDER BY rank), '') AS top
+  FROM stated s LEFT JOIN found f ON s.query_id = f.query_id GROUP BY s.query_id, family, variant, expected)"""
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth frame as it is, in coarser steps and with its first cells covered, against all frames of most videos;
+    the others' frames should find nothing."""
+    v = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "label", "transform(embedding, x -> double(x)) AS v", "explode(array(0, 1, 2)) AS n")
+    changed = "CASE n WHEN 0 THEN v WHEN 1 THEN transform(v, x -> floor(x * 16 + 0.5D) / 16D) ELSE transform(v, (x, i) -> IF(i < 8, 0D, x)) END AS embedding"
+    every = frames_of(v.selectExpr("vec_id * 3 + n AS vec_id", "label", changed))
+    held = F.col("video_id") % 5 == 4
+    family = F.concat(F.lit("group "), F.col("video_id") % 3)
+    variant = F.when(held, "held-out").otherwise(F.element_at(F.array(*map(F.lit, ("exact", "coarse", "covered"))), (F.col("frame_index") % 3 + 1).cast("int")))
+    asked = every.where("frame_index div 3 % 20 = 0").withColumns({"query_id": F.col("frame_index"), "family": family, "variant": variant, "expected": F.when(~held, F.col("video_id"))})
+    return evaluation.evaluate(every.where((F.col("frame_index") % 3 == 0) & ~held), asked, STRUCT, min_score=FLOOR, **LIMITS)
+
+
+@query(f"{EVALUATED} SELECT * FROM evaluated")
+def evaluation_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank of the video that each query should find, and its first five hits."""
+    return evaluated(spark, sf_dir).withColumns({"rank": F.col("rank").cast("long"), "top": F.array_join("top.video_id", ",")})
+
+
+@query(f"{EVALUATED} SELECT * FROM evaluated WHERE CASE WHEN expected IS NULL THEN n_hits > 0 ELSE rank IS DISTINCT FROM 1 END")
+def evaluation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries that another video answers first, and those answered though nothing should be found."""
+    return evaluation.failures(evaluated(spark, sf_dir)).withColumns({"rank": F.col("rank").cast("long"), "top": F.array_join("top.video_id", ",")})
+
+
+@query(
+    f"""{EVALUATED} SELECT family, variant, count(*) AS queries, count(*) FILTER (expected IS NOT NULL AND rank = 1) AS top1, count(*) FILTER (expected IS NOT NULL AND rank <= 5) AS top5,
+count(*) FILTER (expected IS NOT NULL AND rank IS NULL) AS missing, count(*) FILTER (expected IS NULL AND n_hits > 0) AS false_positives FROM evaluated GROUP BY GROUPING SETS ((), (family), (variant))"""
+)
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured ranks counted in total, by family and by variant."""
+    return catalog.evaluation_summary(evaluated(spark, sf_dir))
