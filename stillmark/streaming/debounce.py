@@ -5,27 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from . import spans
+
 DUE = "path_key string, path string, folder_id long, due_ms long"
 
 
-def debounced(events: DataFrame, key: str, time_ms: str, gap_ms: int) -> DataFrame:
-    """Bursts of events no more than ``gap_ms`` apart: key, first, due (last plus gap), n. One window over each key."""
-    order = Window.partitionBy(key).orderBy(time_ms)
-    fresh = F.coalesce(F.col(time_ms) - F.lag(time_ms).over(order) >= gap_ms, F.lit(True)).cast("int")
-    burst = F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = events.select(key, time_ms, fresh.alias("fresh")).withColumn("burst", burst)
-    return marked.groupBy(key, "burst").agg(F.min(time_ms).alias("first_ms"), (F.max(time_ms) + gap_ms).alias("due_ms"), F.count("*").alias("n")).drop("burst")
+def debounced(events: DataFrame, key: str, time_ms: str, gap_ms: int, span_ms: int | None = None) -> DataFrame:
+    """Bursts of events less than ``gap_ms`` apart: key, first, due (last plus gap), n. Spans as in ``spans.bursts``."""
+    found = spans.bursts(events, [key], time_ms, gap_ms, span_ms)
+    return found.select(key, "first_ms", (F.col("last_ms") + gap_ms).alias("due_ms"), "n")
 
 
-def due_imports(events: DataFrame, gap_ms: int) -> DataFrame:
+def due_imports(events: DataFrame, gap_ms: int, span_ms: int | None = None) -> DataFrame:
     """events (path_key, path, folder_id, kind, at_ms) to imports that came due: a create or change followed by ``gap_ms``
-    without another event on the path. A removal cancels what is pending."""
-    order = Window.partitionBy("path_key").orderBy("at_ms", "kind")
-    following = events.withColumn("next_ms", F.lead("at_ms").over(order))
+    without another event on the path. A removal cancels what is pending. Spans as in ``spans.with_next``."""
+    rows = events.select("path_key", "path", "folder_id", "kind", "at_ms")
+    following = spans.with_next(rows, "path_key", "at_ms", ["kind"], span_ms or spans.span_for(gap_ms), "next_ms")
     quiet = F.col("next_ms").isNull() | (F.col("next_ms") - F.col("at_ms") >= gap_ms)
     return following.where(F.col("kind").isin("create", "modify") & quiet).select("path_key", "path", "folder_id", (F.col("at_ms") + gap_ms).alias("due_ms"))
 

@@ -7,21 +7,21 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from . import spans
+
 NOTICE_WINDOW_MS, REPEAT_WINDOW_MS, FORGET_MS, MAX_NOTICES = 2000, 30_000, 3_600_000, 4
 TTL_MS = {"info": 5000, "warn": 8000, "error": 12000}
 
 
-def notices(events: DataFrame, keys: list[str], time_ms: str, window_ms: int = NOTICE_WINDOW_MS) -> DataFrame:
-    """Equal messages less than ``window_ms`` after the one before are one notice: keys, first_ms, last_ms, n."""
-    order = Window.partitionBy(*keys).orderBy(time_ms)
-    fresh = F.coalesce(F.col(time_ms) - F.lag(time_ms).over(order) >= window_ms, F.lit(True)).cast("int")
-    marked = events.select(*keys, time_ms, fresh.alias("fresh")).withColumn("notice", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "notice").agg(F.min(time_ms).alias("first_ms"), F.max(time_ms).alias("last_ms"), F.count("*").alias("n")).drop("notice")
+def notices(events: DataFrame, keys: list[str], time_ms: str, window_ms: int = NOTICE_WINDOW_MS, span_ms: int | None = None) -> DataFrame:
+    """Equal messages less than ``window_ms`` after the one before are one notice: keys, first_ms, last_ms, n. Spans as in
+    ``spans.bursts``."""
+    return spans.bursts(events, keys, time_ms, window_ms, span_ms)
 
 
 def shown(found: DataFrame, at_ms: int) -> DataFrame:
