@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -124,31 +125,118 @@ def notice_log_stream(events: DataFrame, viewer: str, window_ms: int = NOTICE_WI
     return timed.groupBy(viewer).applyInPandasWithState(step, schema, "stack string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def emitted(events: DataFrame, key: str, time_ms: str, window_ms: int = REPEAT_WINDOW_MS, forget_ms: int | None = None) -> DataFrame:
+def emitted(events: DataFrame, key: str, time_ms: str, window_ms: int = REPEAT_WINDOW_MS, forget_ms: int | None = None, span_ms: int | None = None) -> DataFrame:
     """key, at_ms, suppressed: entries that come through, with how many were held back since the one before.
 
     An entry is held back if less than ``window_ms`` passed since the last that came through. With ``forget_ms``, the number
-    is dropped once that long has passed. The anchor makes it a fold in order of time: the task that reads a key's
-    entries, sorted, holds one batch, the anchor and a count.
-    """
-    kind = T.StructType([events.schema[key], T.StructField("at_ms", T.LongType()), T.StructField("suppressed", T.LongType())])
+    is dropped once that long has passed. Which entries come through depends on the one before, so spans of time are
+    first summed up: for each place where a span may be entered, the last entry that then comes through in it. One walk over
+    a key's summaries tells where each span is entered, and the spans are folded by themselves. A task holds the distinct
+    times of one span of a key; ``span_ms`` (64 times the window if not given) changes the work and no result.
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun, of, last, held = False, None, 0, 0
+    Null times are left out, a null key is a key like others, and an empty table gives no rows.
+    """
+    wait = window_ms if forget_ms is None else min(window_ms, forget_ms)
+    rows = events.select(F.col(key).alias("k"), F.col(time_ms).cast("long").alias("t")).where("t is not null")
+    kind = events.schema[key].dataType
+    if wait <= 0:  # nothing is held back
+        return rows.select(F.col("k").alias(key), F.col("t").alias("at_ms"), F.lit(0).cast("long").alias("suppressed"))
+    span_ms = span_ms or 64 * wait
+    counted = rows.groupBy("k", spans.span_of(F.col("t"), span_ms).alias("span"), "t").agg(F.count("*").alias("n"))
+    by_span = counted.repartition("k", "span")
+    longs = [T.StructField(c, T.LongType()) for c in ("span", "total", "entry", "last", "ahead")]
+    summed = by_span.sortWithinPartitions("k", "span", "t").mapInArrow(_summaries(wait), T.StructType([T.StructField("k", kind), *longs]))
+    entered = T.StructType([T.StructField("k", kind), *[T.StructField(c, T.LongType()) for c in ("span", "t", "n", "anchor")]])
+    heads = summed.repartition("k").sortWithinPartitions("k", "span", "entry").mapInArrow(_entries(wait), entered)
+    both = heads.unionByName(by_span.withColumn("anchor", F.lit(None).cast("long"))).repartition("k", "span")
+    out = T.StructType([T.StructField("k", kind), T.StructField("at_ms", T.LongType()), T.StructField("suppressed", T.LongType())])
+    through = both.sortWithinPartitions("k", "span", F.asc_nulls_first("t")).mapInArrow(_through(wait, forget_ms), out)
+    return through.withColumnRenamed("k", key)
+
+
+def _batch(rows: list[tuple], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [kind, *[pa.int64()] * (len(names) - 1)])], names)
+
+
+def _summaries(wait: int):
+    """Of each (k, span), from its sorted times and their counts: where it may be entered (``entry``: the first entry at or
+    behind the end of the window that is open), the ``last`` that then comes through and how many entries lie ``ahead`` of that. Of
+    neighbouring places with one result only the latest is kept."""
+
+    def summary(k, span: int, times: list[int], counts: list[int]) -> list[tuple]:
+        t, n = np.array(times, np.int64), np.array(counts, np.int64)
+        after = np.searchsorted(t, t + wait)
+        last = np.where(after < len(t), after, np.arange(len(t)))
+        while (last[last] != last).any():
+            last = last[last]
+        some = min(len(t), int(np.searchsorted(t, span + wait - 1)) + 1)  # an earlier window ends before that
+        kept = np.flatnonzero(np.r_[last[1:some] != last[: some - 1], True])
+        ahead = np.cumsum(n) - n
+        end = last[kept]
+        return [(k, span, int(n.sum()), *x) for x in zip(t[kept].tolist(), t[end].tolist(), ahead[end].tolist())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, times, counts, kind = None, [], [], None
+        names = ["k", "span", "total", "entry", "last", "ahead"]
+        for batch in batches:
+            kind, out = batch.schema.field(0).type, []
+            for k, span, t, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, span) != of:
+                    out += summary(*of, times, counts) if of else []
+                    of, times, counts = (k, span), [], []
+                times.append(t)
+                counts.append(n)
+            yield _batch(out, kind, names)
+        if of:
+            yield _batch(summary(*of, times, counts), kind, names)
+
+    return run
+
+
+def _entries(wait: int):
+    """Of each (k, span), from the key's summaries in order: the ``anchor`` that was last to come through before it and ``n``,
+    how many were held back since. ``t`` is null, which puts the row before the span's entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, seen, anchor, place, found = None, 0, None, 0, False  # place: of the anchor among the key's entries
+        total = 0
+        for batch in batches:
+            out, kind = [], batch.schema.field(0).type
+            for k, span, size, entry, last, ahead in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, span) != of:
+                    if of is None or k != of[0]:
+                        seen, anchor = 0, None
+                    else:
+                        seen += total
+                    of, total, found, before = (k, span), size, False, anchor
+                    out.append((k, span, None, seen - place - 1 if anchor is not None else 0, anchor))
+                if not found and (before is None or entry >= before + wait):
+                    found, anchor, place = True, last, seen + ahead
+            yield _batch(out, kind, ["k", "span", "t", "n", "anchor"])
+
+    return run
+
+
+def _through(wait: int, forget_ms: int | None):
+    """The entries of each (k, span) that come through, behind the row that says where it is entered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, 0
         for batch in batches:
             out = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                known = begun and k == of and (forget_ms is None or t - last < forget_ms)
-                if known and t - last < window_ms:
-                    held += 1
-                    continue
-                out.append((k, t, held if known else 0))
-                begun, of, last, held = True, k, t, 0
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.int64()))], [key, "at_ms", "suppressed"])
-
-    rows = events.select(key, F.col(time_ms).cast("long").alias("t")).where("t is not null")
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, "t").mapInArrow(fold, kind)
+            for k, _, t, n, anchor in zip(*(c.to_pylist() for c in batch.columns)):
+                if t is None:
+                    last, held = anchor, n
+                elif last is not None and t - last < wait:
+                    held += n
+                else:
+                    known = last is not None and (forget_ms is None or t - last < forget_ms)
+                    out.append((k, t, held if known else 0))
+                    last, held = t, n - 1
+            yield _batch(out, batch.schema.field(0).type, ["k", "at_ms", "suppressed"])
+
+    return run
 
 
 def emitted_stream(events: DataFrame, window_ms: int = REPEAT_WINDOW_MS, forget_ms: int = FORGET_MS, delay: str = "10 seconds") -> DataFrame:

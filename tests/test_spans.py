@@ -80,3 +80,21 @@ def test_few_rows_of_a_key_are_at_borders(spark):
     apart = spans.pieces(dense, ["key"], "at_ms", 3, 600)
     assert apart.count() == 20_000 and apart.where("at_border").count() == 200
     assert spans.bursts(dense, ["key"], "at_ms", 3, 600).where("n = 1").count() == 20_000
+
+
+@pytest.mark.parametrize("window,forget,span", [(20, None, 1), (20, None, 7), (20, None, 20), (20, None, 64), (9, 50, 33), (20, 8, 50), (300, None, 100), (30, None, None), (0, None, 10), (10**6, 10**7, 40)])
+def test_emitted_equals_a_plain_loop(spark, window, forget, span):
+    rows = entries(window + (span or 0))
+    got = notices.emitted(spark.createDataFrame(rows, "key string, at_ms long").repartition(5), "key", "at_ms", window, forget, span)
+    assert got.columns == ["key", "at_ms", "suppressed"]
+    want = []
+    for key in {k for k, _ in rows}:
+        last, held = None, 0
+        for t in sorted(t for k, t in rows if k == key and t is not None):
+            known = last is not None and (forget is None or t - last < forget)
+            if known and t - last < window:
+                held += 1
+                continue
+            want.append((key, t, held if known else 0))
+            last, held = t, 0
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
