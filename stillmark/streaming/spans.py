@@ -41,16 +41,15 @@ def bursts(rows: DataFrame, keys: list[str], time_ms: str, gap_ms: int, span_ms:
     """
     fresh, place = free_names(keys, ["fresh", "place"])
     found = pieces(rows, keys, time_ms, gap_ms, span_ms or span_for(gap_ms))
-    inner, out = ~F.col("at_border"), [*keys, "first_ms", "last_ms", "n"]
-    along = Window.partitionBy(*keys).orderBy("first_ms", "last_ms")
-    border = found.where("at_border").withColumn(fresh, _begins(F.col("first_ms"), F.lag("last_ms").over(along), gap_ms))
-    border = border.withColumn(place, F.sum(fresh).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = border.groupBy(*keys, place).agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.sum("n").alias("n"))
-    return found.where(inner).select(*out).unionByName(joined.select(*out))
+    along = Window.partitionBy(*keys, "inner").orderBy("first_ms", "last_ms")  # inner runs are alone there
+    found = found.withColumn(fresh, _begins(F.col("first_ms"), F.lag("last_ms").over(along), gap_ms))
+    found = found.withColumn(place, F.sum(fresh).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = found.groupBy(*keys, "inner", place).agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.sum("n").alias("n"))
+    return joined.select(*keys, "first_ms", "last_ms", "n")
 
 
 def pieces(rows: DataFrame, keys: list[str], time_ms: str, gap_ms: int, span_ms: int) -> DataFrame:
-    """Runs within spans: keys, first_ms, last_ms, n and at_border, which is true for a span's first and last run."""
+    """Runs within spans: keys, first_ms, last_ms, n and inner, which names a run and is null for a span's first and last."""
     span, fresh, place, most, at = free_names(keys, ["span", "fresh", "place", "most", "at"])
     found = rows.select(*keys, F.col(time_ms).cast("long").alias(at))
     found = found.withColumn(span, span_of(F.col(at), span_ms))
@@ -59,7 +58,7 @@ def pieces(rows: DataFrame, keys: list[str], time_ms: str, gap_ms: int, span_ms:
     marked = found.withColumn(fresh, _begins(F.col(at), F.lag(at).over(order), gap_ms))
     marked = marked.withColumn(place, F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(most, F.sum(fresh).over(whole))
     runs = marked.groupBy(*keys, span, place, most).agg(F.min(at).alias("first_ms"), F.max(at).alias("last_ms"), F.count("*").alias("n"))
-    return runs.select(*keys, "first_ms", "last_ms", "n", ((F.col(place) == 1) | (F.col(place) == F.col(most))).alias("at_border"))
+    return runs.select(*keys, "first_ms", "last_ms", "n", F.when((F.col(place) > 1) & (F.col(place) < F.col(most)), F.struct(span, place)).alias("inner"))
 
 
 def _begins(first: Column, before: Column, gap_ms: int) -> Column:
