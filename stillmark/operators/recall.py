@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprint, sampling
 from ..functions import similarity as S
+from .frame_blocks import FRAMES_A_TASK, best_two
 from .pivots import Pivots, with_cell, with_visits
 from .shared import appended, saved
 
 MAX_DHASH, MAX_STRUCT, MIN_SCORE, MAX_RESULTS = 24, 448, 0.6, 40
 RERANK_DEPTH, RERANK_WEIGHT = 8, 0.3
-QUERY_BLOCK = 16384
+QUERY_BLOCK = 32768
 
 
 def score_frames(
@@ -69,15 +70,22 @@ def top_two(scored: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(score.alias("score"), *map(best, kept))
 
 
-def recall(frames: DataFrame, queries: DataFrame, struct: list[str], k: int = MAX_RESULTS, **limits) -> DataFrame:
+def recall(
+    frames: DataFrame, queries: DataFrame, struct: list[str], k: int = MAX_RESULTS, dhash: list[str] = ["dhash"], max_dhash: int = MAX_DHASH, max_struct: int = MAX_STRUCT, min_score: float = MIN_SCORE, bits: int | None = None, pivots: Pivots | None = None
+) -> DataFrame:
     """rank, query_id, video_id, score and the best frame of the k best videos of each query (ties to the smaller video_id).
 
-    Queries are taken in blocks of at most about 16,384 (some 12 MB), whose number is checked by a count, each against all
-    frames. Beyond one block both sides are written first and each block's hits as they come, so no plan or task grows
-    with the number of queries. With ``pivots`` there are no blocks, as queries are dealt to cells.
+    The pairs are those of ``score_frames``. Queries are taken in blocks of at most about 32,768 (some 20 MB), whose number is
+    checked by a count; each goes to all tasks, which compare it with their frames in numpy (``frame_blocks``), so that pairs
+    are no rows. Beyond one block both sides are written first and each block's hits as they come, so no plan or task grows
+    with the number of queries. With ``pivots`` a query meets only the cells that it visits.
     """
-    blocks = 1 if limits.get("pivots") else -(-queries.count() // QUERY_BLOCK) or 1
-    hits = lambda part: top_two(score_frames(frames, part, struct, **limits), ["query_id", "video_id"])
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    parts = max(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frames.count() // FRAMES_A_TASK))
+
+    def hits(part: DataFrame) -> DataFrame:
+        return top_two(best_two(frames, part, struct, dhash, max_dhash, max_struct, min_score, bits or 64 * len(struct), k, parts, pivots), ["query_id", "video_id"])
+
     if blocks == 1:
         found = hits(queries)
     else:
