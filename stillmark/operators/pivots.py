@@ -98,8 +98,9 @@ def _mapped(rows: DataFrame, pivots: Pivots, places) -> DataFrame:
                 part = batch.slice(at, 2048)
                 words = np.stack([part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in pivots.struct], axis=1)
                 row, pivot, ring = places(pivots.distances(words))
-                columns = [*part.take(pa.array(row)).columns, pa.array(pivot.astype(np.int64)), pa.array(ring.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+                for some in (slice(i, i + 4096) for i in range(0, len(row), 4096)):  # a query may visit hundreds of cells
+                    columns = [*part.take(pa.array(row[some])).columns, pa.array(pivot[some].astype(np.int64)), pa.array(ring[some].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
