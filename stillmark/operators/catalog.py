@@ -109,7 +109,9 @@ def closest_folder(items: DataFrame, folders: DataFrame, item_key: str = "id", e
     """
     own = folders if excluded is None else folders.where(F.col("id") != excluded)
     own = own.select(F.col("id").alias("closest_id"), F.when(F.length("path_key") > 1, F.regexp_replace("path_key", "/$", "")).otherwise(F.col("path_key")).alias("folder_key"))
-    above = items.select(F.col(item_key).alias("item"), F.explode(paths.ancestors(paths.path_key(F.col("path")))).alias("folder_key"))
+    normal = items.select(F.col(item_key).alias("item"), paths.normalize_path(F.col("path")).alias("normal"))  # columns of their own: each is used many times for a path
+    keyed = normal.select("item", paths.normal_key(F.col("normal")).alias("key"))
+    above = keyed.select("item", F.explode(paths.ancestors(F.col("key"))).alias("folder_key"))
     best = above.join(own, "folder_key").groupBy("item").agg(F.max_by("closest_id", F.struct(F.length("folder_key"), -F.col("closest_id"))).alias("closest_id"))
     return items.join(best, items[item_key] == best["item"], "left").drop("item")
 

@@ -17,3 +17,12 @@ def test_sizes_of_large_keys_are_those_of_the_sql(spark, tmp_path):
     got = catalog_queries.unit_formats(spark, str(tmp_path)).collect()
     assert sorted(map(plain, got)) == sorted(map(plain, duck.execute(ORACLES["unit_formats"]).fetchall()))
     assert "2346.9 GB" in {r.file_size for r in got}
+
+
+def test_a_path_is_put_in_normal_form_once(spark):
+    items = spark.createDataFrame([(1, "C:\\Media\\1.mp4"), (2, "c:/media/Sub//x/")], "id long, path string")
+    folders = spark.createDataFrame([(1, "c:\\media"), (2, "c:\\media\\sub")], "id long, path_key string")
+    found = catalog.closest_folder(items, folders)
+    assert {r.id: r.closest_id for r in found.select("id", F.col("closest_id")).collect()} == {1: 1, 2: 2}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 20
