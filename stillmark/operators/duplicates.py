@@ -14,6 +14,7 @@ from .shared import saved
 
 DEFAULT_THRESHOLD = 0.88
 SAMPLES, NEAR_VIDEOS, SEARCHED_VIDEOS = 8, 8, 50
+SLICE, PAIRS_A_TASK, MOST_PARTS = 2048, 4_000_000, 10_000
 LINKS = "a long, b long"
 
 
@@ -21,17 +22,28 @@ def threshold_or_default(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (x > 0) & (x <= 1), x).otherwise(DEFAULT_THRESHOLD)
 
 
-def identical_candidates(videos: DataFrame, tolerance: float = 0.5) -> DataFrame:
+def identical_candidates(videos: DataFrame, tolerance: float = 0.5, keys: tuple[str, ...] = ("size",)) -> DataFrame:
     """(id_a, id_b), id_a < id_b: equal size and durations less than ``tolerance`` apart; unknown durations pair with none.
 
-    The equality on size and a duration cell of the tolerance's width make it an equi-join: each row looks into its own
-    cell and the two next to it, so many files of one size don't all meet.
+    The equality on ``keys`` and a duration cell of the tolerance's width make it an equi-join: each row looks into its own
+    cell and the two next to it, so many files of one size don't all meet. Cells are counted first: a large one is joined in
+    slices of about ``SLICE`` files, and there are as many tasks as the pairs that meet ask for, so the longest task doesn't
+    grow with their number. The pairs themselves grow with the square of the files of a cell.
     """
-    v = videos.select("id", "size", "duration").where("duration is not null and size is not null").withColumn("cell", F.floor(F.col("duration") / tolerance))
-    a = v.select(F.col("id").alias("id_a"), "size", F.col("duration").alias("duration_a"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    b = v.select(F.col("id").alias("id_b"), "size", F.col("duration").alias("duration_b"), "cell")
+    v = videos.select("id", *keys, "duration").where(" and ".join(f"{c} is not null" for c in ("duration", *keys))).withColumn("cell", F.floor(F.col("duration") / tolerance))
+    cells = v.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
+    met = cells.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0
+    parts = max(int(videos.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, int(3 * met / PAIRS_A_TASK)))
+    around = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")
+    a = v.select(F.col("id").alias("id_a"), *keys, F.col("duration").alias("duration_a"), around)
+    b = v.select(F.col("id").alias("id_b"), *keys, F.col("duration").alias("duration_b"), "cell")
+    large = cells.where(F.col("n") > SLICE).select(*keys, "cell", F.ceil(F.col("n") / SLICE).alias("slices"))
+    slices = F.coalesce("slices", F.lit(1))
+    a = a.join(large, [*keys, "cell"], "left").select("id_a", *keys, "duration_a", "cell", F.explode(F.sequence(F.lit(0), slices.cast("int") - 1)).alias("slice"))
+    b = b.join(large, [*keys, "cell"], "left").select("id_b", *keys, "duration_b", "cell", F.pmod(F.xxhash64("id_b"), slices).cast("int").alias("slice"))
     near = (F.col("id_a") < F.col("id_b")) & (F.abs(F.col("duration_a") - F.col("duration_b")) < tolerance)
-    return a.join(b, ["size", "cell"]).where(near).select("id_a", "id_b")
+    by = [*keys, "cell", "slice"]
+    return a.repartition(parts, *by).join(b.repartition(parts, *by), by).where(near).select("id_a", "id_b")
 
 
 def with_twins(videos: DataFrame, tolerance: float = 0.5) -> DataFrame:
@@ -92,6 +104,12 @@ def identical_pairs(videos: DataFrame, candidates: DataFrame) -> DataFrame:
     return same.select("id_a", "id_b", *[F.lit(1.0).alias(c) for c in ("score", "hash_score", "color_score")], F.lit(0.0).alias("time_seconds"), F.lit(True).alias("identical_file"))
 
 
+def identical_pairs_of(videos: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """What ``identical_pairs`` finds among all candidates; the digest is a key of the join, so that different files of one size don't meet."""
+    same = identical_candidates(videos, tolerance, ("size", "file_hash"))
+    return same.select("id_a", "id_b", *[F.lit(1.0).alias(c) for c in ("score", "hash_score", "color_score")], F.lit(0.0).alias("time_seconds"), F.lit(True).alias("identical_file"))
+
+
 def representatives(frames: DataFrame, most: int) -> DataFrame:
     """Evenly spread frames of each video: the middle one for ``most`` = 1, else first and last and what lies between."""
     place = F.row_number().over(Window.partitionBy("video_id").orderBy("frame_index")) - 1

@@ -26,3 +26,16 @@ def test_a_path_is_put_in_normal_form_once(spark):
     assert {r.id: r.closest_id for r in found.select("id", F.col("closest_id")).collect()} == {1: 1, 2: 2}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") < 20
+
+
+def test_hot_cells_are_sliced_and_keep_all_pairs(spark, monkeypatch):
+    files = [(i, 7, 1.0 + i % 5 * 0.2) for i in range(60)] + [(100 + i, 8, 3.0) for i in range(4)] + [(200, 7, None), (201, None, 1.0)]
+    videos = spark.createDataFrame(files, "id long, size long, duration double")
+    want = sorted((a, b) for a, s, d in files for b, t, e in files if a < b and None not in (s, d, t, e) and s == t and abs(d - e) < 0.5)
+    assert sorted(map(tuple, duplicates.identical_candidates(videos).collect())) == want
+    monkeypatch.setattr(duplicates, "SLICE", 8)
+    monkeypatch.setattr(duplicates, "PAIRS_A_TASK", 100)
+    found = duplicates.identical_candidates(videos)
+    assert sorted(map(tuple, found.collect())) == want
+    sizes = [n for n in found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) > 4 and max(sizes) < len(want) / 2
